@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality
+from . import packing, quality, toxicity
 
-QUERIES = packing.QUERIES | quality.QUERIES
+QUERIES = packing.QUERIES | quality.QUERIES | toxicity.QUERIES
 ORACLE_SQL: dict[str, str] = {}
