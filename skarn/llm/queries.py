@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality, toxicity
+from . import decontam, packing, quality, toxicity
 
-QUERIES = packing.QUERIES | quality.QUERIES | toxicity.QUERIES
+QUERIES = packing.QUERIES | quality.QUERIES | toxicity.QUERIES | decontam.QUERIES
 ORACLE_SQL: dict[str, str] = {}

@@ -31,9 +31,9 @@ PERSON = b"you your yours yourself youre du dich dir dein deine ihr euch euer tu
 LEET = {b"0": b"o", b"1": b"i", b"3": b"e", b"4": b"a", b"5": b"s", b"7": b"t", b"@": b"a", b"$": b"s"}
 
 PUNCTUATION = words.separators(bytes(range(0x21, 0x30)) + b":;<=>?@[\\]^_`{|}~")
-LEET_FOLD = words.LOWER.copy()
+LETTER = np.arange(256, dtype=np.uint8)
 for _a, _b in LEET.items():
-    LEET_FOLD[_a[0]] = _b[0]
+    LETTER[_a[0]] = _b[0]
 #: Signs dropped inside a word before its letters are compared.
 DROPPED = np.zeros(256, bool)
 DROPPED[list(b".-_*'~^")] = True
@@ -42,7 +42,7 @@ NAMES = ("insults", "learned", "heads", "learned_n", "heads_n", "hidden", "near_
 
 def plain(column: pa.Array, upto: int | None = None):
     """Blocks of lower-case words parted at blanks and punctuation."""
-    return words.blocks(column, PUNCTUATION, words.LOWER, upto=upto, seed=5)
+    return words.blocks(column, PUNCTUATION, words.lower_latin, upto=upto, seed=5)
 
 
 def hashes_of(terms: list[bytes]) -> np.ndarray:
@@ -95,7 +95,7 @@ def statistics(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
                 near[k:] |= you[:-k] & same_doc
                 near[:-k] |= you[k:] & same_doc
         opened = np.zeros(len(n))
-        for other in words.blocks(_unhidden(part), words.SPACES, LEET_FOLD, seed=5):
+        for other in words.blocks(_unhidden(part), words.SPACES, lambda buf: LETTER[words.lower_latin(buf)], seed=5):
             opened[other.rows] = features.sums(other, member(other.hashes, known))
         kind = features.CLASS[block.buf]
         inside = np.concatenate([[0], np.cumsum(kind == 3)])

@@ -47,6 +47,17 @@ def separators(extra: bytes = b"") -> np.ndarray:
 SPACES = separators()
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+
+
+def lower_latin(buf: np.ndarray) -> np.ndarray:
+    """A-Z and the capitals of Latin-1, in UTF-8, in lower case; the length stays."""
+    out = LOWER[buf]
+    if len(buf) > 1:
+        capital = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)
+        out[1:][capital] += 32
+    return out
+
+
 ASIS = np.arange(256, dtype=np.uint8)
 
 
@@ -79,7 +90,7 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
-def _piece_words(buf: np.ndarray, cuts: np.ndarray, seps: np.ndarray, fold_case: np.ndarray, seed: int, want: bool, upto: int | None = None):
+def _piece_words(buf: np.ndarray, cuts: np.ndarray, seps: np.ndarray, fold_case, seed: int, want: bool, upto: int | None = None):
     """Starts, ends and hashes of the words in buf; cuts: where a document begins; upto: bytes of a word that count."""
     solid = ~seps[buf]
     new = np.empty(len(buf), bool)
@@ -99,15 +110,18 @@ def _piece_words(buf: np.ndarray, cuts: np.ndarray, seps: np.ndarray, fold_case:
     size = ends - starts
     begin = np.cumsum(size) - size
     pos = np.arange(len(at)) - np.repeat(begin, size)
-    value = BYTE_KEY[fold_case[buf[at]]] * keys(int(size.max()), 1000 + seed)[pos]
+    value = BYTE_KEY[(fold_case[buf] if isinstance(fold_case, np.ndarray) else fold_case(buf))[at]] * keys(int(size.max()), 1000 + seed)[pos]
     if upto is not None:
         value[pos >= upto] = 0
         size = np.minimum(size, upto)
     return starts, ends, mix(np.add.reduceat(value, begin) + size.astype(U64) * STEP)
 
 
-def blocks(column: pa.Array, seps: np.ndarray = SPACES, fold_case: np.ndarray = ASIS, seed: int = 0, hashed: bool = True, most: int = PIECE, upto: int | None = None) -> Iterator[Block]:
-    """Blocks of whole documents of about `most` bytes (one longer document is a block of its own)."""
+def blocks(column: pa.Array, seps: np.ndarray = SPACES, fold_case=ASIS, seed: int = 0, hashed: bool = True, most: int = PIECE, upto: int | None = None) -> Iterator[Block]:
+    """Blocks of whole documents of about `most` bytes (one longer document is a block of its own).
+
+    fold_case: a table by byte, or a function of the buffer that keeps its length.
+    """
     data, offs = buffer(column)
     n, lo = len(offs) - 1, 0
     while lo < n:
