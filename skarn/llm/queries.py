@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, packing, quality, toxicity
+from . import decontam, langid, packing, quality, secret_scan, toxicity
 
-QUERIES = packing.QUERIES | quality.QUERIES | toxicity.QUERIES | decontam.QUERIES
+QUERIES = packing.QUERIES | quality.QUERIES | toxicity.QUERIES | decontam.QUERIES | langid.QUERIES | secret_scan.QUERIES
 ORACLE_SQL: dict[str, str] = {}
