@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, packing, quality, secret_scan, toxicity
+from . import decontam, langid, neighbours, packing, quality, secret_scan, toxicity
 
-QUERIES = packing.QUERIES | quality.QUERIES | toxicity.QUERIES | decontam.QUERIES | langid.QUERIES | secret_scan.QUERIES
+QUERIES = packing.QUERIES | quality.QUERIES | toxicity.QUERIES | decontam.QUERIES | langid.QUERIES | secret_scan.QUERIES | neighbours.QUERIES
 ORACLE_SQL: dict[str, str] = {}
