@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard, langid, neighbours, packing, quality, secret_scan, toxicity
+from . import decontam, jaccard, langid, neighbours, packing, quality, secret_scan, substring, toxicity
 
-QUERIES = packing.QUERIES | quality.QUERIES | toxicity.QUERIES | decontam.QUERIES | langid.QUERIES | secret_scan.QUERIES | neighbours.QUERIES | jaccard.QUERIES
+QUERIES = packing.QUERIES | quality.QUERIES | toxicity.QUERIES | decontam.QUERIES | langid.QUERIES | secret_scan.QUERIES | neighbours.QUERIES | jaccard.QUERIES | substring.QUERIES
 ORACLE_SQL: dict[str, str] = {}
