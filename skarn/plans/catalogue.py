@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import retrieval_queries
+
+_REGISTRIES = [m.REGISTRY for m in (retrieval_queries,)]
+QUERIES = {k: q for r in _REGISTRIES for k, q in r.queries.items()}
+ORACLE_SQL = {k: s for r in _REGISTRIES for k, s in r.sql.items()}
