@@ -163,12 +163,3 @@ def sigmoid(x: Column) -> Column:
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
-
-
-def hash_embedding(text: Column | str, buckets: int = 16, weight: float = 0.08) -> Column:
-    """Tokens fall into buckets by the first byte of their sha1; weight for each, length 1, six places."""
-    toks = tokens(text)
-    at = F.transform(toks, lambda t: F.conv(F.substring(F.sha1(t), 1, 2), 16, 10).cast("int") % buckets)
-    raw = F.array(*[F.size(F.filter(at, lambda i: i == k)) * weight for k in range(buckets)])
-    norm = F.sqrt(dot(raw, raw))
-    return F.transform(raw, lambda v: F.round(F.when(norm > 0, v / norm).otherwise(0.0), 6))

@@ -59,10 +59,10 @@ def dominant(events: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return total.join(best, list(by), "left").select(*by, F.col(f"b.{value}").alias(value), F.col("b.n").alias("n"), "total", F.round(F.coalesce(F.col("b.n") / F.col("total"), F.lit(1.0)), 6).alias("share"))
 
 
-def repeated(events: DataFrame, by: str, region: str, least: int) -> DataFrame:
+def repeated(events: DataFrame, by: str, region: str, least: int, least_region: int) -> DataFrame:
     """Groups with enough events whose dominant region alone has enough too."""
     top = dominant(events, [by], region)
-    return top.where((F.col("total") >= least) & (F.col("n") >= least))
+    return top.where((F.col("total") >= least) & (F.col("n") >= least_region))
 
 
 def keyword_alerts(events: DataFrame, rules: Sequence[tuple[str, Sequence[str], int, float]], text: str, region: str) -> DataFrame:
@@ -124,12 +124,12 @@ def components(edges: DataFrame, nodes: DataFrame, most: int = 50) -> DataFrame:
     return label.select("node", F.col("c").alias("component"))
 
 
-def pair_score(parts: Sequence[tuple[Column, float]]) -> Column:
-    """Weighted sum of components, clamped, then four places."""
+def pair_score(parts: Sequence[tuple[Column, float]], places: int = 4) -> Column:
+    """Weighted sum of components, clamped, then rounded."""
     total = F.lit(0.0)
     for value, weight in parts:
         total = total + weight * value
-    return F.round(C.clamp(total), 4)
+    return F.round(C.clamp(total), places)
 
 
 def time_step(hours: Column) -> Column:
