@@ -109,7 +109,7 @@ def overlap(a: np.ndarray, b: np.ndarray, agree: float) -> tuple[int, int, int]:
     return 0, 0, 0
 
 
-def find(batch_ids: np.ndarray, column: pa.Array, ix: Index, least: int, agree: float) -> list[tuple]:
+def find(batch_ids, column: pa.Array, ix: Index, least: int, agree: float) -> list[tuple]:
     """The best overlap of each document and item that qualifies."""
     best: dict[tuple, tuple] = {}
     sizes = np.diff(ix.first)
@@ -148,32 +148,46 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WORDS, ag
     Items with no more words than the shortest mask minus one are used only if short is set, as such
     few words stand in clean documents by chance.
     """
+    out = None
+    for shared in indexes(benchmark, block, short):
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                rows = find(batch.column(0).to_pylist(), batch.column(1), shared.value, least, agree)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+        found = common.texts(docs).mapInArrow(run, SCHEMA)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def indexes(benchmark: DataFrame, block: int = BLOCK, short: bool = False):
+    """A broadcast index of each block of the benchmark; blocks are cut so that their bytes bound their words."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    n = F.size(F.split("text", r"\s+"))
-    sized = items.withColumn("n", n).withColumn("bytes", F.octet_length("text"))
-    # The number of words in a block is bounded by its bytes; blocks are cut by running sums over the item's hash
-    total = sized.agg(F.sum("bytes")).first()[0] or 0
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-int(total) // (block * 6)))
-    out = None
     for p in range(parts):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).orderBy("item_id", "text").toArrow()
         ix = index(own.column("item_id").to_numpy(zero_copy_only=False), own.column("text").to_pylist())
         if not short:
-            small = np.diff(ix.first) < len(MASKS[0])
-            for i in np.flatnonzero(small):
+            for i in np.flatnonzero(np.diff(ix.first) < len(MASKS[0])):
                 ix.hashes[ix.first[i] : ix.first[i + 1]] = 0
-        shared = docs.sparkSession.sparkContext.broadcast(ix)
+        yield benchmark.sparkSession.sparkContext.broadcast(ix)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WORDS, agree: float = AGREE) -> DataFrame:
+    """The rows of docs that overlap with no item, with all their columns; no join is needed."""
+    at = docs.columns.index("text")
+    for shared in indexes(benchmark):
 
         def run(batches, shared=shared):
             for batch in batches:
-                ids = batch.column(0).to_pylist()
-                rows = find(ids, batch.column(1), shared.value, least, agree)
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+                bad = {r[0] for r in find(range(batch.num_rows), batch.column(at), shared.value, least, agree)}
+                yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
-        found = common.texts(docs).mapInArrow(run, SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return out
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,9 +195,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item; rows with a null doc_id stay."""
-    found = overlaps(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """Documents that overlap with no benchmark item; each row is judged by its own text."""
+    return clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {"op10_decontamination": op10_decontamination}

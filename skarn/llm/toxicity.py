@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, features, words
-from .quality import collected, labelled, measured, scored
+from .quality import collected, labelled, measured
 from .trees import Boosted, Isotonic, boost, isotonic
 
 #: At most so many labelled rows are fitted, those of the smallest hashes.
@@ -170,16 +170,45 @@ def fit(x: np.ndarray, y: np.ndarray) -> Toxicity | float:
     return Toxicity(boost(x, y), isotonic(margin, y))
 
 
+def trained(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS):
+    """The lexicon and the calibrated trees, both from the bounded labelled sample alone."""
+    sample = common.stage(labelled(labels, "toxic", rows), "labels")
+    lexicon = learn_lexicon(docs, sample)
+    own = common.texts(docs).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
+    stats = measured(own, lambda column: statistics(column, lexicon), len(NAMES))
+    return lexicon, fit(*collected(stats, sample))
+
+
+def scores(column: pa.Array, lexicon: Lexicon, model: Toxicity | float) -> np.ndarray:
+    return np.full(len(column), model) if isinstance(model, float) else model.score(statistics(column, lexicon))
+
+
 def classify(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """Scores every text for toxicity: doc_id, held_out, score, predicted.
 
     Null and empty texts are scored as empty. Repeated doc_ids each give a row; a null doc_id gives
     null for held_out. Without labels of both classes the score is the labels' mean (0 if none).
     """
-    sample = common.stage(labelled(labels, "toxic", rows), "labels")
-    lexicon = learn_lexicon(docs, sample)
-    stats = measured(docs, lambda column: statistics(column, lexicon), len(NAMES))
-    return scored(stats, fit(*collected(stats, sample)), threshold)
+    lexicon, model = trained(docs, labels, rows)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1), lexicon, model), pa.float64())], names=["doc_id", "score"])
+
+    out = common.texts(docs).mapInArrow(run, "doc_id long, score double")
+    return out.select("doc_id", (common.fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def reject(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose text scores below the threshold, with all their columns; no join is needed."""
+    lexicon, model = trained(docs, labels, rows)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(at), lexicon, model) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,13 +216,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those predicted toxic; rows with a null doc_id stay.
-
-    Scores come as doc_id and verdict, so rows join on doc_id; of repeated doc_ids any toxic row
-    rejects all.
-    """
-    toxic = classify(docs, common.table(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti")
+    """Documents without those predicted toxic; each row is judged by its own text, whatever its doc_id."""
+    return reject(docs, common.table(spark, sf_dir, "labels"))
 
 
 QUERIES = {"op8_toxicity": op8_toxicity}
