@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .state import saved
 from .windows import best_row
 
 
@@ -116,7 +117,7 @@ def components(edges: DataFrame, nodes: DataFrame, most: int = 50) -> DataFrame:
         near = both.join(label, F.col("v") == F.col("node")).groupBy("u").agg(F.min("c").alias("m"))
         step = label.join(near, F.col("node") == F.col("u"), "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"))
         up = step.select(F.col("node").alias("k"), F.col("c").alias("cc"))
-        label = step.join(up, F.col("c") == F.col("k")).select("node", F.col("cc").alias("c")).checkpoint()
+        label = saved(step.join(up, F.col("c") == F.col("k")).select("node", F.col("cc").alias("c")))
         now = label.agg(F.sum("c")).first()[0]
         if now == before:
             break

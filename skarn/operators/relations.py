@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .state import saved
 from .windows import best_row
 
 
@@ -112,7 +113,7 @@ def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.9, rounds: i
         kept = flow.agg(F.coalesce(F.sum("f"), F.lit(0.0)).alias("s"))
         rank = rank.join(flow, F.col("node") == F.col("tail"), "left").join(F.broadcast(kept)).select("node", "p0", ((1 - damping) * F.col("p0") + damping * (F.coalesce("f", F.lit(0.0)) + (1 - F.col("s")) * F.col("p0"))).alias("p"))
         if r % 3 == 2:
-            rank = rank.checkpoint()
+            rank = saved(rank)
     return rank.select("node", F.round("p", 8).alias("score"))
 
 
