@@ -219,7 +219,11 @@ def family_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
                 part = batch.slice(rows.start, rows.stop - rows.start)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(own, pa.binary())], names=["rep", "family", "blocks", "grams"])
 
-    texts = docs.join(members.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "family", "blocks")
+    # Most documents have no family: let the optimizer filter the texts by a Bloom filter of the members before they are shuffled, at any size
+    docs.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    docs.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1GB")
+    own_members = members.where("blocks >= 1").select(F.col("rep").alias("doc_id"), "family", "blocks")
+    texts = docs.join(own_members, "doc_id").select("doc_id", "text", "family", "blocks")
     got = texts.mapInArrow(run, "rep long, family long, blocks int, grams binary")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
