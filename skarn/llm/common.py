@@ -28,7 +28,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     This cuts the lineage with files that outlive any executor. Column names and types are kept.
     """
     path = f"{shared_dir(df.sparkSession)}/skarn-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

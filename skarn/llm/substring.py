@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from . import common, words
 
-WINDOW, ROUNDS = 50, 7
+#: Runs are named in every seventh round, from the first on: later runs are rare, and naming them looks far to both sides.
+WINDOW, ROUNDS, RUNS_EVERY, ANCHOR = 50, 6, 7, 5
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
 #: The inverse of BASE modulo 2^64.
@@ -29,39 +31,57 @@ UNBASE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 FAR = 1 << 40
 
 
-def _merge(name, lo, hi, doc, dlo, dhi, head, run_round: bool, salt: int):
-    """One naming step. head marks the first symbol of each new one; dlo and dhi: the words that naming has looked at."""
+def _ends(head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last member of each group that head opens."""
     at = np.flatnonzero(head)
-    count = np.diff(np.append(at, len(name)))
-    last = at + count - 1
-    if run_round:
-        new = np.where(count > 1, words.mix(name[at] + count.astype(U64) * BASE + U64(salt)), name[at])
-    else:
-        new = np.where(count > 1, words.mix(words.mix(name[at] + U64(salt)) * BASE + name[last]), name[at])
-    # Neighbours decide where a symbol ends; a document's end has no neighbour to look at and counts as far off
-    before = np.where((at > 0) & (doc[np.maximum(at - 1, 0)] == doc[at]), dlo[np.maximum(at - 1, 0)], -FAR)
-    end = len(name) - 1
-    after = np.where((last < end) & (doc[np.minimum(last + 1, end)] == doc[last]), dhi[np.minimum(last + 1, end)], FAR)
-    return new, lo[at], hi[last], doc[at], np.minimum(before, dlo[at]), np.maximum(after, dhi[last])
+    return at, np.append(at[1:], len(head)) - 1
+
+
+def _beside(doc: np.ndarray, at: np.ndarray, bound: np.ndarray, step: int) -> np.ndarray:
+    """The bound of each symbol's neighbour; at a document's end there is none to look at, which counts as far off."""
+    to = at + step
+    inside = (to >= 0) & (to < len(doc))
+    to = np.clip(to, 0, len(doc) - 1)
+    return np.where(inside & (doc[to] == doc[at]), bound[to], step * FAR)
+
+
+def _runs(name, doc, lo, hi, size, salt: int):
+    """Runs of one symbol get one name; where a run ends depends on both neighbours."""
+    head = np.ones(len(name), bool)
+    head[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
+    at, last = _ends(head)
+    count = last - at + 1
+    new = np.where(count > 1, words.mix(name[at] + count.astype(U64) * BASE + U64(salt)), name[at])
+    return new, doc[at], np.minimum(lo[at], _beside(doc, at, lo, -1)), np.maximum(hi[last], _beside(doc, last, hi, 1)), size[at] * count
+
+
+def _pairs(name, doc, lo, hi, size, salt: int):
+    """A name's bit says whether it opens or closes a pair. A pair needs no look beyond itself; an opener without
+    a closer has looked at its right neighbour, a closer without an opener at its left one."""
+    closes = (words.mix(name + U64(1000 + salt)) & U64(1)) == 1
+    head = np.ones(len(name), bool)
+    head[1:] = ~(~closes[:-1] & closes[1:] & (doc[1:] == doc[:-1]))
+    at, last = _ends(head)
+    two = last > at
+    new = np.where(two, words.mix(words.mix(name[at] + U64(salt)) * BASE + name[last]), name[at])
+    left = np.where(~two & closes[at], np.minimum(lo[at], _beside(doc, at, lo, -1)), lo[at])
+    right = np.where(~two & ~closes[at], np.maximum(hi[at], _beside(doc, at, hi, 1)), hi[last])
+    return new, doc[at], left, right, np.where(two, size[at] + size[last], size[at])
 
 
 def recompress(hashes: np.ndarray, first: np.ndarray, rounds: int = ROUNDS):
-    """Symbols after the rounds: name, document, and the half-open range of words that its naming depends on."""
-    n = len(hashes)
-    name, lo = hashes.copy(), np.arange(n)
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    hi, dlo, dhi = lo + 1, lo.copy(), lo + 1
-    for r in range(rounds):
-        if not len(name):
-            break
-        head = np.ones(len(name), bool)
-        head[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
-        name, lo, hi, doc, dlo, dhi = _merge(name, lo, hi, doc, dlo, dhi, head, True, 2 * r + 1)
-        side = words.mix(name + U64(1000 + r)) & U64(1)  # 0: may open a pair, 1: may close it
-        head = np.ones(len(name), bool)
-        head[1:] = ~((side[:-1] == 0) & (side[1:] == 1) & (doc[1:] == doc[:-1]))
-        name, lo, hi, doc, dlo, dhi = _merge(name, lo, hi, doc, dlo, dhi, head, False, 2 * r + 2)
-    return name, doc, dlo, dhi
+    """Anchors, the symbols of ANCHOR words or more after the rounds: name, document, and the half-open range of words that the naming depends on.
+
+    Shorter symbols, mostly common words that found no partner, say little and are left out.
+    """
+    name, lo = hashes.copy(), np.arange(len(hashes))
+    doc, hi, size = np.repeat(np.arange(len(first) - 1), np.diff(first)), lo + 1, np.ones(len(hashes), np.int64)
+    for r in range(rounds if len(name) else 0):
+        if r % RUNS_EVERY == 0:
+            name, doc, lo, hi, size = _runs(name, doc, lo, hi, size, 2 * r + 1)
+        name, doc, lo, hi, size = _pairs(name, doc, lo, hi, size, 2 * r + 2)
+    use = size >= ANCHOR
+    return name[use], doc[use], lo[use], hi[use]
 
 
 def text_names(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,24 +107,39 @@ def _kept(block: words.Block, d: int, gone: np.ndarray | None) -> str:
     return hashlib.sha256(b" ".join([get(i) for i in keep])).hexdigest()
 
 
+def ruled_out(n: int, first: np.ndarray, of: np.ndarray, lo: np.ndarray, hi: np.ndarray, unique: np.ndarray) -> np.ndarray:
+    """For each word, whether the window from it holds all that the naming of some unique symbol has looked at.
+
+    A unique symbol that looked at words lo..hi rules out the windows from hi - WINDOW to lo.
+    """
+    bad = np.flatnonzero(unique & (hi - lo <= WINDOW))
+    mark = np.zeros(n + 1, np.int64)
+    np.add.at(mark, np.maximum(hi[bad] - WINDOW, first[:-1][of[bad]]), 1)
+    np.add.at(mark, lo[bad] + 1, -1)
+    return np.cumsum(mark[:n]) > 0
+
+
 def summary(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, number of words, names of the whole text, sha256 of its words, and its distinct last symbols."""
+    """doc_id, number of words, names of the whole text, sha256 of its words, whether it has windows that no symbol can rule out, and its distinct last symbols."""
 
     def run(batches):
         for batch in batches:
             for b in words.blocks(batch.column(1), seed=21):
                 n = np.diff(b.first)
                 h1, h2 = text_names(b.hashes, b.first)
-                name, doc, _, _ = recompress(b.hashes, b.first, rounds)
+                name, doc, lo, hi = recompress(b.hashes, b.first, rounds)
+                free = ~ruled_out(len(b.hashes), b.first, doc, lo, hi, np.ones(len(name), bool))
+                free &= np.arange(len(free)) + WINDOW <= np.repeat(b.first[1:], n)
+                open_ = np.bincount(b.doc[free], minlength=len(n)) > 0
                 long = n[doc] >= WINDOW if len(doc) else np.zeros(0, bool)
                 v, c = words.distinct(name[long], np.bincount(doc[long], minlength=len(n)))
                 data = bytes(b.buf)
                 sha = [hashlib.sha256(b" ".join(data[s:e].split())).hexdigest() for s, e in _spans(b)]
                 ids = batch.column(0).slice(b.rows.start, b.rows.stop - b.rows.start)
-                cols = [ids, pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sha), words.lists(v, c)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "h1", "h2", "sha", "names"])
+                cols = [ids, pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sha), pa.array(open_), words.lists(v, c)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "h1", "h2", "sha", "open", "names"])
 
-    return common.stage(docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sha string, names array<long>"), "symbols")
+    return common.stage(docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sha string, open boolean, names array<long>"), "symbols")
 
 
 def _spans(b: words.Block):
@@ -125,7 +160,7 @@ def window_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def candidate_windows(texts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Windows that hold no unique symbol: doc_id, pos, h, g. texts: doc_id, text, shared (names that other texts have too)."""
+    """Windows that hold no unique symbol: doc_id, pos, how many equal ones follow one another, h, g. texts: doc_id, text, shared (names that other texts have too)."""
 
     def run(batches):
         for batch in batches:
@@ -140,26 +175,26 @@ def candidate_windows(texts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                 name, of, dlo, dhi = recompress(b.hashes, b.first, rounds)
                 at = np.minimum(np.searchsorted(ok, name), max(len(ok) - 1, 0))
                 unique = (ok[at] != name) if len(ok) else np.ones(len(name), bool)
-                # A unique symbol whose naming looked at words dlo..dhi rules out the windows from dhi - WINDOW to dlo
-                bad = np.flatnonzero(unique & (dhi - dlo <= WINDOW))
-                mark = np.zeros(n + 1, np.int64)
-                np.add.at(mark, np.maximum(dhi[bad] - WINDOW, b.first[:-1][of[bad]]), 1)
-                np.add.at(mark, dlo[bad] + 1, -1)
-                pos = np.flatnonzero(np.cumsum(mark[:n]) == 0)
+                pos = np.flatnonzero(~ruled_out(n, b.first, of, dlo, dhi, unique))
                 pos = pos[pos + WINDOW <= b.first[1:][doc[pos]]]
                 if not len(pos):
                     continue
                 h = window_hashes(b.hashes)[pos]
+                # Within a long run of one word, windows are equal: they go as one row with their number
+                new = np.ones(len(pos), bool)
+                new[1:] = (h[1:] != h[:-1]) | (pos[1:] != pos[:-1] + 1) | (doc[pos[1:]] != doc[pos[:-1]])
+                many = np.diff(np.append(np.flatnonzero(new), len(pos)))
+                pos, h = pos[new], h[new]
                 g = window_hashes(words.mix(b.hashes ^ U64(5)))[pos] >> U64(33)
                 ids = np.array(batch.column(0).slice(b.rows.start, b.rows.stop - b.rows.start).to_pylist(), np.int64)
-                cols = [pa.array(ids[doc[pos]]), pa.array((pos - b.first[:-1][doc[pos]]).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "pos", "h", "g"])
+                cols = [pa.array(ids[doc[pos]]), pa.array((pos - b.first[:-1][doc[pos]]).astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "pos", "many", "h", "g"])
 
-    return texts.mapInArrow(run, "doc_id long, pos int, h long, g int")
+    return texts.mapInArrow(run, "doc_id long, pos int, many int, h long, g int")
 
 
 def removed(texts: DataFrame) -> DataFrame:
-    """doc_id, n_removed and kept_sha256. texts: doc_id, text, starts (of the repeated windows)."""
+    """doc_id, n_removed and kept_sha256. texts: doc_id, text, starts (pos and many of the repeated windows)."""
 
     def run(batches):
         for batch in batches:
@@ -167,10 +202,10 @@ def removed(texts: DataFrame) -> DataFrame:
             for b in words.blocks(batch.column(1), seed=21, hashed=False):
                 for d in range(len(b.first) - 1):
                     n = int(b.first[d + 1] - b.first[d])
-                    at = np.array(batch.column(2)[b.rows.start + d].as_py() or [], np.int64)
+                    at = batch.column(2)[b.rows.start + d].as_py() or []
                     mark = np.zeros(n + WINDOW + 1, np.int64)
-                    np.add.at(mark, at, 1)
-                    np.add.at(mark, at + WINDOW, -1)
+                    np.add.at(mark, np.array([x["pos"] for x in at], np.int64), 1)
+                    np.add.at(mark, np.array([x["pos"] + x["many"] - 1 + WINDOW for x in at], np.int64), -1)
                     gone = np.cumsum(mark)[:n] > 0
                     rows.append((batch.column(0)[b.rows.start + d].as_py(), int(gone.sum()), _kept(b, d, gone)))
             if rows:
@@ -179,6 +214,15 @@ def removed(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, n_removed long, kept_sha256 string")
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """df as a table of the warehouse in buckets by key: later joins on it move the other side only."""
+    spark = df.sparkSession
+    name = f"skarn_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def dedup(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document.
 
@@ -190,14 +234,23 @@ def dedup(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     table = summary(own, rounds)
     usable = table.where((F.col("n") >= WINDOW) & F.col("doc_id").isNotNull())
     reps = common.stage(usable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "texts")
-    stand = usable.join(reps, ["h1", "h2", "n"]).where("doc_id = rep").select("doc_id", F.explode("names").alias("name"))
-    twice = stand.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("name")
+    # Let the optimizer thin joins by Bloom filters of their small sides before the large ones are shuffled, at any size
+    own.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    own.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1GB")
+    own_reps = usable.join(reps, ["h1", "h2", "n"]).where("doc_id = rep")
+    stand = own_reps.select("doc_id", F.explode("names").alias("name"))
+    twice = stand.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    twice = common.stage(twice.select("name"), "shared").where(F.col("name") >= -(1 << 63))
     shared = stand.join(twice, "name").groupBy("doc_id").agg(F.collect_list("name").alias("shared"))
-    # A text with no shared symbol may still repeat where symbols are too long to be looked at: all of it goes on
-    some = common.stage(own.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").join(shared, "doc_id", "left").select("doc_id", "text", F.coalesce("shared", F.expr("cast(array() as array<bigint>)")).alias("shared")), "sources")
-    found = common.stage(candidate_windows(some, rounds), "windows")
-    first = found.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    starts = found.join(first, ["h", "g"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("pos").alias("starts"))
+    # Texts with a shared symbol, and those with windows that no symbol can rule out
+    none = F.expr("cast(array() as array<bigint>)")
+    marked = own_reps.select("doc_id", "open").join(shared, "doc_id", "left").where(F.col("open") | F.col("shared").isNotNull())
+    marked = common.stage(marked.select("doc_id", F.coalesce("shared", none).alias("shared")), "marked")
+    some = bucketed(own.join(marked.where("size(shared) >= 0"), "doc_id").select("doc_id", "text", "shared"), "doc_id")
+    # Read twice below: hashing the windows again costs less than to keep and move them once more
+    found = candidate_windows(some, rounds)
+    first = found.groupBy("h", "g").agg(F.min("doc_id").alias("lo"))
+    starts = found.join(first, ["h", "g"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "many")).alias("starts"))
     cut = removed(some.select("doc_id", "text").join(starts, "doc_id").select("doc_id", "text", "starts"))
     copies = table.join(reps, ["h1", "h2", "n"], "left")
     out = copies.join(cut, "doc_id", "left")
