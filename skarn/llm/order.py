@@ -83,10 +83,10 @@ def sequence_counts(docs: DataFrame, vocabulary: str, length: int) -> DataFrame:
     """file, at, sequences: how many sequences each split gives."""
 
     def run(batches):
-        encode, total = tokens.word_ids(vocabulary).ids, {}
+        encode, total = tokens.word_ids(vocabulary).blocks, {}
         for batch in batches:
             for file, at, lo, hi in _runs(batch):
-                n = sum(len(encode(batch.column(1)[i].as_py())) // 4 + 1 for i in range(lo, hi))
+                n = hi - lo + sum(len(ids) for _, ids, _ in encode(batch.column(1).slice(lo, hi - lo)))
                 total[file, at] = total.get((file, at), 0) + n
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int64()), pa.array([-(-n // length) for n in total.values()], pa.int64())], names=["file", "at", "sequences"])
 
@@ -104,7 +104,7 @@ def materialise(docs: DataFrame, path: str | None = None, vocabulary: str = toke
     path = path or f"{common.shared_dir(docs.sparkSession)}/skarn-shards-{uuid.uuid4().hex}"
     own = _splits(docs)
     # One row for each file split, no more than Spark itself tracks on the driver
-    counts = sequence_counts(own, vocabulary, length).orderBy("file", "at").collect()
+    counts = sorted(sequence_counts(own, vocabulary, length).collect())
     base, n = {}, 0
     for r in counts:
         base[r["file"], r["at"]] = (n, r["sequences"])
@@ -129,7 +129,7 @@ def materialise(docs: DataFrame, path: str | None = None, vocabulary: str = toke
         return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(out, pa.binary())], names=["slot", "record"])
 
     def run(batches):
-        encode = tokens.word_ids(vocabulary).ids
+        encode = tokens.word_ids(vocabulary).each
         split, ids, owners, done = None, bytearray(), [], 0  # owners: (first id's place, doc_id)
 
         def flush(last: bool):
@@ -153,10 +153,9 @@ def materialise(docs: DataFrame, path: str | None = None, vocabulary: str = toke
                     if split is not None and (out := flush(True)) is not None:
                         yield out
                     split, ids, owners, done = (file, at), bytearray(), [], 0
-                for i in range(lo, hi):
-                    doc = batch.column(0)[i].as_py()
+                for doc, new in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), encode(batch.column(1).slice(lo, hi - lo))):
                     owners.append((len(ids) // 2, -1 if doc is None else doc))
-                    ids += np.frombuffer(encode(batch.column(1)[i].as_py()), "<u4").astype("<u2").tobytes() + end
+                    ids += new.astype("<u2").tobytes() + end
                     if len(ids) >= 512 * length and (out := flush(False)) is not None:
                         yield out
         if split is not None and (out := flush(True)) is not None:
@@ -188,7 +187,9 @@ def read(spark: SparkSession, path: str, length: int = LENGTH, per_shard: int =
                 cols = [pa.array(head["slot"].astype(np.int64)), pa.array(np.arange(len(head), dtype=np.int64) * size), pa.array(head["doc_id"].astype(np.int64)), pa.array(head["ids"].astype(np.int32)), pa.array(head["crc32"].astype(np.int64)), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["slot", "byte_offset", "doc_id", "n_ids", "crc32", "ids"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where(F.col("shard") >= start // per_shard)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    # Folders name the shards; without any there are no rows
+    files = files.where(F.col("shard") >= start // per_shard) if "shard" in files.columns else files.limit(0)
     out = files.select("content").mapInArrow(run, "slot long, byte_offset long, doc_id long, n_ids int, crc32 long, ids binary").where(F.col("slot") >= start)
     return out.select("slot", F.expr(f"slot div {per_shard}").alias("shard"), "byte_offset", "doc_id", "n_ids", "crc32", "ids")
 

@@ -87,13 +87,13 @@ def pack(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, capacity: int = C
     """
 
     def run(batches):
-        encode = tokens.word_ids(vocabulary).ids
+        encode = tokens.word_ids(vocabulary).each
         tail = end_id.to_bytes(4, "little")
         bins = Bins(capacity, TaskContext.get().partitionId() << 40)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + tail
+            for doc, own in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                ids = own.astype("<u4").tobytes() + tail
                 n, at = len(ids) // 4, 0
                 for size in (capacity,) * (n // capacity) + cuts(n % capacity, capacity, least):
                     rows += bins.add((doc, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), n))

@@ -1,24 +1,26 @@
 """Token ids of whole texts by a vocabulary file of the `tokenizers` library, with a fast path.
 
 For vocabularies that drop white space and mark word ends, a text's ids are those of its words in
-a row, so each distinct word is encoded once per worker. Plain Latin words take a merge table of
+a row, so each distinct word is encoded once per worker and looked up by its 64-bit hash. Plain Latin words take a merge table of
 the same ranks (with the word end as a byte of its own); every other word goes to the library.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+
+from . import words
 
 VOCABULARY = "word_bpe_49k.json"
 #: Memory of distinct words per worker.
-MEMO = 400_000
+MEMO = 500_000
 END = "\x01"
-#: str.split() takes these as white space, the vocabulary does not.
-ODD = "\x1c\x1d\x1e\x1f"
 
 
 def _byte_of_letter() -> dict[str, int]:
@@ -29,7 +31,7 @@ def _byte_of_letter() -> dict[str, int]:
 
 
 class WordIds:
-    """ids(text) -> little-endian unsigned 32-bit ids as bytes, equal to the library's."""
+    """Little-endian unsigned 32-bit ids as bytes, equal to the library's."""
 
     def __init__(self, path: str):
         import regex
@@ -58,30 +60,86 @@ class WordIds:
         self.fast = tiktoken.Encoding("words", pat_str=r"[^\x01\s]+\x01", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
         self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.plain = regex.compile(r"[\x21-\x7E\xC0-\xFF]+")
-        self.memo: dict[str, bytes] = {}
-
-    def _one(self, word: str) -> bytes:
-        if self.plain.fullmatch(word) and "<|" not in word:
-            got = self.lut[self.fast(self.parts.sub("\\g<0>" + END, word.lower()))]
-        else:
-            got = np.array(self.slow.encode(word, add_special_tokens=False).ids, np.uint32)
-        got = got.astype("<u4").tobytes()
-        if len(self.memo) < MEMO and len(word) <= 64:
-            self.memo[word] = got
-        return got
+        self.raw = [int(i).to_bytes(4, "little") for i in self.lut]
+        self.signs = {c: b"".join(self.raw[r] for r in self.fast(c + END)) for c in ".,"}
+        self.slots: dict[int, int] = {}
+        self.start, self.size = np.zeros(MEMO, np.int64), np.zeros(MEMO, np.int64)
+        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.last = np.array([k.endswith(END.encode()) for k in ranks])
+
+    def _learn(self, missing: list[str]) -> list[bytes]:
+        """Ids of distinct words; those of plain letters, with or without a closing sign, are merged in one call."""
+        heads: list[tuple[int, str, bytes]] = []
+        out: list[bytes] = [b""] * len(missing)
+        slow, plain, parts, signs, raw = self.slow, self.plain, self.parts, self.signs, self.raw
+        for i, w in enumerate(missing):
+            if (w.isascii() and w.isprintable() or plain.fullmatch(w)) and "<|" not in w:
+                low = w.lower()
+                if low.isalpha():
+                    heads.append((i, low, b""))
+                elif low[-1] in ".," and low[:-1].isalpha():
+                    heads.append((i, low[:-1], signs[low[-1]]))
+                else:
+                    out[i] = b"".join([raw[r] for r in self.fast(parts.sub("\\g<0>" + END, low))])
+            else:
+                out[i] = np.array(slow.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        if heads:
+            bases = list(dict.fromkeys(low for _, low, _ in heads))
+            ranks = np.array(self.fast(END.join(bases) + END))
+            ids = self.lut[ranks].astype("<u4").tobytes()
+            own, at = {}, 0
+            for base, end in zip(bases, (np.flatnonzero(self.last[ranks]) + 1).tolist()):
+                own[base] = ids[4 * at : 4 * end]
+                at = end
+            for i, low, tail in heads:
+                out[i] = own[low] + tail
+        return out
+
+    def _table(self, block: words.Block) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word's ids stand in self.flat, and how many there are; new words are learned and kept while there is room."""
+        seen, first, inverse = np.unique(block.hashes, return_index=True, return_inverse=True)
+        get = self.slots.get
+        slot = np.array([get(h, -1) for h in seen.tolist()], np.int64)
+        start, size = self.start[slot], self.size[slot]
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            data = block.buf.tobytes()
+            at = first[new]
+            got = self._learn([data[s:e].decode() for s, e in zip(block.starts[at].tolist(), block.ends[at].tolist())])
+            n = np.array([len(g) // 4 for g in got], np.int64)
+            begin = self.used + np.cumsum(n) - n
+            flat = np.frombuffer(b"".join(got), "<u4")
+            if self.used + len(flat) > len(self.flat):
+                self.flat = np.concatenate([self.flat[: self.used], np.zeros(len(flat) + len(self.flat), np.uint32)])
+            self.flat[self.used : self.used + len(flat)] = flat
+            start[new], size[new] = begin, n
+            keep = min(len(new), MEMO - len(self.slots))
+            if keep > 0:
+                base = len(self.slots)
+                self.slots.update(zip(seen[new[:keep]].tolist(), range(base, base + keep)))
+                self.start[base : base + keep], self.size[base : base + keep] = begin[:keep], n[:keep]
+                self.used += int(n[:keep].sum())
+        return start[inverse], size[inverse]
+
+    def blocks(self, column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """By block of documents: rows, the ids of all in a row, and where each document's begin (and the last ends)."""
+        for b in words.blocks(column, seed=31):
+            if not len(b.hashes):
+                yield b.rows, np.zeros(0, np.uint32), np.zeros(len(b.first), np.int64)
+                continue
+            start, size = self._table(b)
+            end = np.cumsum(size)
+            ids = self.flat[np.repeat(start - (end - size), size) + np.arange(end[-1])]
+            yield b.rows, ids, np.concatenate([[0], end])[b.first]
+
+    def each(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        for _, ids, offs in self.blocks(column):
+            for lo, hi in zip(offs[:-1].tolist(), offs[1:].tolist()):
+                yield ids[lo:hi]
 
     def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(c in text for c in ODD):
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.split()
-        get, memo = self.memo.get, self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            one = self._one
-            return b"".join([g if (g := get(w)) is not None else one(w) for w in words])
+        return next(self.each(pa.array([text], pa.string()))).astype("<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
