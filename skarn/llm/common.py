@@ -37,6 +37,13 @@ def fold(id_col: str, k: int) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % F.lit(k)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts are bounded by bytes, so two tasks' batches fit beside an executor's heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16777216")
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator reads, under fixed names, so other columns can't clash."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

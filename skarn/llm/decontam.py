@@ -178,6 +178,7 @@ def indexes(benchmark: DataFrame, block: int = BLOCK, short: bool = False):
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WORDS, agree: float = AGREE) -> DataFrame:
     """The rows of docs that overlap with no item, with all their columns; no join is needed."""
+    common.small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     for shared in indexes(benchmark):
 

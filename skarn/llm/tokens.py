@@ -19,7 +19,7 @@ from . import words
 
 VOCABULARY = "word_bpe_49k.json"
 #: Memory of distinct words per worker.
-MEMO = 500_000
+MEMO = 300_000
 END = "\x01"
 
 
