@@ -3,7 +3,8 @@
 A seed is a fixed mask over a run of words: only the words under its ones are hashed, so two runs
 that differ under a zero still meet. Windows of the benchmark are hashed under every mask; those of
 the documents are looked up. Around each hit, the item is laid over the document at that place and
-the agreeing words are counted, which tolerates substitutions anywhere in the overlap.
+the agreeing words are counted, which tolerates substitutions anywhere in the overlap. The masks are
+such that no overlap that counts can avoid them all.
 
 The benchmark is taken in blocks of at most BLOCK windows, each sent to all tasks: its size is
 bounded by that number whatever the benchmark's size, and every block passes over all documents.
@@ -11,7 +12,9 @@ bounded by that number whatever the benchmark's size, and every block passes ove
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +24,15 @@ from pyspark.sql import functions as F
 
 from . import common, words
 
-#: Fixed masks (span 10 to 13, weight 6 to 7); items shorter than a mask are compared as one run.
-MASKS = ("1110100111", "1101100010111", "1011010011011")
+#: Fixed masks. Of 13 words or more that agree in 0.8, four agree in a row, except where each fourth of 15 words is
+#: substituted; that pattern and those of 10 and 11 words with two substitutions meet under the second mask.
+MASKS = ("1111", "111011")
+#: Items with fewer words are compared as one run.
+LEAST_ITEM = 10
 BLOCK = 200_000
+#: Hits that are expanded at once, and words that are laid out at once.
+MOST_HITS = 1 << 18
+MOST_LAID = 1 << 20
 #: An overlap counts if it spans so many words, or this share of a shorter item, and so many of its words agree.
 LEAST_WORDS, AGREE = 13, 0.8
 SEPS = words.separators(bytes(range(0x21, 0x30)) + b":;<=>?@[\\]^_`{|}~")
@@ -59,14 +68,18 @@ class Index:
     places: list[np.ndarray]
     filters: list[np.ndarray]
 
-    def runs(self, k: int, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For windows with these hashes: the window, the item and the place in the item, for every match."""
+    def runs(self, k: int, seen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For windows with these hashes: the window, the item and the place in the item, for every match, in parts of bounded size."""
         maybe = np.flatnonzero(self.filters[k][(seen >> np.uint64(44)).astype(np.int64)])
         lo = np.searchsorted(self.keys[k], seen[maybe], "left")
-        hi = np.searchsorted(self.keys[k], seen[maybe], "right")
-        n = hi - lo
-        at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(maybe, n), self.items[k][at], self.places[k][at]
+        n = np.searchsorted(self.keys[k], seen[maybe], "right") - lo
+        maybe, lo, n = maybe[n > 0], lo[n > 0], n[n > 0]
+        part = (np.cumsum(n) - n) // MOST_HITS
+        cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(n)]]) if len(n) else [0]
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            own = n[a:z]
+            at = np.repeat(lo[a:z], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+            yield np.repeat(maybe[a:z], own), self.items[k][at], self.places[k][at]
 
 
 def index(ids: np.ndarray, texts: list[str | None]) -> Index:
@@ -79,7 +92,7 @@ def index(ids: np.ndarray, texts: list[str | None]) -> Index:
         h = seeds(hashes, mask, k)
         item = np.repeat(np.arange(len(size)), size)[: len(h)]
         place = np.arange(len(h)) - first[item]
-        keep = place + len(mask) <= size[item]
+        keep = (place + len(mask) <= size[item]) & (size[item] >= LEAST_ITEM)
         h, item, place = h[keep], item[keep], place[keep]
         order = np.argsort(h, kind="stable")
         bits = np.zeros(1 << 20, bool)
@@ -109,28 +122,56 @@ def overlap(a: np.ndarray, b: np.ndarray, agree: float) -> tuple[int, int, int]:
     return 0, 0, 0
 
 
+def able(doc: np.ndarray, item: np.ndarray, at: np.ndarray, own: np.ndarray, size: np.ndarray, need: np.ndarray, agree: float) -> np.ndarray:
+    """Which layings of size item words from own over document words from at hold a run of need words or more that counts (see overlap)."""
+    share = Fraction(agree).limit_denominator(10_000)
+    out = np.zeros(len(at), bool)
+    part = (np.cumsum(size) - size) // MOST_LAID
+    for p in np.unique(part):
+        rows = np.flatnonzero(part == p)
+        n = size[rows]
+        begin = np.cumsum(n) - n
+        of = np.repeat(np.arange(len(n)), n)
+        inner = np.arange(n.sum()) - begin[of]
+        same = doc[at[rows][of] + inner] == item[own[rows][of] + inner]
+        # before and after a word: agreeing words less the share of all, lower by a step for each laying, so that a running least never reaches back
+        step = 2 * share.denominator * (int(n.max(initial=0)) + 2)
+        after = np.cumsum(share.denominator * same - share.numerator) - of * step
+        before = after - share.denominator * same + share.numerator
+        least = np.minimum.accumulate(np.where(same, before, before + step // 2))
+        first = inner - need[rows][of] + 1
+        j = np.flatnonzero(same & (first >= 0))
+        good = j[after[j] >= least[begin[of[j]] + first[j]]]
+        out[rows[of[good]]] = True
+    return out
+
+
 def find(batch_ids, column: pa.Array, ix: Index, least: int, agree: float) -> list[tuple]:
     """The best overlap of each document and item that qualifies."""
     best: dict[tuple, tuple] = {}
     sizes = np.diff(ix.first)
+    need = np.minimum(least, np.maximum(1, np.ceil(agree * sizes - 1e-9).astype(np.int64)))
     for block in blocks(column):
         doc = block.doc
+        span = len(block.hashes) + int(sizes.max(initial=0)) + 1
         for k, mask in enumerate(MASKS):
             h = seeds(block.hashes, mask, k)
             if not len(h) or not len(ix.keys[k]):
                 continue
-            w, item, place = ix.runs(k, h)
-            inside = doc[w] == doc[w + len(mask) - 1]
-            lay = np.unique(np.column_stack([doc[w], item, w - place])[inside], axis=0)
-            for d, i, at in lay.tolist():
-                lo, hi = int(block.first[d]), int(block.first[d + 1])
-                a, z = max(at, lo), min(at + int(sizes[i]), hi)
-                if best.get((block.rows.start + d, i), (0, 0, 0))[1] >= z - a:
-                    continue
-                s, n, same = overlap(block.hashes[a:z], ix.hashes[ix.first[i] + a - at : ix.first[i] + z - at], agree)
-                if n >= min(least, max(1, int(np.ceil(agree * sizes[i])))) and n > best.get((block.rows.start + d, i), (0, 0, 0))[1]:
-                    best[block.rows.start + d, i] = (a - lo + s, n, same)
-        small = [i for i in np.flatnonzero((sizes > 0) & (sizes < len(MASKS[0])))]
+            for w, item, place in ix.runs(k, h):
+                inside = doc[w] == doc[w + len(mask) - 1]
+                lay = np.unique(((doc[w] * len(sizes) + item) * span + (w - place + span - len(block.hashes)))[inside])
+                pair, at = lay // span, lay % span - (span - len(block.hashes))
+                d, i = pair // len(sizes), pair % len(sizes)
+                a, z = np.maximum(at, block.first[d]), np.minimum(at + sizes[i], block.first[d + 1])
+                good = able(block.hashes, ix.hashes, a, ix.first[i] + a - at, z - a, need[i], agree)
+                for d, i, at, a, z in np.column_stack([d, i, at, a, z])[good].tolist():
+                    if best.get((block.rows.start + d, i), (0, 0, 0))[1] >= z - a:
+                        continue
+                    s, n, same = overlap(block.hashes[a:z], ix.hashes[ix.first[i] + a - at : ix.first[i] + z - at], agree)
+                    if n >= need[i] and n > best.get((block.rows.start + d, i), (0, 0, 0))[1]:
+                        best[block.rows.start + d, i] = (a - int(block.first[d]) + s, n, same)
+        small = [i for i in np.flatnonzero((sizes > 0) & (sizes < LEAST_ITEM))]
         for i in small:  # an item too short for a mask has to stand in full
             own = ix.hashes[ix.first[i] : ix.first[i + 1]]
             for w in np.flatnonzero(block.hashes == own[0]).tolist():
@@ -145,8 +186,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WORDS, ag
 
     Words are runs between blanks and ASCII punctuation, in lower case. Null and empty texts and
     items overlap with nothing. Repeated doc_ids each give their rows; a null doc_id stays null.
-    Items with no more words than the shortest mask minus one are used only if short is set, as such
-    few words stand in clean documents by chance.
+    Items with fewer words than LEAST_ITEM are used only if short is set, as such few words stand in clean documents by chance.
     """
     out = None
     for shared in indexes(benchmark, block, short):
@@ -171,7 +211,7 @@ def indexes(benchmark: DataFrame, block: int = BLOCK, short: bool = False):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).orderBy("item_id", "text").toArrow()
         ix = index(own.column("item_id").to_numpy(zero_copy_only=False), own.column("text").to_pylist())
         if not short:
-            for i in np.flatnonzero(np.diff(ix.first) < len(MASKS[0])):
+            for i in np.flatnonzero(np.diff(ix.first) < LEAST_ITEM):
                 ix.hashes[ix.first[i] : ix.first[i + 1]] = 0
         yield benchmark.sparkSession.sparkContext.broadcast(ix)
 
