@@ -87,8 +87,8 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 late = _member(v, shared.value)
                 order = np.lexsort((v, late, doc))
                 head, want = _heads(v[order], n, prefix_size(n, num, den))
-                begin = np.minimum(np.cumsum(n) - n, max(len(v) - 1, 0))
-                halves = [np.where(n > 0, np.add.reduceat(words.mix(v ^ words.U64(s)), begin), 0).astype(np.uint64) if len(v) else np.zeros(len(n), np.uint64) for s in (1, 2)]
+                # one zero more, so that empty sets at the end begin there and the last n-gram stays with its own set
+                halves = [np.where(n > 0, np.add.reduceat(np.append(words.mix(v ^ words.U64(s)), words.U64(0)), np.cumsum(n) - n), 0).astype(np.uint64) for s in (1, 2)]
                 ids = batch.column(0).slice(rows.start, rows.stop - rows.start)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), *(pa.array(h.view(np.int64)) for h in halves), words.lists(head, want)], names=["doc_id", "n", "h1", "h2", "grams"])
 

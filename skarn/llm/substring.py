@@ -89,10 +89,10 @@ def text_names(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     out = []
     size = np.diff(first)
     at = np.arange(len(hashes)) - np.repeat(first[:-1], size)
-    begin = np.minimum(first[:-1], max(len(hashes) - 1, 0))
     for salt in (1, 2):
         key = words.mix(at.astype(U64) * BASE + U64(salt)) | U64(1)
-        total = np.add.reduceat(words.mix(hashes ^ key) * key, begin) if len(hashes) else np.zeros(len(size), U64)
+        # one zero more, so that texts without words at the end begin there and the last word stays with its own text
+        total = np.add.reduceat(np.append(words.mix(hashes ^ key) * key, U64(0)), first[:-1])
         out.append(words.mix(np.where(size > 0, total, 0).astype(U64) + size.astype(U64)))
     return out[0], out[1]
 

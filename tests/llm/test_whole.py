@@ -6,10 +6,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
+import cases
 
-from skarn.llm import decontam
+from skarn.llm import decontam, jaccard, substring
 
 
 def counting(size):
@@ -67,3 +69,47 @@ def test_overlaps_match_brute_force(monkeypatch):
         monkeypatch.setattr(decontam, "MOST_LAID", most)
         got = decontam.find(range(len(docs)), pa.array([" ".join(a) for a in docs]), ix, decontam.LEAST_WORDS, decontam.AGREE)
         assert {(r[0], r[1]): r[3] for r in got} == want
+
+
+def parts(spark, *rows):
+    """A table with a partition for each list of rows, in their order."""
+    out = None
+    for own in rows:
+        df = spark.createDataFrame(spark.sparkContext.parallelize(own, 1), "doc_id long, text string")
+        out = df if out is None else out.union(df)
+    return out
+
+
+@pytest.mark.parametrize("ends", [[None], [""], [" \t", None, "", None]])
+def test_last_word_counts_before_empty_texts(spark, ends):
+    own = " ".join(f"w{i}" for i in range(49))
+    texts = [own + " this", *ends, own + " that", *ends]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup(parts(spark, rows[: len(ends) + 1], rows[len(ends) + 1 :])).collect()}
+    assert [got[i] for i in range(len(texts))] == cases.without_repeats(texts)
+
+
+def test_names_of_texts_before_empty_ones():
+    h = np.arange(1, 9, dtype=np.uint64)
+    other = h.copy()
+    other[-1] = 99
+    for first in ([0, 3, 8, 8], [0, 8, 8, 8], [0, 0, 8, 8]):
+        a, b = substring.text_names(h, np.array(first)), substring.text_names(other, np.array(first))
+        k = int(np.flatnonzero(np.diff(first))[-1])
+        alone = substring.text_names(h[first[k] :], np.array([0, len(h) - first[k]]))
+        assert all(x[k] != y[k] and x[k] == z[0] for x, y, z in zip(a, b, alone))
+    assert [x.tolist() for x in substring.text_names(h[:0], np.array([0, 0]))] == [x[:1].tolist() for x in substring.text_names(h, np.array([0, 0, 8]))]
+
+
+@pytest.mark.parametrize("end", [None, "", " \t"])
+def test_largest_shingle_counts_before_empty_sets(spark, end):
+    # Two sets of six that share the five smaller n-grams: 5 of 7, below 0.85
+    for i in range(10_000):
+        texts = [" ".join([f"p{i}w{j}" for j in range(8)] + [last]) for last in ("this", "that")]
+        a, b = (v for _, v, _ in jaccard.sets(pa.array(texts[:1]), 4)), (v for _, v, _ in jaccard.sets(pa.array(texts[1:]), 4))
+        a, b = next(a), next(b)
+        if (a[:-1] == b[:-1]).all():
+            break
+    assert a[-1] != b[-1]
+    got = {r.doc_id: r.component_id for r in jaccard.join(parts(spark, [(0, texts[0]), (1, end)], [(2, texts[1]), (3, end)]), 4, 85, 100).collect()}
+    assert got == {i: i for i in range(4)}
