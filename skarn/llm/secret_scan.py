@@ -1,6 +1,7 @@
 """Secret scans: candidate strings, judged by a random forest.
 
-A candidate is a run of key characters with a digit or mixed case. The forest sees its length,
+A candidate is a long run of key characters, or any value of LEAST_BESIDE characters or more that is
+assigned to a name or stands beside a telling word. The forest sees its length,
 how its characters follow one another, how much of it common words cover, whether it stands in a
 path or an address, and the words beside it. It is trained from labelled findings: a DataFrame of
 (text, start, length, secret) that a caller may give; by default findings generated from public key
@@ -10,6 +11,7 @@ an assignment or its absence makes plain (a bounded sample).
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -27,10 +29,9 @@ from .trees import Forest, forest
 #: Candidates of the scanned table that join the training findings, at most.
 FIT_ROWS = 4_000
 THRESHOLD = 0.5
-LEAST = 16
+LEAST, LEAST_BESIDE = 16, 8
 MASK = "[SECRET]"
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.\-]{%d,}" % LEAST)
-DIGIT = re.compile(r"[0-9]")
 #: Words beside a secret, words beside a look-alike, and common parts of words.
 NEAR_SECRET = frozenset("token secret password passwd pwd apikey api_key key credential credentials auth authorization bearer access_key private_key client_secret access".split())
 NEAR_OTHER = frozenset("commit sha md5 sha1 sha256 checksum digest hash uuid guid id version build revision ref etag http https www file path href src".split())
@@ -41,18 +42,71 @@ UUID = re.compile(r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}
 ASSIGN = re.compile(r"""([A-Za-z_][A-Za-z0-9_\-]*)["']?\s*(?:=>|:=|=|:)\s*(["'`]?)$""")
 WORD = re.compile(r"[^\W\d_]+(?:_[^\W\d_]+)*")
 WINDOW = 48
+SEPARATOR = re.compile(r"(?:=>|:=|=|:)\s*")
+#: An assigned value: up to its own quote, or up to a blank, a quote or the next parameter of an address.
+VALUE = re.compile(r"""(?P<q>["'`])(?P<quoted>(?:(?!(?P=q))\S)+)|(?!//)(?P<bare>(?:(?![&;,?][\w.\-]+=)[^\s"'`])+)""")
+TELLING = re.compile(r"(?<![^\W_])(?:" + "|".join(sorted(NEAR_SECRET, key=len, reverse=True)) + r")(?![^\W_])", re.IGNORECASE)
+TOKEN = re.compile(r"\S+")
+#: A value is looked for in so many tokens before and after a telling word. Signs that open or close a value in running text are not part of it.
+TOKENS_BEFORE, TOKENS_AFTER = 2, 3
+OPENING, CLOSING = "\"'`([{<", "\"'`)]}>.,;:"
+ENDS = "=./-+_"
+#: Bits a character from which a bare string may well be a key.
+KEY_BITS = 3.0
+
+
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """Start and length of text[start:end] without signs that open or close it."""
+    raw = text[start:end]
+    own = raw.lstrip(OPENING)
+    return end - len(own), len(own.rstrip(CLOSING))
+
+
+def beside(text: str) -> set[tuple[int, int]]:
+    """Start and length of the values that are assigned to a name or stand near a telling word.
+
+    A value within another one is given only if its name tells; so no text is read more than a few times.
+    """
+    out, reach, told = set(), 0, 0
+    for m in SEPARATOR.finditer(text):
+        tells = None
+        if m.start() < reach:
+            tells = TELLING.search(text, max(0, m.start() - WINDOW), m.start())
+            if tells is None or m.start() < told:
+                continue
+        v = VALUE.match(text, m.end())
+        kind = v and v.lastgroup
+        if not v or not ASSIGN.search(text[max(0, v.start(kind) - WINDOW) : v.start(kind)]):
+            continue
+        reach = max(reach, v.end())
+        if tells:
+            told = v.end()
+        out.add((v.start(kind), v.end(kind) - v.start(kind)) if kind == "quoted" else _trimmed(text, *v.span(kind)))
+    words = [m.start() for m in TELLING.finditer(text)]
+    if words:
+        tokens = [m.span() for m in TOKEN.finditer(text)]
+        starts = [t[0] for t in tokens]
+        for k in {bisect.bisect_right(starts, w) - 1 for w in words}:
+            for j in (*range(max(0, k - TOKENS_BEFORE), k), *range(k + 1, min(len(tokens), k + 1 + TOKENS_AFTER))):
+                out.add(_trimmed(text, *tokens[j]))
+    return {(s, k) for s, k in out if k >= LEAST_BESIDE}
 
 
 def candidates(text: str | None) -> list[tuple[int, int]]:
-    """Start and length of every candidate; signs at its ends are not part of it."""
-    out = []
-    for m in CANDIDATE.finditer(text or ""):
+    """Start and length of every candidate, by start; candidates may overlap. Signs at the ends of a bare one are not part of it."""
+    text = text or ""
+    out = beside(text)
+    known = set()
+    for s, k in out:
+        own = text[s : s + k]
+        known.add((s + k - len(own.lstrip(ENDS)), len(own.strip(ENDS))))
+    for m in CANDIDATE.finditer(text):
         raw = m.group()
-        own = raw.strip("=./-+_")
-        if len(own) < LEAST or not (DIGIT.search(own) or (own[1:] != own[1:].lower() and own != own.upper())):
-            continue
-        out.append((m.start() + raw.index(own), len(own)))
-    return out
+        own = raw.strip(ENDS)
+        found = (m.start() + len(raw) - len(raw.lstrip(ENDS)), len(own))
+        if len(own) >= LEAST and found not in known:
+            out.add(found)
+    return sorted(out)
 
 
 def describe(text: str, start: int, length: int) -> list[float]:
@@ -72,21 +126,21 @@ def describe(text: str, start: int, length: int) -> list[float]:
             at = low.find(w, at + 1)
     runs = lambda k: max((len(x) for x in "".join("x" if y in k else " " for y in kind).split()), default=0)
     assign = ASSIGN.search(before)
-    beside = [w.lower() for w in WORD.findall(before)[-3:] + WORD.findall(after)[:2]]
+    near = [p for w in WORD.findall(before)[-3:] + WORD.findall(after)[:2] for p in (w.lower(), *w.lower().split("_"))]
     if assign:
-        beside += [assign.group(1).lower(), *re.split(r"[_\-]", assign.group(1).lower())]
+        near += [assign.group(1).lower(), *re.split(r"[_\-]", assign.group(1).lower())]
     letters = [c for c in low if c.isalpha()]
     vowels = sum(c in "aeiou" for c in letters) / max(1, len(letters))
     rare = sum(1 for a, b in zip(kind, kind[1:]) if {a, b} in ({"d", "l"}, {"d", "u"})) / n
     return [
         min(n, 200), share("d"), share("u"), share("l"), share("s"), sum(a != b for a, b in zip(kind, kind[1:])) / n,
         -sum(p * math.log2(p) for p in count), rare, float(all(c in "0123456789abcdefABCDEF" for c in s)), runs("ul") / n, runs("d") / n, sum(covered) / n,
-        s.count("/") + before[-1:].count("/"), s.count("."), s.count("-"), float(any(w in NEAR_SECRET for w in beside)), float(any(w in NEAR_OTHER for w in beside)),
+        s.count("/") + before[-1:].count("/"), s.count("."), s.count("-"), float(any(w in NEAR_SECRET for w in near)), float(any(w in NEAR_OTHER for w in near)),
         float(assign is not None), float(before[-1:] in "\"'`" and before != ""), float(bool(UUID.match(s))), float(bool(PREFIX.match(s))), float(len(letters) == n), vowels, len(count) / n,
     ]
 
 
-def labelled_findings(n: int = 1200, seed: int = 3) -> list[tuple[str, int, int, int]]:
+def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, int, int, int]]:
     """Generated findings (text, start, length, secret): public key formats and their look-alikes in running words."""
     rng = random.Random(seed)
     pick = lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
@@ -94,18 +148,34 @@ def labelled_findings(n: int = 1200, seed: int = 3) -> list[tuple[str, int, int,
     syllables = "an er in on re th he st nd ou ent tion ing der ein sch ver les que eau ment cion ado ra co mi".split()
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
     name = lambda: rng.choice(sorted(NEAR_SECRET))
+    signs = "!@#$%&*"
+
+    def long(k: int) -> str:
+        """A plain word of k letters or more."""
+        w = word()
+        while len(w) < k:
+            w += word()
+        return w
+
     keys = [
         lambda: pick(hexa, rng.choice((32, 40, 64))), lambda: pick(alnum, rng.randint(20, 64)), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16),
         lambda: "ghp_" + pick(alnum, 36), lambda: "sk-" + pick(alnum, 40), lambda: "xoxb-" + pick(string.digits, 11) + "-" + pick(alnum, 24), lambda: "AIza" + pick(alnum + "_-", 35),
         lambda: "eyJ" + pick(alnum, 20) + "." + pick(alnum + "_-", 30) + "." + pick(alnum + "_-", 40), lambda: pick(alnum + "+/", 40), lambda: pick(alnum, 12) + "_" + pick(alnum, 12),
+        lambda: pick(string.ascii_lowercase, rng.randint(16, 40)), lambda: pick(string.ascii_uppercase, rng.randint(16, 40)),
+        lambda: pick(alnum, rng.randint(8, 15)), lambda: pick(alnum + signs * 3, rng.randint(8, 20)), lambda: pick(alnum + signs * 3, rng.randint(8, 20)),
+        lambda: long(6) + pick(string.digits, rng.randint(1, 4)) + rng.choice(("", *signs)), lambda: long(5).capitalize() + pick(string.digits, rng.randint(1, 3)) + pick(string.ascii_uppercase, 1) + pick(string.digits, 1),
     ]
-    around = [lambda v: f'{name()} = "{v}"', lambda v: f"{name()}: {v}", lambda v: f"{name().upper()}={v}", lambda v: f"'{name()}': '{v}'", lambda v: f"Authorization: Bearer {v}", lambda v: f"--{name()} {v}"]
+    around = [lambda v: f'{name()} = "{v}"', lambda v: f"{name()}: {v}", lambda v: f"{name().upper()}={v}", lambda v: f"'{name()}': '{v}'", lambda v: f"Authorization: Bearer {v}", lambda v: f"--{name()} {v}", lambda v: f"{name()} {v}", lambda v: f"{name()} is {v}"]
     plain = [
         lambda: (word() + "." + str(rng.randint(1, 99)) + "@mail" + str(rng.randint(1, 9)) + ".example.com", "{}"), lambda: (pick(string.digits, 16), rng.choice(("{}", "id {}", "number {}"))),
         lambda: (pick(hexa, 40), rng.choice(("commit {}", "sha {}", "checksum {}", "sha1: {}"))), lambda: (pick(hexa, 64), rng.choice(("sha256: {}", "digest {}", "sha256:{}"))), lambda: (pick(hexa, 32), rng.choice(("md5 {}", "hash {}", "etag {}"))),
         lambda: ("-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), rng.choice(("uuid {}", "id: {}", "{}"))), lambda: ("/".join(word() for _ in range(4)) + f"/{word()}{rng.randint(1, 99)}.html", rng.choice(("https://{}", "/{}", "file {}"))),
         lambda: (word().capitalize() + word().capitalize() + word().capitalize() + word().capitalize() + word(), "{}"), lambda: (f"{word()}-{word()}-{rng.randint(1, 20)}.{rng.randint(0, 9)}.{rng.randint(0, 9)}-build{rng.randint(1, 999)}", "version {}"),
         lambda: (word() + "_" + word() + "_" + word() + str(rng.randint(1, 99)), "{}"), lambda: (pick(string.digits, 20), "{}"), lambda: ("." * 3 + pick(string.digits, 4) + "-" * 8 + pick(string.digits, 6), "{}"), lambda: (str(rng.randint(1990, 2030)) + "-" + "-".join(pick(string.digits, 2) for _ in range(5)), "{}"),
+        # plain words beside telling words, values of other names, and long runs of letters
+        lambda: (long(8), f"{name()} {{}}"), lambda: (long(8), f"the {name()} {word()} {{}}"), lambda: (long(8), f"{{}} {name()}"), lambda: (long(8), f"{name()}: {{}}"), lambda: (long(4) + "-" + long(4), f"{name()} {{}}"),
+        lambda: (long(8), rng.choice(('title = "{}"', "note: {}", "name: '{}'", "author={}", '"label": "{}"'))), lambda: (long(6) + pick(string.digits, rng.randint(2, 4)), rng.choice(('user = "{}"', "login: {}", "username={}", '"host": "{}"'))),
+        lambda: (long(16), "{}"), lambda: (long(16).upper(), "{}"), lambda: (long(5).capitalize() + "-" + long(10), "{}"), lambda: ("/".join(long(4) for _ in range(4)), rng.choice(("{}", "/{}", "path: {}"))), lambda: (pick(string.digits, rng.randint(8, 12)), rng.choice(("number: {}", "id={}", "date: {}"))),
     ]
     out = []
     for i in range(n):
@@ -120,6 +190,8 @@ def labelled_findings(n: int = 1200, seed: int = 3) -> list[tuple[str, int, int,
         for s, k in candidates(text):
             if s < at + len(value) and at < s + k:
                 out.append((text, s, k, i % 2))
+            elif i % 2 and text[s : s + k].isalpha():  # a word beside the secret's name
+                out.append((text, s, k, 0))
     return out
 
 
@@ -131,8 +203,9 @@ def train(found: list[tuple[str, int, int, int]]) -> Forest:
 def plain_findings(docs: DataFrame, most: int = FIT_ROWS) -> list[tuple[str, int, int, int]]:
     """A bounded sample of the table's own candidates whose surroundings settle the label.
 
-    An assignment to a name such as token or password, in quotes, is a secret; a candidate with
-    neither an assignment nor a key format beside a telling word is not. Others are left out.
+    An assignment to a name such as token or password, in quotes, is a secret; a bare candidate, with
+    neither an assignment nor a key format beside a telling word, is not if it is an UUID, has no
+    letters or repeats itself. Others are left out, such as bare strings of high entropy: they may be keys.
     """
 
     def run(batches):
@@ -143,7 +216,7 @@ def plain_findings(docs: DataFrame, most: int = FIT_ROWS) -> list[tuple[str, int
                 for s, k in candidates(t):
                     own, at = t[max(0, s - WINDOW) : s + k + WINDOW], min(s, WINDOW)
                     d = dict(zip(NAMES, describe(own, at, k)))
-                    y = 1 if d["assigned"] and d["near_secret"] and d["quoted"] else 0 if not (d["assigned"] or d["near_secret"] or d["prefix"] or d["quoted"]) else None
+                    y = 1 if d["assigned"] and d["near_secret"] and d["quoted"] else 0 if not (d["assigned"] or d["near_secret"] or d["prefix"] or d["quoted"]) and (d["uuid"] or d["digits"] + d["signs"] == 1 or d["entropy"] < KEY_BITS) else None
                     if y is not None:
                         rows.append((own, at, k, y))
             if rows:
@@ -161,7 +234,8 @@ def plain_findings(docs: DataFrame, most: int = FIT_ROWS) -> list[tuple[str, int
 def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each candidate of each text: doc_id, start, length, secret_sha256, score, is_secret.
 
-    start and length count characters. The string itself is never returned. Null and empty texts
+    start and length count characters. The string itself is never returned. Candidates may overlap,
+    as a value and a run of key characters within it. Null and empty texts
     have no candidates. Repeated doc_ids each give their rows; a null doc_id stays null.
     """
     if findings is None:
@@ -198,9 +272,14 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD, mask: str = MASK) -> D
             if not found:
                 return t
             keep = model.score(np.array([describe(t[max(0, s - WINDOW) : s + k + WINDOW], min(s, WINDOW), k) for s, k in found])) >= threshold
-            for (s, k), bad in reversed(list(zip(found, keep))):
-                if bad:
-                    t = t[:s] + mask + t[s + k :]
+            spans = []
+            for (s, k), bad in zip(found, keep):
+                if bad and spans and s < spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], s + k)
+                elif bad:
+                    spans.append([s, s + k])
+            for s, e in reversed(spans):
+                t = t[:s] + mask + t[e:]
             return t
 
         return texts.map(one, na_action="ignore")

@@ -11,7 +11,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(__file__))
 import cases
 
-from skarn.llm import decontam, jaccard, substring
+from skarn.llm import decontam, jaccard, secret_scan, substring
 
 
 def counting(size):
@@ -113,3 +113,29 @@ def test_largest_shingle_counts_before_empty_sets(spark, end):
     assert a[-1] != b[-1]
     got = {r.doc_id: r.component_id for r in jaccard.join(parts(spark, [(0, texts[0]), (1, end)], [(2, texts[1]), (3, end)]), 4, 85, 100).collect()}
     assert got == {i: i for i in range(4)}
+
+
+SECRETS = [
+    'password = "hunter2A9"', 'password = "s3cr!t@P#9"', 'passwd: Tr0ub4dor&3', "password=pa$$w0rd%12", 'api_key = "qzxkvjwpmtbrhgdlfncs"', "secret: QZXKVJWPMTBRHGDLFNCSWX", "--password hunter2A9",
+]
+PLAIN = ["the password required", "access controls and credentials", 'title = "Introduction"', "Note: configuration", "see https://www.example.com/docs/introduction", "Bundesverfassungsgericht and counterrevolutionary", None, ""]
+
+
+def test_short_and_signed_secrets_are_found(spark):
+    value = lambda t: t.split()[-1].split("=")[-1].strip('"')
+    rows = [(i, t and f"some words {t} and others") for i, t in enumerate(SECRETS + PLAIN)]
+    docs = parts(spark, rows)
+    got = {(r.doc_id, r.start, r.length) for r in secret_scan.scan(docs).where("is_secret").collect()}
+    assert got == {(i, rows[i][1].index(value(t)), len(value(t))) for i, t in enumerate(SECRETS)}
+    left = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert left == {i: t if i >= len(SECRETS) else t.replace(value(SECRETS[i]), "[SECRET]") for i, t in rows}
+
+
+def test_bare_strings_of_high_entropy_are_no_negatives(spark):
+    docs = parts(spark, [(1, "here 9f86d081884c7d659a2feaa0c55ad015 stands"), (2, "number 4485275742308327 here"), (3, "token = 'Zk3vXq9LmT2b'")])
+    assert sorted((r[0][r[1] : r[1] + r[2]], r[3]) for r in secret_scan.plain_findings(docs)) == [("4485275742308327", 0), ("Zk3vXq9LmT2b", 1)]
+
+
+def test_candidates_of_awkward_texts_take_linear_time():
+    for t in ("a=" * 300_000, "token:" * 100_000, "&token=" * 100_000, "key " * 100_000, ":" * 300_000, "= " * 100_000):
+        secret_scan.candidates(t)
