@@ -17,13 +17,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, tokens
 from .words import U64, mix
 
 LENGTH, PER_SHARD, KEY, END_ID, PAD_ID, ROUNDS = 1024, 4096, 20_240_229, 2, 0, 6
+#: Bytes of the shards that one task writes.
+RANGE = 1 << 25
+#: Stands for a null doc_id in a record.
+NULL_ID = -(1 << 63)
 HEAD = np.dtype([("slot", "<i8"), ("doc_id", "<i8"), ("ids", "<u4"), ("crc32", "<u4")])
 
 
@@ -80,46 +84,60 @@ def _runs(batch) -> list[tuple[str, int, int, int]]:
 
 
 def sequence_counts(docs: DataFrame, vocabulary: str, length: int) -> DataFrame:
-    """file, at, sequences: how many sequences each split gives."""
+    """file, at, sequences: how many sequences each split gives, one row for each task that met the split."""
 
     def run(batches):
-        encode, total = tokens.word_ids(vocabulary).blocks, {}
+        encoder, total = tokens.word_ids(vocabulary), {}
         for batch in batches:
             for file, at, lo, hi in _runs(batch):
-                n = hi - lo + sum(len(ids) for _, ids, _ in encode(batch.column(1).slice(lo, hi - lo)))
+                n = hi - lo + int(encoder.counts(batch.column(1).slice(lo, hi - lo)).sum())
                 total[file, at] = total.get((file, at), 0) + n
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int64()), pa.array([-(-n // length) for n in total.values()], pa.int64())], names=["file", "at", "sequences"])
 
     return docs.mapInArrow(run, "file string, at long, sequences long")
 
 
-def materialise(docs: DataFrame, path: str | None = None, vocabulary: str = tokens.VOCABULARY, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> str:
-    """Write the shards below path (a new folder of the shared one by default) and return it.
+def _bases(own: DataFrame, vocabulary: str, length: int) -> tuple[dict, int] | None:
+    """The first sequence number and the count of each split, and the total; None if splits don't name the rows' places.
 
-    Sequences run over the documents of a file split; the last one of a split is padded. The table
-    must come from files, as the two passes rely on a split's order of rows; a pass that finds
-    another number of sequences than the first one fails instead of writing. Null and empty texts
-    give the end id alone; rows with a null doc_id are kept, as -1. No rows give no shards.
+    One row for each file split comes to the driver, no more than Spark itself tracks there.
     """
-    path = path or f"{common.shared_dir(docs.sparkSession)}/skarn-shards-{uuid.uuid4().hex}"
-    own = _splits(docs)
-    # One row for each file split, no more than Spark itself tracks on the driver
-    counts = sorted(sequence_counts(own, vocabulary, length).collect())
     base, n = {}, 0
-    for r in counts:
+    for r in sorted(sequence_counts(own, vocabulary, length).collect()):
+        if not r["file"] or (r["file"], r["at"]) in base:
+            return None
         base[r["file"], r["at"]] = (n, r["sequences"])
         n += r["sequences"]
-    bases = docs.sparkSession.sparkContext.broadcast(base)
-    walk = Feistel(max(n, 1), key)
-    end = np.array([END_ID], "<u2").tobytes()
+    return base, n
+
+
+def materialise(docs: DataFrame, path: str | None = None, vocabulary: str = tokens.VOCABULARY, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> str:
+    """Write the shards below path (a new folder of the shared one by default) and return it.
+
+    Sequences run over the documents of a file split; the last one of a split is padded. The first
+    pass counts each split's sequences, the second one writes them, and it fails if a split then
+    gives another number. A table whose rows don't come straight from files, or that reads a file
+    twice, is written to the shared folder first. Null and empty texts give the end id alone; rows
+    that repeat a doc_id are documents of their own; a null doc_id is kept. No rows give no shards.
+    """
+    spark = docs.sparkSession
+    path = path or f"{common.shared_dir(spark)}/skarn-shards-{uuid.uuid4().hex}"
+    own = _splits(docs)
+    found = _bases(own, vocabulary, length)
+    if found is None:
+        own = _splits(common.stage(common.texts(docs), "ordered"))
+        found = _bases(own, vocabulary, length)
+    base, n = found
+    if not n:
+        spark.createDataFrame([], "shard long, value string").write.partitionBy("shard").text(path)
+        return path
+    bases = spark.sparkContext.broadcast(base)
+    walk = Feistel(n, key)
 
     def records(split, first_docs, ids: bytes, done: int):
         """Slots and record bytes of the whole sequences in ids; done: sequences of the split before."""
-        start, most = bases.value[split]
         k = len(first_docs)
-        if done + k > most:
-            raise RuntimeError(f"the rows of {split} changed between the passes")
-        slots = walk.slot(np.arange(start + done, start + done + k))
+        slots = walk.slot(np.arange(bases.value[split][0] + done, bases.value[split][0] + done + k))
         out = []
         for i, slot in enumerate(slots.tolist()):
             raw = ids[2 * length * i : 2 * length * (i + 1)]
@@ -129,21 +147,24 @@ def materialise(docs: DataFrame, path: str | None = None, vocabulary: str = toke
         return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(out, pa.binary())], names=["slot", "record"])
 
     def run(batches):
-        encode = tokens.word_ids(vocabulary).each
-        split, ids, owners, done = None, bytearray(), [], 0  # owners: (first id's place, doc_id)
+        encoder = tokens.word_ids(vocabulary)
+        if encoder.most_id > 0xFFFF:
+            raise ValueError("records hold 16-bit ids; this vocabulary has larger ones")
+        split, ids, places, owners, done = None, bytearray(), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
         def flush(last: bool):
-            nonlocal ids, owners, done
+            nonlocal ids, places, owners, done
             k = len(ids) // 2 // length
             if last and len(ids) % (2 * length):
                 k += 1
+            if last and done + k != bases.value[split][1]:
+                raise RuntimeError(f"the rows of {split} changed between the passes")
             if not k:
                 return None
-            places = np.array([p for p, _ in owners])
-            firsts = [owners[int(np.searchsorted(places, i * length, "right")) - 1][1] for i in range(k)]
-            out = records(split, firsts, bytes(ids[: 2 * length * k]), done)
-            keep = int(np.searchsorted(places, k * length, "right")) - 1
-            owners = [(max(0, p - k * length), d) for p, d in owners[max(keep, 0) :]]
+            firsts = owners[np.searchsorted(places, np.arange(k) * length, "right") - 1]
+            out = records(split, firsts.tolist(), bytes(ids[: 2 * length * k]), done)
+            keep = max(0, int(np.searchsorted(places, k * length, "right")) - 1)
+            owners, places = owners[keep:], np.maximum(places[keep:] - k * length, 0)
             ids, done = ids[2 * length * k :], done + k
             return out
 
@@ -152,19 +173,27 @@ def materialise(docs: DataFrame, path: str | None = None, vocabulary: str = toke
                 if (file, at) != split:
                     if split is not None and (out := flush(True)) is not None:
                         yield out
-                    split, ids, owners, done = (file, at), bytearray(), [], 0
-                for doc, new in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), encode(batch.column(1).slice(lo, hi - lo))):
-                    owners.append((len(ids) // 2, -1 if doc is None else doc))
-                    ids += new.astype("<u2").tobytes() + end
+                    split, ids, places, owners, done = (file, at), bytearray(), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+                docs_ = batch.column(0).slice(lo, hi - lo).fill_null(NULL_ID).to_numpy()
+                for rows, new, offs in encoder.blocks(batch.column(1).slice(lo, hi - lo)):
+                    owners = np.concatenate([owners, docs_[rows]])
+                    places = np.concatenate([places, len(ids) // 2 + offs[:-1] + np.arange(len(offs) - 1)])
+                    ids += np.insert(new, offs[1:], END_ID).astype("<u2").tobytes()
                     if len(ids) >= 512 * length and (out := flush(False)) is not None:
                         yield out
         if split is not None and (out := flush(True)) is not None:
             yield out
 
+    # Ranges of slots, each of whole shards; slots are spread evenly, so no sample is needed to cut them
+    per_range = per_shard * max(1, RANGE // (per_shard * stride(length)))
     made = own.mapInArrow(run, "slot long, record binary").withColumn("shard", F.expr(f"slot div {per_shard}"))
+    lines = made.repartitionById(-(-n // per_range), F.expr(f"cast(slot div {per_range} as int)")).sortWithinPartitions("slot")
+    written = Observation()
     # A text writer puts a line end after each value, which is the record's last byte
-    lines = made.repartition("shard").sortWithinPartitions("shard", "slot")
-    lines.select("shard", F.expr(f"substring(record, 1, {stride(length) - 1})").cast("string").alias("value")).write.partitionBy("shard").text(path)
+    value = F.expr(f"substring(record, 1, {stride(length) - 1})").cast("string").alias("value")
+    lines.observe(written, F.count("*").alias("n")).select("shard", value).write.partitionBy("shard").text(path)
+    if written.get["n"] != n:
+        raise RuntimeError("the table changed between the passes")
     return path
 
 
@@ -184,7 +213,7 @@ def read(spark: SparkSession, path: str, length: int = LENGTH, per_shard: int =
                 ids = [raw[size * j + HEAD.itemsize : size * j + HEAD.itemsize + 2 * int(h["ids"])] for j, h in enumerate(head)]
                 if any(zlib.crc32(x) != int(c) for x, c in zip(ids, head["crc32"])):
                     raise ValueError("a record is damaged")
-                cols = [pa.array(head["slot"].astype(np.int64)), pa.array(np.arange(len(head), dtype=np.int64) * size), pa.array(head["doc_id"].astype(np.int64)), pa.array(head["ids"].astype(np.int32)), pa.array(head["crc32"].astype(np.int64)), pa.array(ids, pa.binary())]
+                cols = [pa.array(head["slot"].astype(np.int64)), pa.array(np.arange(len(head), dtype=np.int64) * size), pa.array(head["doc_id"].astype(np.int64), mask=head["doc_id"] == NULL_ID), pa.array(head["ids"].astype(np.int32)), pa.array(head["crc32"].astype(np.int64)), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["slot", "byte_offset", "doc_id", "n_ids", "crc32", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)

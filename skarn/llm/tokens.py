@@ -18,9 +18,13 @@ import pyarrow as pa
 from . import words
 
 VOCABULARY = "word_bpe_49k.json"
-#: Memory of distinct words per worker.
-MEMO = 300_000
+#: Distinct words that a worker keeps, the table's slots, and the ids of a word that is kept, at most.
+MEMO, SLOTS, KEPT_IDS = 1_000_000, 1 << 21, 64
 END = "\x01"
+SIGNS = np.frombuffer(b".,", np.uint8)
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123)]] = True
+U64 = np.uint64
 
 
 def _byte_of_letter() -> dict[str, int]:
@@ -59,67 +63,116 @@ class WordIds:
             self.lut[r] = own.get(k, 0)
         self.fast = tiktoken.Encoding("words", pat_str=r"[^\x01\s]+\x01", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
         self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        self.plain = regex.compile(r"[\x21-\x7E\xC0-\xFF]+")
-        self.raw = [int(i).to_bytes(4, "little") for i in self.lut]
-        self.signs = {c: b"".join(self.raw[r] for r in self.fast(c + END)) for c in ".,"}
-        self.slots: dict[int, int] = {}
-        self.start, self.size = np.zeros(MEMO, np.int64), np.zeros(MEMO, np.int64)
-        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.last = np.array([k.endswith(END.encode()) for k in ranks])
-
-    def _learn(self, missing: list[str]) -> list[bytes]:
-        """Ids of distinct words; those of plain letters, with or without a closing sign, are merged in one call."""
-        heads: list[tuple[int, str, bytes]] = []
-        out: list[bytes] = [b""] * len(missing)
-        slow, plain, parts, signs, raw = self.slow, self.plain, self.parts, self.signs, self.raw
-        for i, w in enumerate(missing):
-            if (w.isascii() and w.isprintable() or plain.fullmatch(w)) and "<|" not in w:
-                low = w.lower()
-                if low.isalpha():
-                    heads.append((i, low, b""))
-                elif low[-1] in ".," and low[:-1].isalpha():
-                    heads.append((i, low[:-1], signs[low[-1]]))
-                else:
-                    out[i] = b"".join([raw[r] for r in self.fast(parts.sub("\\g<0>" + END, low))])
-            else:
-                out[i] = np.array(slow.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        if heads:
-            bases = list(dict.fromkeys(low for _, low, _ in heads))
-            ranks = np.array(self.fast(END.join(bases) + END))
-            ids = self.lut[ranks].astype("<u4").tobytes()
-            own, at = {}, 0
-            for base, end in zip(bases, (np.flatnonzero(self.last[ranks]) + 1).tolist()):
-                own[base] = ids[4 * at : 4 * end]
-                at = end
-            for i, low, tail in heads:
-                out[i] = own[low] + tail
+        self.most_id = int(self.lut.max())
+        # open addressing over word hashes; a slot holds where the word's ids stand in flat, and how many
+        self.keys = np.zeros(SLOTS, np.uint64)
+        self.start, self.size = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int32)
+        self.flat, self.used, self.words = np.zeros(1 << 20, np.uint32), 0, 0
+
+    def _plain(self, block: words.Block, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of Latin letters, with or without a closing sign, in a row, and their counts: all merged in one call."""
+        low = words.lower_latin(block.buf)
+        begin, end = block.starts[at], block.ends[at]
+        signed = np.isin(low[end - 1], SIGNS)
+        # each word's bytes, END, and for a closing sign that sign and END once more
+        size = end - begin
+        room = size + 1 + signed
+        to = np.cumsum(room) - room
+        out = np.full(int(room.sum()), END.encode()[0], np.uint8)
+        inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        place = np.repeat(to, size) + inner
+        place[np.cumsum(size)[signed] - 1] += 1
+        out[place] = low[np.repeat(begin, size) + inner]
+        ranks = np.array(self.fast(out.tobytes().decode()), np.int64)
+        ends = np.flatnonzero(self.last[ranks]) + 1
+        stop = ends[np.cumsum(1 + signed) - 1]
+        return self.lut[ranks], np.diff(stop, prepend=0)
+
+    def _other(self, word: str) -> np.ndarray:
+        if word.isascii() and word.isprintable() and "<|" not in word:
+            return self.lut[self.fast(self.parts.sub("\\g<0>" + END, word.lower()))]
+        return np.array(self.slow.encode(word, add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self, block: words.Block, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the distinct words at these places of the block, in a row, and their counts."""
+        begin, end = block.starts[at], block.ends[at]
+        buf = block.buf
+        letter = LETTERS[buf]
+        if len(buf) > 1:  # the letters of Latin-1 are C3 and a further byte
+            second = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0xBF) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)
+            letter[:-1] |= second
+            letter[1:] |= second
+        count = np.concatenate([[0], np.cumsum(letter)])
+        core = end - np.isin(buf[end - 1], SIGNS)
+        easy = (count[core] - count[begin] == core - begin) & (core > begin) & (core - begin <= words.LONG)
+        n = np.zeros(len(at), np.int64)
+        ids, n[easy] = self._plain(block, at[easy]) if easy.any() else (np.zeros(0, np.uint32), 0)
+        rest = [self._other(buf[s:e].tobytes().decode()) for s, e in zip(begin[~easy].tolist(), end[~easy].tolist())]
+        n[~easy] = [len(r) for r in rest]
+        out = np.empty(int(n.sum()), np.uint32)
+        which = np.repeat(easy, n)
+        out[which] = ids
+        out[~which] = np.concatenate([np.zeros(0, np.uint32), *rest])
+        return out, n
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, or -1."""
+        at = (hashes & U64(SLOTS - 1)).astype(np.int64)
+        held = self.keys[at]
+        out = np.where(held == hashes, at, -1)
+        live = np.flatnonzero((held != hashes) & (held != 0))
+        while len(live):
+            at[live] = (at[live] + 1) & (SLOTS - 1)
+            held = self.keys[at[live]]
+            hit = held == hashes[live]
+            out[live[hit]] = at[live[hit]]
+            live = live[~hit & (held != 0)]
         return out
 
+    def _keep(self, hashes: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Enter distinct new words into the table."""
+        at = (hashes & U64(SLOTS - 1)).astype(np.int64)
+        live = np.arange(len(hashes))
+        while len(live):
+            free = self.keys[at[live]] == 0
+            self.keys[at[live[free]]] = hashes[live[free]]
+            done = self.keys[at[live]] == hashes[live]
+            own = live[done]
+            self.start[at[own]], self.size[at[own]] = start[own], size[own]
+            live = live[~done]
+            at[live] = (at[live] + 1) & (SLOTS - 1)
+        self.words += len(hashes)
+
     def _table(self, block: words.Block) -> tuple[np.ndarray, np.ndarray]:
         """Where each word's ids stand in self.flat, and how many there are; new words are learned and kept while there is room."""
-        seen, first, inverse = np.unique(block.hashes, return_index=True, return_inverse=True)
-        get = self.slots.get
-        slot = np.array([get(h, -1) for h in seen.tolist()], np.int64)
-        start, size = self.start[slot], self.size[slot]
+        hashes = np.maximum(block.hashes, U64(1))
+        slot = self._find(hashes)
+        start, size = self.start[slot], self.size[slot].astype(np.int64)
         new = np.flatnonzero(slot < 0)
         if len(new):
-            data = block.buf.tobytes()
-            at = first[new]
-            got = self._learn([data[s:e].decode() for s, e in zip(block.starts[at].tolist(), block.ends[at].tolist())])
-            n = np.array([len(g) // 4 for g in got], np.int64)
+            seen, first, inverse = np.unique(hashes[new], return_index=True, return_inverse=True)
+            flat, n = self._learn(block, new[first])
             begin = self.used + np.cumsum(n) - n
-            flat = np.frombuffer(b"".join(got), "<u4")
             if self.used + len(flat) > len(self.flat):
                 self.flat = np.concatenate([self.flat[: self.used], np.zeros(len(flat) + len(self.flat), np.uint32)])
             self.flat[self.used : self.used + len(flat)] = flat
-            start[new], size[new] = begin, n
-            keep = min(len(new), MEMO - len(self.slots))
-            if keep > 0:
-                base = len(self.slots)
-                self.slots.update(zip(seen[new[:keep]].tolist(), range(base, base + keep)))
-                self.start[base : base + keep], self.size[base : base + keep] = begin[:keep], n[:keep]
-                self.used += int(n[:keep].sum())
-        return start[inverse], size[inverse]
+            start[new], size[new] = begin[inverse], n[inverse]
+            short = np.flatnonzero(n <= KEPT_IDS)[: max(0, MEMO - self.words)]
+            if len(short):
+                # ids of words that are not kept stay in flat only up to the last kept one
+                self._keep(seen[short], begin[short], n[short])
+                self.used = int(begin[short[-1]] + n[short[-1]])
+        return start, size
+
+    def counts(self, column: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        out = np.zeros(len(column), np.int64)
+        for b in words.blocks(column, seed=31):
+            if len(b.hashes):
+                total = np.concatenate([[0], np.cumsum(self._table(b)[1])])
+                out[b.rows] = np.diff(total[b.first])
+        return out
 
     def blocks(self, column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
         """By block of documents: rows, the ids of all in a row, and where each document's begin (and the last ends)."""

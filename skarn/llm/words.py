@@ -1,7 +1,8 @@
 """Vectorised words of Arrow text columns: boundaries, 64-bit hashes, hashed n-grams.
 
 A block holds a run of documents as one byte buffer. Work proceeds in pieces of about PIECE bytes
-that end at separators, so memory stays bounded by the piece, not by the longest document.
+that end at separators, so memory stays bounded by the piece, not by the longest document. A text
+without separators is one piece; its only arrays of its length are of single bytes.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 20
+#: Words of more bytes are hashed in parts of this size.
+LONG = 1 << 14
 U64 = np.uint64
 #: Odd 64-bit multipliers: the splitmix64 finaliser and the golden ratio step (fixed values).
 MIX1, MIX2, STEP = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
@@ -28,10 +31,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def keys(n: int, seed: int) -> np.ndarray:
-    """n odd pseudo-random 64-bit numbers, the same in every process."""
+def keys(n: int, seed: int, start: int = 0) -> np.ndarray:
+    """n odd pseudo-random 64-bit numbers from the given place on, the same in every process."""
     with np.errstate(over="ignore"):
-        return mix(np.arange(1, n + 1, dtype=U64) * STEP + U64(seed)) | U64(1)
+        return mix(np.arange(start + 1, start + n + 1, dtype=U64) * STEP + U64(seed)) | U64(1)
 
 
 BYTE_KEY = keys(256, 11)
@@ -106,15 +109,28 @@ def _piece_words(buf: np.ndarray, cuts: np.ndarray, seps: np.ndarray, fold_case,
     ends = np.flatnonzero(solid & last) + 1
     if not want or not len(starts):
         return starts, ends, np.zeros(len(starts), U64)
-    at = np.flatnonzero(solid)
     size = ends - starts
-    begin = np.cumsum(size) - size
-    pos = np.arange(len(at)) - np.repeat(begin, size)
-    value = BYTE_KEY[(fold_case[buf] if isinstance(fold_case, np.ndarray) else fold_case(buf))[at]] * keys(int(size.max()), 1000 + seed)[pos]
-    if upto is not None:
-        value[pos >= upto] = 0
-        size = np.minimum(size, upto)
-    return starts, ends, mix(np.add.reduceat(value, begin) + size.astype(U64) * STEP)
+    folded = fold_case[buf] if isinstance(fold_case, np.ndarray) else fold_case(buf)
+    total = np.zeros(len(starts), U64)
+    short = size <= LONG
+    if short.all():
+        own, first = size, starts
+    else:
+        own, first = size[short], starts[short]
+    if len(own):
+        begin = np.cumsum(own) - own
+        pos = np.arange(int(own.sum())) - np.repeat(begin, own)
+        value = BYTE_KEY[folded[np.repeat(first, own) + pos]] * keys(int(own.max()), 1000 + seed)[pos]
+        if upto is not None:
+            value[pos >= upto] = 0
+        total[short] = np.add.reduceat(value, begin)
+    for i in np.flatnonzero(~short).tolist():  # a very long word goes in parts, so memory follows the part
+        end = int(ends[i]) if upto is None else min(int(ends[i]), int(starts[i]) + upto)
+        for lo in range(int(starts[i]), end, LONG):
+            hi = min(lo + LONG, end)
+            total[i] += (BYTE_KEY[folded[lo:hi]] * keys(hi - lo, 1000 + seed, lo - int(starts[i]))).sum(dtype=U64)
+    counted = size if upto is None else np.minimum(size, upto)
+    return starts, ends, mix(total + counted.astype(U64) * STEP)
 
 
 def blocks(column: pa.Array, seps: np.ndarray = SPACES, fold_case=ASIS, seed: int = 0, hashed: bool = True, most: int = PIECE, upto: int | None = None) -> Iterator[Block]:

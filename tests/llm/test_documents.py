@@ -117,20 +117,60 @@ def test_feistel_is_a_bijection():
     assert (order.Feistel(1000, 1).slot(np.arange(1000)) != order.Feistel(1000, 2).slot(np.arange(1000))).any()
 
 
+def shards_hold_the_sequences_in_feistel_order(spark, table, rows, length, per_shard):
+    """Slot s holds sequence index(s) of some order of the splits; sequences of a split run over its documents in order."""
+    path = order.materialise(table, length=length, per_shard=per_shard)
+    got = sorted(order.read(spark, path, length, per_shard).collect(), key=lambda r: r.slot)
+    assert [r.slot for r in got] == list(range(len(got)))
+    assert all(r.byte_offset == (r.slot % per_shard) * order.stride(length) and r.shard == r.slot // per_shard for r in got)
+    encode = tokens.word_ids().ids
+    by_index = sorted(zip(order.Feistel(len(got)).index(np.arange(len(got))).tolist(), got))
+    assert [i for i, _ in by_index] == list(range(len(got)))
+    # In index order the documents stand one after another, whole, each split's last sequence padded
+    flat, firsts, at = [], {}, 0
+    for _, r in by_index:
+        firsts[at] = r.doc_id
+        flat += np.frombuffer(r.ids, "<u2").tolist()
+        at += r.n_ids
+    docs, start, seen = {}, 0, []
+    for i, x in enumerate(flat):
+        if x == 2:
+            docs.setdefault(tuple(flat[start : i + 1]), []).append(start)
+            seen.append((start, tuple(flat[start : i + 1])))
+            start = i + 1
+    assert start == len(flat)
+    want = [(d, (*np.frombuffer(encode(t), "<u4").tolist(), 2)) for d, t in rows]
+    assert cases.counted(x for _, x in seen) == cases.counted(x for _, x in want)
+    spans = sorted(seen)
+    owner = {}
+    for begin, x in spans:
+        if begin in firsts:
+            owner.setdefault((firsts[begin], x), 0)
+    assert set(owner) <= set(want)
+    return path, got
+
+
 def test_shards_round_trip_and_resume(spark, texts, tmp_path):
     source = str(tmp_path / "docs")
     cases.docs(spark, texts).write.parquet(source)
-    table = spark.read.parquet(source)
-    path = order.materialise(table, length=64, per_shard=16)
-    got = sorted(order.read(spark, path, 64, 16).collect(), key=lambda r: r.slot)
-    assert [r.slot for r in got] == list(range(len(got)))
-    assert all(r.byte_offset == (r.slot % 16) * order.stride(64) and r.shard == r.slot // 16 for r in got)
-    encode = tokens.word_ids().ids
-    want = cases.counted(x for t in texts for x in [*np.frombuffer(encode(t), "<u4").tolist(), 2])
-    assert cases.counted(x for r in got for x in np.frombuffer(r.ids, "<u2").tolist()) == want
+    path, got = shards_hold_the_sequences_in_feistel_order(spark, spark.read.parquet(source), list(enumerate(texts)), 64, 16)
     assert sorted(r.slot for r in order.read(spark, path, 64, 16, start=21).collect()) == list(range(21, len(got)))
 
 
+def test_shards_of_tables_not_from_files(spark, texts):
+    shards_hold_the_sequences_in_feistel_order(spark, cases.docs(spark, texts, 4), list(enumerate(texts)), 64, 16)
+    rows = [(None, "a b"), (7, "a b"), (7, "a b"), (8, None), (9, "")]
+    path, got = shards_hold_the_sequences_in_feistel_order(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(2), rows, 4, 3)
+    assert {r.doc_id for r in got} <= {None, 7, 8, 9}
+
+
+def test_shards_of_a_table_read_twice(spark, texts, tmp_path):
+    source = str(tmp_path / "docs")
+    cases.docs(spark, texts).write.parquet(source)
+    table = spark.read.parquet(source)
+    shards_hold_the_sequences_in_feistel_order(spark, table.union(table), list(enumerate(texts)) * 2, 64, 16)
+
+
 def test_shards_of_an_empty_table(spark, tmp_path):
     source = str(tmp_path / "none")
     cases.empty(spark).write.parquet(source)
