@@ -1,9 +1,11 @@
 """Language ID: a bidirectional gated recurrent network over bytes, in numpy.
 
-Letters part a text into words; a word's bytes are one sequence of the network (in pieces of LONGEST
-bytes). Every byte gets a distribution over languages from the states before and behind it; a
-document's is pooled from the log probabilities of all its bytes. A word's sum depends on the word
-alone, so each worker keeps those of the words it has met.
+The network runs over all bytes of a text (A-Z and Latin-1 capitals in lower case), blanks, digits
+and signs included, so its states carry over from word to word. Long texts are cut into windows of
+CORE bytes; a window also reads OVERLAP bytes to either side, whose states it takes over but whose
+labels belong to the neighbour. Every byte gets a distribution over languages from the states before
+and behind it; a document's is pooled from the log probabilities of all its bytes. Gates and states
+use the softsign x / (1 + |x|), which costs a fraction of tanh.
 """
 
 from __future__ import annotations
@@ -18,32 +20,35 @@ from pyspark.sql import functions as F
 
 from . import common, words
 
-#: About so many documents of each language are fitted, and so many words of each, those of the smallest hashes.
-DOCS_PER_LANG, WORDS_PER_DOC, MOST_LANGS = 500, 48, 200
-HIDDEN, LONGEST, EPOCHS, BATCH = 16, 24, 3, 512
-MEMO = 400_000
-SEPS = np.zeros(256, bool)
-SEPS[:128] = True
-SEPS[[*range(65, 91), *range(97, 123)]] = False
+#: About so many labelled documents are fitted, spread evenly over the languages (LEAST_DOCS of each at least), and so many windows of each.
+FIT_DOCS, LEAST_DOCS, WINDOWS, FIT_LENGTH = 2_000, 16, 5, 96
+HIDDEN, EPOCHS, BATCH = 10, 4, 256
+CORE, OVERLAP, ROWS = 448, 32, 1024
+#: A word's worth of bytes, and how many of them decide at most: bytes of one text are no independent witnesses.
+BYTES_A_WITNESS, MOST_WITNESSES = 6, 20
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def softsign(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    x /= 1 + np.abs(x)
+    return x
 
 
 def padded(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Byte matrix and mask of sequences, the longest first in width."""
+    """Byte matrix and mask of sequences."""
     size = np.array([len(b) for b in items])
-    width = int(size.max())
-    mask = np.arange(width) < size[:, None]
-    out = np.zeros((len(items), width), np.uint8)
+    mask = np.arange(int(size.max())) < size[:, None]
+    out = np.zeros(mask.shape, np.uint8)
     out[mask] = np.frombuffer(b"".join(items), np.uint8)
     return out, mask
 
 
 @dataclass
 class Network:
-    """Input tables (byte to gates), recurrent matrices and the output layer, for both directions."""
+    """Byte tables (to update gate, reset gate and new state), recurrent matrices and the output layer, for both directions.
+
+    Arrays run over units first and sequences last.
+    """
 
     langs: list[str]
     w: dict[str, np.ndarray] = field(default_factory=dict)
@@ -53,74 +58,95 @@ class Network:
         rng = np.random.default_rng(seed)
         w = {}
         for d in "fb":
-            w["x" + d] = rng.normal(0, 0.3, (256, 3 * hidden)).astype(np.float32)
-            w["u" + d] = rng.normal(0, hidden**-0.5, (hidden, 3 * hidden)).astype(np.float32)
-        w["o"] = rng.normal(0, 0.2, (2 * hidden, len(langs))).astype(np.float32)
-        w["c"] = np.zeros(len(langs), np.float32)
+            w["x" + d] = rng.normal(0, 0.5, (3 * hidden, 256)).astype(np.float32)
+            w["u" + d] = rng.normal(0, 1.5 * hidden**-0.5, (3 * hidden, hidden)).astype(np.float32)
+        w["o"] = rng.normal(0, 0.3, (len(langs), 2 * hidden)).astype(np.float32)
+        w["c"] = np.zeros((len(langs), 1), np.float32)
         return cls(langs, w)
 
-    def _pass(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool):
-        """States of one direction; where the mask is off the state stays. keep: what the backward pass needs."""
-        n, t = x.shape
-        k = self.w["u" + d].shape[0]
-        h = np.zeros((n, k), np.float32)
-        states, held = np.empty((t, n, k), np.float32), []
+    def _pass(self, x: np.ndarray, mask: np.ndarray, d: str, layer: np.ndarray | None = None):
+        """States (time, units, sequences) of one direction, and what the backward pass needs; with a layer, its outputs
+        from the states alone. A state is zero beyond a sequence's end."""
+        t, n = x.shape
         table, u = self.w["x" + d], self.w["u" + d]
+        k = u.shape[1]
+        h = np.zeros((k, n), u.dtype)
+        keep = layer is None
+        states, held = np.empty((t, k if keep else len(layer), n), u.dtype), []
+        full = mask.all(1)
+        gate, new, part, fed = np.empty((2 * k, n), u.dtype), np.empty((k, n), u.dtype), np.empty((k, n), u.dtype), np.empty((3 * k, n), u.dtype)
         for i in range(t) if d == "f" else range(t - 1, -1, -1):
-            a = table[x[:, i]]
-            zr = sigmoid(a[:, : 2 * k] + h @ u[:, : 2 * k])
-            z, r = zr[:, :k], zr[:, k:]
-            c = np.tanh(a[:, 2 * k :] + (r * h) @ u[:, 2 * k :])
-            m = mask[:, i, None]
-            new = np.where(m, h + z * (c - h), h)
+            np.take(table, x[i], 1, out=fed, mode="clip")
+            np.matmul(u[: 2 * k], h, out=gate)
+            gate += fed[: 2 * k]
+            s = softsign(gate)  # the gates are (1 + s) / 2
+            np.multiply(s[k:], h, out=part)
+            part += h
+            part *= 0.5
+            np.matmul(u[2 * k :], part, out=new)
+            new += fed[2 * k :]
+            c = softsign(new)
+            if keep:
+                held.append((i, h.copy(), s.copy(), c.copy()))
+            c -= h
+            np.multiply(s[:k], c, out=part)
+            part += c
+            part *= 0.5
+            h += part
+            if not full[i]:
+                h *= mask[i]
             if keep:
-                held.append((i, h, z, r, c))
-            states[i] = h = new
+                states[i] = h
+            else:
+                np.matmul(layer, h, out=states[i])
         return states, held
 
     def log_probs(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Of each byte (first axis) and sequence."""
-        both = np.concatenate([self._pass(x, mask, d, False)[0] for d in "fb"], 2)
-        return log_softmax(both @ self.w["o"] + self.w["c"])
+        """(time, languages, sequences); x and mask: (time, sequences)."""
+        k = self.w["uf"].shape[1]
+        out = self._pass(x, mask, "f", np.ascontiguousarray(self.w["o"][:, :k]))[0]
+        out += self._pass(x, mask, "b", np.ascontiguousarray(self.w["o"][:, k:]))[0]
+        out += self.w["c"]
+        return log_softmax(out, 1)
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Weighted mean loss over positions, and its gradients by backpropagation through time."""
-        (sf, hf), (sb, hb) = self._pass(x, mask, "f", True), self._pass(x, mask, "b", True)
-        both = np.concatenate([sf, sb], 2)
-        lp = log_softmax(both @ self.w["o"] + self.w["c"])
-        w = mask.T * (weight / mask.sum(1))[None, :]
+        """Weighted mean loss over positions, and its gradients by backpropagation through time; x and mask: (sequences, time)."""
+        x, mask = np.ascontiguousarray(x.T), np.ascontiguousarray(mask.T)
+        k = self.w["uf"].shape[1]
+        (sf, hf), (sb, hb) = self._pass(x, mask, "f"), self._pass(x, mask, "b")
+        both = np.concatenate([sf, sb], 1)
+        lp = log_softmax(np.matmul(self.w["o"], both) + self.w["c"], 1)
+        w = mask * (weight / mask.sum(0))
         total = w.sum()
-        loss = -(lp[:, np.arange(len(y)), y] * w).sum() / total
+        at = np.arange(len(y))
+        loss = -(lp[:, y, at] * w).sum() / total
         g = np.exp(lp)
-        g[:, np.arange(len(y)), y] -= 1
-        g *= (w / total)[:, :, None].astype(np.float32)
-        out = {"o": np.einsum("tnh,tnl->hl", both, g), "c": g.sum((0, 1))}
-        back = g @ self.w["o"].T
-        k = sf.shape[2]
-        for d, held, part in (("f", hf, back[:, :, :k]), ("b", hb, back[:, :, k:])):
+        g[:, y, at] -= 1
+        g *= (w / total)[:, None, :].astype(g.dtype)
+        out = {"o": np.einsum("thn,tln->lh", both, g), "c": g.sum((0, 2))[:, None]}
+        back = np.matmul(self.w["o"].T, g)
+        for d, held, part in (("f", hf, back[:, :k]), ("b", hb, back[:, k:])):
             u = self.w["u" + d]
-            gx, gu = np.zeros_like(self.w["x" + d]), np.zeros_like(u)
+            gx, gu = np.zeros_like(self.w["x" + d]).T.copy(), np.zeros_like(u)
             gh = np.zeros_like(part[0])
-            for i, h, z, r, c in reversed(held):
-                gh = gh + part[i]
-                m = mask[:, i, None]
-                gn = gh * m
-                gc = gn * z * (1 - c * c)
-                gz = gn * (c - h) * z * (1 - z)
-                grh = gc @ u[:, 2 * k :].T
-                gr = grh * h * r * (1 - r)
-                gate = np.concatenate([gz, gr], 1)
-                gu[:, : 2 * k] += h.T @ gate
-                gu[:, 2 * k :] += (r * h).T @ gc
-                np.add.at(gx, x[:, i], np.concatenate([gate, gc], 1))
-                gh = np.where(m, gn * (1 - z) + grh * r + gate @ u[:, : 2 * k].T, gh)
-            out["x" + d], out["u" + d] = gx, gu
+            for i, h, s, c in reversed(held):
+                z, r, m = (1 + s[:k]) / 2, (1 + s[k:]) / 2, mask[i]
+                gh = (gh + part[i]) * m
+                gc = gh * z * (1 - np.abs(c)) ** 2
+                grh = u[2 * k :].T @ gc
+                gate = np.concatenate([gh * (c - h), grh * h]) * (1 - np.abs(s)) ** 2 / 2
+                gu[: 2 * k] += gate @ h.T
+                gu[2 * k :] += gc @ (r * h).T
+                np.add.at(gx, x[i], np.concatenate([gate, gc]).T)
+                gh = gh * (1 - z) + grh * r + u[: 2 * k].T @ gate
+            out["x" + d], out["u" + d] = gx.T, gu
         return float(loss), out
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def log_softmax(x: np.ndarray, axis: int = -1) -> np.ndarray:
+    x = x - x.max(axis, keepdims=True)
+    x -= np.log(np.exp(x).sum(axis, keepdims=True))
+    return x
 
 
 def train(items: list[bytes], y: np.ndarray, langs: list[str], epochs: int = EPOCHS, seed: int = 1) -> Network:
@@ -134,14 +160,14 @@ def train(items: list[bytes], y: np.ndarray, langs: list[str], epochs: int = EPO
     size = np.array([len(b) for b in items])
     step = 0
     for epoch in range(epochs):
-        order = np.argsort(size + rng.uniform(0, 2, len(size)), kind="stable")
+        order = np.argsort(size + rng.uniform(0, 8, len(size)), kind="stable")
         batches = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
         rng.shuffle(batches)
         for rows in batches:
             x, mask = padded([items[i] for i in rows])
             _, g = net.gradients(x, mask, y[rows], weight[rows])
             step += 1
-            rate = 0.02 * 0.4**epoch
+            rate = 0.03 * 0.4**epoch
             for k, v in g.items():
                 m[k] += 0.1 * (v - m[k])
                 s[k] += 0.01 * (v * v - s[k])
@@ -149,97 +175,53 @@ def train(items: list[bytes], y: np.ndarray, langs: list[str], epochs: int = EPO
     return net
 
 
-@dataclass
-class Memo:
-    """Sums of log probabilities of the words that this worker has met."""
-
-    net: Network
-    at: dict[int, int] = field(default_factory=dict)
-    rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
-
-    def sums(self, items: list[bytes]) -> np.ndarray:
-        """The sum over a sequence's bytes of their log probabilities, longest sequences in pieces."""
-        pieces, owner = [], []
-        for i, b in enumerate(items):
-            for p in range(0, len(b), LONGEST):
-                pieces.append(b[p : p + LONGEST])
-                owner.append(i)
-        out = np.zeros((len(items), len(self.net.langs)), np.float32)
-        order = np.argsort([len(p) for p in pieces], kind="stable")
-        owner = np.array(owner)
-        for lo in range(0, len(order), 2048):
-            rows = order[lo : lo + 2048]
-            x, mask = padded([pieces[i] for i in rows])
-            lp = self.net.log_probs(x, mask)
-            np.add.at(out, owner[rows], (lp * mask.T[:, :, None]).sum(0))
-        return out
-
-    def by_word(self, block: words.Block) -> np.ndarray:
-        """One row for each word of the block."""
-        seen, inv = np.unique(block.hashes, return_inverse=True)
-        first = np.full(len(seen), -1)
-        first[inv[::-1]] = np.arange(len(inv))[::-1]
-        get = self.at.get
-        place = np.array([get(h, -1) for h in seen.tolist()], np.int64)
-        new = np.flatnonzero(place < 0)
-        out = np.empty((len(seen), len(self.net.langs)), np.float32)
-        if len(new):
-            low = words.lower_latin(block.buf).tobytes()
-            fresh = self.sums([low[block.starts[i] : block.ends[i]] for i in first[new]])
-            out[new] = fresh
-        if (place >= 0).any():
-            out[place >= 0] = self.rows[place[place >= 0]]
-        room = min(len(new), MEMO - len(self.at))
-        if room > 0:
-            if not len(self.rows):
-                self.rows = np.empty((MEMO, len(self.net.langs)), np.float32)
-            base = len(self.at)
-            self.rows[base : base + room] = fresh[:room]
-            self.at.update(zip(seen[new[:room]].tolist(), range(base, base + room)))
-        return out[inv]
-
-
-_memos: dict[bytes, Memo] = {}
-
-
-def memo_of(net: Network) -> Memo:
-    """The worker's memo of this network (the last one only)."""
-    key = b"".join(v[:1].tobytes() for v in net.w.values())
-    if key not in _memos:
-        _memos.clear()
-        _memos[key] = Memo(net)
-    return _memos[key]
-
-
-def blocks(column: pa.Array):
-    return words.blocks(column, SEPS, words.lower_latin, seed=3)
-
-
-def training_words(docs: DataFrame, per_lang: int = DOCS_PER_LANG, per_doc: int = WORDS_PER_DOC) -> tuple[list[bytes], list[str]]:
-    """A bounded sample of words of labelled documents outside the held-out fold, from all over each text."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where((common.fold("doc_id", 5) != 0) & F.col("lang").isNotNull())
-    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+def pooled(net: Network, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The sum of each document's log probabilities over all its bytes (documents, languages); buf: lower-case bytes."""
+    size = np.diff(offs)
+    parts = -(-size // CORE)
+    owner = np.repeat(np.arange(len(size)), parts)
+    core = offs[:-1][owner] + CORE * (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts))
+    stop = np.minimum(core + CORE, offs[1:][owner])
+    lo, hi = np.maximum(core - OVERLAP, offs[:-1][owner]), np.minimum(stop + OVERLAP, offs[1:][owner])
+    out = np.zeros((len(size), len(net.langs)))
+    order = np.argsort(hi - lo, kind="stable")
+    for at in range(0, len(order), ROWS):
+        own = order[at : at + ROWS]
+        t = np.arange(int((hi - lo)[own].max()))[:, None]
+        x = buf[np.minimum(lo[own] + t, hi[own] - 1)].astype(np.intp)
+        lp = net.log_probs(x, t < (hi - lo)[own])
+        mine = (t >= (core - lo)[own]) & (t < (stop - lo)[own])
+        np.add.at(out, owner[own], np.einsum("tln,tn->nl", lp, mine.astype(lp.dtype)))
+    return out
+
+
+def training_windows(docs: DataFrame, most: int = FIT_DOCS, windows: int = WINDOWS, length: int = FIT_LENGTH) -> tuple[list[bytes], list[str]]:
+    """A bounded sample of labelled documents outside the held-out fold, as windows from all over each text; a text's label is its own row's."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    own = own.where((common.fold("doc_id", 5) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = own.groupBy("lang").count().orderBy("lang").collect()  # one row for each language
     if not counts:
         return [], []
-    width = 1 << 30
+    per_lang, width = max(LEAST_DOCS, most // len(counts)), 1 << 30
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], int(min(1, per_lang / r["count"]) * width))])
-    ids = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(width)) < share[F.col("lang")]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_lang * len(counts)).dropDuplicates(["doc_id"])
 
     def run(batches):
         for batch in batches:
-            lang = batch.column(2).to_pylist()
-            for b in blocks(batch.column(1)):
-                low, w, own_lang = words.lower_latin(b.buf).tobytes(), [], []
-                for d in range(len(b.first) - 1):
-                    lo, hi = int(b.first[d]), int(b.first[d + 1])
-                    _, at = np.unique(b.hashes[lo:hi], return_index=True)  # the smallest hashes of the whole text
-                    w += [low[b.starts[i] : b.ends[i]] for i in (at[:per_doc] + lo).tolist()]
-                    own_lang += [lang[b.rows.start + d]] * min(per_doc, len(at))
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(own_lang, pa.string())], names=["word", "lang"])
-
-    texts = common.texts(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang")
-    got = texts.mapInArrow(run, "word binary, lang string").orderBy(F.xxhash64("word"), "word", "lang").toArrow()
-    return got.column("word").to_pylist(), got.column("lang").to_pylist()
+            out, lang = [], []
+            data, offs = words.buffer(batch.column(0))
+            names = batch.column(1).to_pylist()
+            for i, (lo, hi) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
+                n = min(windows, -(-(hi - lo) // length))
+                step = (hi - lo - length) / max(1, n - 1)
+                for k in range(n):
+                    at = lo + int(max(0.0, step) * k)
+                    out.append(words.lower_latin(data[at : min(at + length, hi)]).tobytes())
+                    lang.append(names[i])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(lang, pa.string())], names=["window", "lang"])
+
+    sample = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(width)) < share[F.col("lang")]).select("text", "lang")
+    got = sample.mapInArrow(run, "window binary, lang string").orderBy(F.xxhash64("window"), "window", "lang").limit(2 * per_lang * windows * len(counts)).toArrow()
+    return got.column("window").to_pylist(), got.column("lang").to_pylist()
 
 
 def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
@@ -247,13 +229,13 @@ def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
 
     Null texts and texts without a letter give `und` and 0. A language with no labelled document
     outside the held-out fold can't be predicted; without any label all is `und`. Repeated doc_ids
-    each give a row; a null doc_id gives null for held_out.
+    each give a row, and each such row teaches its own label; a null doc_id gives null for held_out.
     """
+    common.small_batches(docs.sparkSession)
     if net is None:
-        items, names = training_words(docs)
+        items, names = training_windows(docs)
         langs = sorted(set(names))
-        items_y = [(b[p : p + LONGEST], langs.index(n)) for b, n in zip(items, names) for p in range(0, len(b), LONGEST)]
-        net = train([b for b, _ in items_y], np.array([k for _, k in items_y]), langs) if langs else None
+        net = train(items, np.array([langs.index(n) for n in names]), langs) if langs else None
 
     def run(batches):
         for batch in batches:
@@ -261,22 +243,14 @@ def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
             n = batch.num_rows
             pred, score = np.full(n, "und", object), np.zeros(n)
             letter = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            if net is not None and n:
-                memo = memo_of(net)
-                for b in blocks(column):
-                    if not len(b.hashes):
-                        continue
-                    rows = memo.by_word(b)
-                    size = (b.ends - b.starts).astype(float)
-                    total = np.add.reduceat(np.vstack([rows, np.zeros((1, rows.shape[1]))]).astype(float), np.minimum(b.first[:-1], len(rows)), 0)
-                    count = np.diff(b.first)
-                    total[count == 0] = 0
-                    weight = np.add.reduceat(np.append(size, 0), np.minimum(b.first[:-1], len(size)))
-                    mean = total / np.maximum(weight, 1)[:, None]
-                    p = np.exp(log_softmax(mean * np.minimum(count, 20)[:, None]))
-                    best = p.argmax(1)
-                    pred[b.rows] = np.array(net.langs, object)[best]
-                    score[b.rows] = p[np.arange(len(p)), best]
+            if net is not None and letter.any():
+                data, offs = words.buffer(column)
+                size = np.diff(offs)
+                total = pooled(net, words.lower_latin(data), offs)
+                mean = total / np.maximum(size, 1)[:, None]
+                p = np.exp(log_softmax(mean * np.minimum(size / BYTES_A_WITNESS, MOST_WITNESSES)[:, None]))
+                best = p.argmax(1)
+                pred, score = np.array(net.langs, object)[best], p[np.arange(n), best]
             pred[~letter], score[~letter] = "und", 0.0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
