@@ -1,13 +1,13 @@
 """Benchmark decontamination by spaced seeds.
 
 A seed is a fixed mask over a run of words: only the words under its ones are hashed, so two runs
-that differ under a zero still meet. Windows of the benchmark are hashed under every mask; those of
-the documents are looked up. Around each hit, the item is laid over the document at that place and
-the agreeing words are counted, which tolerates substitutions anywhere in the overlap. The masks are
-such that no overlap that counts can avoid them all.
+that differ under a zero still meet. Windows of the benchmark and of the documents are hashed under
+every mask and joined on the hash. Around each hit, the item is laid over the document at that place
+and the agreeing words are counted, which tolerates substitutions anywhere in the overlap. The masks
+are such that no overlap that counts can avoid them all.
 
-The benchmark is taken in blocks of at most BLOCK windows, each sent to all tasks: its size is
-bounded by that number whatever the benchmark's size, and every block passes over all documents.
+A benchmark of up to BLOCK words goes to every task as a sorted index, so its seeds meet the
+documents' where these are read, and nothing is shuffled. A larger one is joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -27,15 +27,19 @@ from . import common, words
 #: Fixed masks. Of 13 words or more that agree in 0.8, four agree in a row, except where each fourth of 15 words is
 #: substituted; that pattern and those of 10 and 11 words with two substitutions meet under the second mask.
 MASKS = ("1111", "111011")
-#: Items with fewer words are compared as one run.
-LEAST_ITEM = 10
+#: Items with fewer words are compared as one run; those with fewer than LEAST_RUN only with whole texts, as such few words stand in clean texts by chance.
+LEAST_ITEM, LEAST_RUN = 10, 5
+#: Words of a benchmark whose index is sent to every task; a larger one is joined on its seeds.
 BLOCK = 200_000
+#: Leading bits of a seed in the filter that thins the documents' seeds before that join, and the parts that a seed's documents are dealt into.
+FILTER_BITS, SALTS = 24, 8
 #: Hits that are expanded at once, and words that are laid out at once.
 MOST_HITS = 1 << 18
 MOST_LAID = 1 << 20
 #: An overlap counts if it spans so many words, or this share of a shorter item, and so many of its words agree.
 LEAST_WORDS, AGREE = 13, 0.8
 SEPS = words.separators(bytes(range(0x21, 0x30)) + b":;<=>?@[\\]^_`{|}~")
+UID = "_skarn_uid"
 SCHEMA = "doc_id long, item_id long, start long, length long, agree long, item_words long"
 
 
@@ -67,10 +71,12 @@ class Index:
     items: list[np.ndarray]
     places: list[np.ndarray]
     filters: list[np.ndarray]
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
+    lead: int
 
     def runs(self, k: int, seen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For windows with these hashes: the window, the item and the place in the item, for every match, in parts of bounded size."""
-        maybe = np.flatnonzero(self.filters[k][(seen >> np.uint64(44)).astype(np.int64)])
+        maybe = np.flatnonzero(self.filters[k][(seen >> np.uint64(64 - self.lead)).astype(np.int64)])
         lo = np.searchsorted(self.keys[k], seen[maybe], "left")
         n = np.searchsorted(self.keys[k], seen[maybe], "right") - lo
         maybe, lo, n = maybe[n > 0], lo[n > 0], n[n > 0]
@@ -87,7 +93,7 @@ def index(ids: np.ndarray, texts: list[str | None]) -> Index:
     hashes = np.concatenate([b.hashes for b in blocks_]) if blocks_ else np.zeros(0, np.uint64)
     size = np.concatenate([np.diff(b.first) for b in blocks_]) if blocks_ else np.zeros(0, np.int64)
     first = np.concatenate([[0], np.cumsum(size)])
-    out = Index(np.asarray(ids), first, hashes, [], [], [], [])
+    out = Index(list(ids), first, hashes, [], [], [], [], {}, 20 if len(hashes) > 4096 else 10)
     for k, mask in enumerate(MASKS):
         h = seeds(hashes, mask, k)
         item = np.repeat(np.arange(len(size)), size)[: len(h)]
@@ -95,31 +101,38 @@ def index(ids: np.ndarray, texts: list[str | None]) -> Index:
         keep = (place + len(mask) <= size[item]) & (size[item] >= LEAST_ITEM)
         h, item, place = h[keep], item[keep], place[keep]
         order = np.argsort(h, kind="stable")
-        bits = np.zeros(1 << 20, bool)
-        bits[(h >> np.uint64(44)).astype(np.int64)] = True
+        bits = np.zeros(1 << out.lead, bool)
+        bits[(h >> np.uint64(64 - out.lead)).astype(np.int64)] = True
         out.keys.append(h[order])
         out.items.append(item[order])
         out.places.append(place[order])
         out.filters.append(bits)
+    for n in range(1, LEAST_ITEM):
+        items = np.flatnonzero(size == n)
+        if len(items):
+            h = seeds(hashes, "1" * n, n)[first[items]]
+            order = np.argsort(h, kind="stable")
+            out.short[n] = h[order], items[order]
     return out
 
 
 def overlap(a: np.ndarray, b: np.ndarray, agree: float) -> tuple[int, int, int]:
     """The longest run of two aligned word sequences that starts and ends in agreement and agrees in that share of its words: start, length, agreeing words."""
     same = a == b
-    hits = np.flatnonzero(same)
-    if not len(hits):
+    last = np.flatnonzero(same)
+    if not len(last):
         return 0, 0, 0
-    # with v(i) = agreeing words before i - agree * i, the run i..j holds if v(j + 1) >= v(i)
+    # with v(i) = agreeing words before i - agree * i, in whole numbers, the run i..j holds if v(j + 1) >= v(i)
+    share = Fraction(agree).limit_denominator(10_000)
     count = np.concatenate([[0], np.cumsum(same)])
-    v = count - agree * np.arange(len(same) + 1)
-    for length in range(int(hits[-1] - hits[0] + 1), 0, -1):
-        i = hits[hits + length <= len(same)]
-        good = i[same[i + length - 1] & (v[i + length] >= v[i] - 1e-9)]
-        if len(good):
-            i = int(good[0])
-            return i, length, int(count[i + length] - count[i])
-    return 0, 0, 0
+    v = share.denominator * count - share.numerator * np.arange(len(same) + 1)
+    least = np.minimum.accumulate(np.where(same, v[:-1], np.iinfo(np.int64).max))
+    # the first start whose v is low enough for each end; least falls, so it is found by bisection
+    first = np.searchsorted(-least, -v[last + 1], "left")
+    length = np.where(first <= last, last - first + 1, 0)
+    k = int(length.argmax())
+    i, n = int(first[k]), int(length[k])
+    return (i, n, int(count[i + n] - count[i])) if n else (0, 0, 0)
 
 
 def able(doc: np.ndarray, item: np.ndarray, at: np.ndarray, own: np.ndarray, size: np.ndarray, need: np.ndarray, agree: float) -> np.ndarray:
@@ -171,64 +184,149 @@ def find(batch_ids, column: pa.Array, ix: Index, least: int, agree: float) -> li
                     s, n, same = overlap(block.hashes[a:z], ix.hashes[ix.first[i] + a - at : ix.first[i] + z - at], agree)
                     if n >= need[i] and n > best.get((block.rows.start + d, i), (0, 0, 0))[1]:
                         best[block.rows.start + d, i] = (a - int(block.first[d]) + s, n, same)
-        small = [i for i in np.flatnonzero((sizes > 0) & (sizes < LEAST_ITEM))]
-        for i in small:  # an item too short for a mask has to stand in full
-            own = ix.hashes[ix.first[i] : ix.first[i + 1]]
-            for w in np.flatnonzero(block.hashes == own[0]).tolist():
+        for n, (keys, items) in ix.short.items():  # an item too short for a mask has to stand in full
+            h = seeds(block.hashes, "1" * n, n)
+            if not len(h):
+                continue
+            lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
+            for w in np.flatnonzero(hi > lo).tolist():
                 d = int(doc[w])
-                if w + len(own) <= block.first[d + 1] and (block.hashes[w : w + len(own)] == own).all():
-                    best.setdefault((block.rows.start + d, int(i)), (w - int(block.first[d]), len(own), len(own)))
+                if w + n > block.first[d + 1] or (n < LEAST_RUN and block.first[d + 1] - block.first[d] != n):
+                    continue
+                for i in items[lo[w] : hi[w]].tolist():
+                    if (block.hashes[w : w + n] == ix.hashes[ix.first[i] : ix.first[i + 1]]).all():
+                        best.setdefault((block.rows.start + d, i), (w - int(block.first[d]), n, n))
     return [(batch_ids[d], ix.ids[i], s, n, same, int(sizes[i])) for (d, i), (s, n, same) in best.items()]
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WORDS, agree: float = AGREE, block: int = BLOCK, short: bool = False) -> DataFrame:
-    """Each document and benchmark item that overlap: where, over how many words, and how many agree.
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """item_id (may be null) and text of the items that have a text."""
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
 
-    Words are runs between blanks and ASCII punctuation, in lower case. Null and empty texts and
-    items overlap with nothing. Repeated doc_ids each give their rows; a null doc_id stays null.
-    Items with fewer words than LEAST_ITEM are used only if short is set, as such few words stand in clean documents by chance.
+
+def small_index(items: DataFrame, block: int = BLOCK):
+    """A broadcast index of all items, if their bytes show that they hold no more than `block` words; otherwise None."""
+    total = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    if (total[0] or 0) > 6 * block or total[1] > block:
+        return None
+    own = items.orderBy("item_id", "text").toArrow()
+    return items.sparkSession.sparkContext.broadcast(index(own.column("item_id").to_pylist(), own.column("text").to_pylist()))
+
+
+def _found(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=[c.split()[0] for c in schema.split(", ")])
+
+
+def seed_pairs(numbered: DataFrame, items: DataFrame) -> DataFrame:
+    """uid, item: documents and items that share a seed, by a join of their hashes. numbered: uid, text; items: item, text.
+
+    A filter of fixed size, laid over the items' seeds by an aggregate, keeps most of the documents' seeds out of the shuffle.
     """
-    out = None
-    for shared in indexes(benchmark, block, short):
 
-        def run(batches, shared=shared):
+    def emit(key: str, shared=None):
+        def run(batches):
             for batch in batches:
-                rows = find(batch.column(0).to_pylist(), batch.column(1), shared.value, least, agree)
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+                ids, hs = [], []
+                for block in blocks(batch.column(1)):
+                    doc, size = block.doc, np.diff(block.first)
+                    for k, mask in [*enumerate(MASKS), *((n, "1" * n) for n in range(1, LEAST_ITEM))]:
+                        h = words.mix(seeds(block.hashes, mask, k) ^ words.U64(len(mask)))
+                        w = np.flatnonzero(doc[: len(h)] == doc[len(mask) - 1 : len(mask) - 1 + len(h)])
+                        n = size[doc[w]]
+                        if key == "item":  # a short item gives one seed, itself
+                            w = w[(n >= LEAST_ITEM) if mask in MASKS else (n == len(mask))]
+                        elif mask not in MASKS and len(mask) < LEAST_RUN:
+                            w = w[n == len(mask)]
+                        if shared is not None:
+                            w = w[shared.value[(h[w] >> words.U64(64 - FILTER_BITS)).astype(np.int64)]]
+                        pairs = np.unique(np.column_stack([doc[w].astype(np.uint64), h[w]]), axis=0)
+                        ids.append(pairs[:, 0].astype(np.int64) + block.rows.start)
+                        hs.append(pairs[:, 1])
+                own = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+                h = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array(h.view(np.int64))], names=[key, "seed"])
+
+        return run
+
+    item_seeds = common.stage(items.select("item", "text").mapInArrow(emit("item"), "item long, seed long").distinct(), "seeds")
+    cell = F.shiftrightunsigned("seed", 64 - FILTER_BITS) + 1
+    maps = item_seeds.groupBy(F.bitmap_bucket_number(cell).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("m")).collect()  # 2^FILTER_BITS bits at most
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    for r in maps:
+        own = np.unpackbits(np.frombuffer(r["m"], np.uint8), bitorder="little").astype(bool)
+        bits[(r["k"] - 1) * len(own) : r["k"] * len(own)] = own
+    shared = items.sparkSession.sparkContext.broadcast(bits)
+    doc_seeds = numbered.select("uid", "text").mapInArrow(emit("uid", shared), "uid long, seed long")
+    # Both sides are spread by a salt, so a seed that many documents have is no single task's
+    salted = item_seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return doc_seeds.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int")).join(salted, ["seed", "salt"]).select("uid", "item").distinct()
+
+
+def joined(docs: DataFrame, benchmark: DataFrame, least: int, agree: float) -> tuple[DataFrame, DataFrame]:
+    """For a benchmark of any size: docs numbered by uid (staged), and uid with the rest of SCHEMA of their overlaps.
+
+    Each pair that shares a seed is then judged by its two texts, in groups of pairs of one document.
+    """
+    numbered = common.stage(docs.withColumn(UID, F.monotonically_increasing_id()), "numbered")
+    items = common.stage(benchmark_items(benchmark).select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), "items")
+    texts = numbered.select(F.col(UID).alias("uid"), F.col("text").cast("string").alias("text"))
+    pairs = common.stage(seed_pairs(texts, items), "pairs")
+    both = pairs.join(texts, "uid").join(items.withColumnRenamed("text", "item_text"), "item").select("uid", "item_id", "text", "item_text")
+    schema = SCHEMA.replace("doc_id", "uid")
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            ids, names, texts_, items_ = (batch.column(i) for i in range(4))
+            for i in range(batch.num_rows):
+                ix = index([names[i].as_py()], [items_[i].as_py()])
+                rows += find([ids[i].as_py()], texts_.slice(i, 1), ix, least, agree)
+            if rows:
+                yield _found(rows, schema)
+
+    return numbered, both.mapInArrow(run, schema)
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WORDS, agree: float = AGREE, block: int = BLOCK) -> DataFrame:
+    """Each document and benchmark item that overlap: where, over how many words, and how many agree.
 
-        found = common.texts(docs).mapInArrow(run, SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return out
+    Words are runs between blanks and ASCII punctuation, in lower case. Null and empty texts and
+    items overlap with nothing. Repeated doc_ids each give their rows, repeated items too; a null
+    doc_id or item_id stays null. Items of fewer than LEAST_ITEM words have to stand in full, those
+    of fewer than LEAST_RUN have to be the whole text. A benchmark of up to `block` words is held
+    against the documents where they are read; a larger one is joined on its seeds.
+    """
+    shared = small_index(benchmark_items(benchmark), block)
+    own = common.texts(docs)
+    if shared is None:
+        numbered, found = joined(own, benchmark, least, agree)
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        return found.join(numbered.select(F.col(UID).alias("uid"), "doc_id"), "uid").select(*names)
 
+    def run(batches):
+        for batch in batches:
+            rows = find(batch.column(0).to_pylist(), batch.column(1), shared.value, least, agree)
+            if rows:
+                yield _found(rows, SCHEMA)
 
-def indexes(benchmark: DataFrame, block: int = BLOCK, short: bool = False):
-    """A broadcast index of each block of the benchmark; blocks are cut so that their bytes bound their words."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-int(total) // (block * 6)))
-    for p in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).orderBy("item_id", "text").toArrow()
-        ix = index(own.column("item_id").to_numpy(zero_copy_only=False), own.column("text").to_pylist())
-        if not short:
-            for i in np.flatnonzero(np.diff(ix.first) < LEAST_ITEM):
-                ix.hashes[ix.first[i] : ix.first[i + 1]] = 0
-        yield benchmark.sparkSession.sparkContext.broadcast(ix)
+    return own.mapInArrow(run, SCHEMA)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WORDS, agree: float = AGREE) -> DataFrame:
-    """The rows of docs that overlap with no item, with all their columns; no join is needed."""
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WORDS, agree: float = AGREE, block: int = BLOCK) -> DataFrame:
+    """The rows of docs that overlap with no item, with all their columns; see overlaps."""
     common.small_batches(docs.sparkSession)
+    shared = small_index(benchmark_items(benchmark), block)
+    if shared is None:
+        numbered, found = joined(docs, benchmark, least, agree)
+        return numbered.join(found.select(F.col("uid").alias(UID)).distinct(), UID, "left_anti").select(*docs.columns)
     at = docs.columns.index("text")
-    for shared in indexes(benchmark):
 
-        def run(batches, shared=shared):
-            for batch in batches:
-                bad = {r[0] for r in find(range(batch.num_rows), batch.column(at), shared.value, least, agree)}
-                yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
+    def run(batches):
+        for batch in batches:
+            bad = {r[0] for r in find(range(batch.num_rows), batch.column(at), shared.value, least, agree)}
+            yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
