@@ -5,8 +5,7 @@ assigned to a name or stands beside a telling word. The forest sees its length,
 how its characters follow one another, how much of it common words cover, whether it stands in a
 path or an address, and the words beside it. It is trained from labelled findings: a DataFrame of
 (text, start, length, secret) that a caller may give; by default findings generated from public key
-formats and from their usual look-alikes, together with findings of the scanned table itself that
-an assignment or its absence makes plain (a bounded sample).
+formats and from their usual look-alikes, whose labels say how they were made, not how they look.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 from .trees import Forest, forest
 
-#: Candidates of the scanned table that join the training findings, at most.
+#: Findings of a given table that are fitted, at most.
 FIT_ROWS = 4_000
 THRESHOLD = 0.5
 LEAST, LEAST_BESIDE = 16, 8
@@ -51,8 +50,6 @@ TOKEN = re.compile(r"\S+")
 TOKENS_BEFORE, TOKENS_AFTER = 2, 3
 OPENING, CLOSING = "\"'`([{<", "\"'`)]}>.,;:"
 ENDS = "=./-+_"
-#: Bits a character from which a bare string may well be a key.
-KEY_BITS = 3.0
 
 
 def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
@@ -74,9 +71,11 @@ def beside(text: str) -> set[tuple[int, int]]:
             tells = TELLING.search(text, max(0, m.start() - WINDOW), m.start())
             if tells is None or m.start() < told:
                 continue
+        if not ASSIGN.search(text[max(0, m.end() - WINDOW) : m.end()]):
+            continue
         v = VALUE.match(text, m.end())
         kind = v and v.lastgroup
-        if not v or not ASSIGN.search(text[max(0, v.start(kind) - WINDOW) : v.start(kind)]):
+        if not v:
             continue
         reach = max(reach, v.end())
         if tells:
@@ -174,6 +173,7 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, int, int,
         lambda: (word() + "_" + word() + "_" + word() + str(rng.randint(1, 99)), "{}"), lambda: (pick(string.digits, 20), "{}"), lambda: ("." * 3 + pick(string.digits, 4) + "-" * 8 + pick(string.digits, 6), "{}"), lambda: (str(rng.randint(1990, 2030)) + "-" + "-".join(pick(string.digits, 2) for _ in range(5)), "{}"),
         # plain words beside telling words, values of other names, and long runs of letters
         lambda: (long(8), f"{name()} {{}}"), lambda: (long(8), f"the {name()} {word()} {{}}"), lambda: (long(8), f"{{}} {name()}"), lambda: (long(8), f"{name()}: {{}}"), lambda: (long(4) + "-" + long(4), f"{name()} {{}}"),
+        lambda: (rng.choice((long(5), long(5).upper(), long(5).capitalize())) + rng.choice("!?") * rng.randint(1, 3), rng.choice((f"{name()} {{}}", f"{{}} {name()}", f'{name()} = "{pick(hexa, 40)}"!! {{}}', "{}"))),
         lambda: (long(8), rng.choice(('title = "{}"', "note: {}", "name: '{}'", "author={}", '"label": "{}"'))), lambda: (long(6) + pick(string.digits, rng.randint(2, 4)), rng.choice(('user = "{}"', "login: {}", "username={}", '"host": "{}"'))),
         lambda: (long(16), "{}"), lambda: (long(16).upper(), "{}"), lambda: (long(5).capitalize() + "-" + long(10), "{}"), lambda: ("/".join(long(4) for _ in range(4)), rng.choice(("{}", "/{}", "path: {}"))), lambda: (pick(string.digits, rng.randint(8, 12)), rng.choice(("number: {}", "id={}", "date: {}"))),
     ]
@@ -200,37 +200,6 @@ def train(found: list[tuple[str, int, int, int]]) -> Forest:
     return forest(x, np.array([f[3] for f in found], dtype=float))
 
 
-def plain_findings(docs: DataFrame, most: int = FIT_ROWS) -> list[tuple[str, int, int, int]]:
-    """A bounded sample of the table's own candidates whose surroundings settle the label.
-
-    An assignment to a name such as token or password, in quotes, is a secret; a bare candidate, with
-    neither an assignment nor a key format beside a telling word, is not if it is an UUID, has no
-    letters or repeats itself. Others are left out, such as bare strings of high entropy: they may be keys.
-    """
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for text in batch.column(0):
-                t = text.as_py() or ""
-                for s, k in candidates(t):
-                    own, at = t[max(0, s - WINDOW) : s + k + WINDOW], min(s, WINDOW)
-                    d = dict(zip(NAMES, describe(own, at, k)))
-                    y = 1 if d["assigned"] and d["near_secret"] and d["quoted"] else 0 if not (d["assigned"] or d["near_secret"] or d["prefix"] or d["quoted"]) and (d["uuid"] or d["digits"] + d["signs"] == 1 or d["entropy"] < KEY_BITS) else None
-                    if y is not None:
-                        rows.append((own, at, k, y))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["text", "start", "length", "secret"])
-
-    # The ids of the smallest hashes first, so that no text is sorted or moved
-    own = common.texts(docs)
-    ids = own.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    sample = own.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text")
-    got = sample.mapInArrow(run, "text string, start long, length long, secret long")
-    rows = got.orderBy(F.xxhash64("text", "start"), "text", "start").limit(most).collect()
-    return [tuple(r) for r in rows]
-
-
 def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each candidate of each text: doc_id, start, length, secret_sha256, score, is_secret.
 
@@ -239,7 +208,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
     have no candidates. Repeated doc_ids each give their rows; a null doc_id stays null.
     """
     if findings is None:
-        found = labelled_findings() + plain_findings(docs)
+        found = labelled_findings()
     else:
         found = [tuple(r) for r in findings.select("text", "start", "length", "secret").orderBy(F.xxhash64("text", "start")).limit(FIT_ROWS).collect()]
     model = train(found)
@@ -263,7 +232,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
 
 def redact(docs: DataFrame, threshold: float = THRESHOLD, mask: str = MASK) -> DataFrame:
     """The documents with each secret in their texts replaced by mask and n_chars counted anew, all columns kept."""
-    model = train(labelled_findings() + plain_findings(docs))
+    model = train(labelled_findings())
 
     @F.pandas_udf("string")
     def clean(texts):
