@@ -41,7 +41,7 @@ def _offsets(column: pa.Array, block: words.Block) -> np.ndarray:
 
 @dataclass
 class Discriminant:
-    """Class means, Cholesky factors of the shrunken covariances and log priors, all fixed at the fit."""
+    """Class means, inverted Cholesky factors of the shrunken covariances and log priors, all fixed at the fit."""
 
     centre: np.ndarray
     scale: np.ndarray
@@ -57,7 +57,7 @@ class Discriminant:
         z = np.clip((x - self.centre) / self.scale, -12, 12)
         part = []
         for m, low, det, p in zip(self.means, self.factors, self.logdet, self.prior):
-            y = np.linalg.solve(low, (z - m).T)
+            y = low @ (z - m).T
             part.append(p - 0.5 * (y * y).sum(0) - det)
         return part[1] - part[0]
 
@@ -77,7 +77,7 @@ def _fit(x: np.ndarray, y: np.ndarray, shrink: float) -> Discriminant:
         cov = (1 - shrink) * cov + shrink * (0.5 * np.diag(np.diag(cov)) + 0.5 * np.trace(cov) / d * np.eye(d)) + 1e-3 * np.eye(d)
         low = np.linalg.cholesky(cov)
         out.means.append(own.mean(0))
-        out.factors.append(low)
+        out.factors.append(np.linalg.inv(low))
         out.logdet.append(float(np.log(np.diag(low)).sum()))
         out.prior.append(float(np.log(len(own) / len(z))))
     return out

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, features, words
-from .quality import collected, labelled, measured
+from .quality import labelled
 from .trees import Boosted, Isotonic, boost, isotonic
 
 #: At most so many labelled rows are fitted, those of the smallest hashes.
@@ -24,6 +24,8 @@ FIT_ROWS = 20_000
 LEXICON, EVIDENCE = 4_000, 20.0
 HEAD = 5
 THRESHOLD = 0.7
+#: Parts of the labelled families that are left out in turn for the calibration.
+FOLDS = 3
 #: Insults, and words that address a person.
 INSULTS = b"idiot idiots moron morons stupid dumb trash scum loser losers worthless pathetic disgusting clown imbecile filthy vermin garbage".split()
 PERSON = b"you your yours yourself youre du dich dir dein deine ihr euch euer tu te ti tus vous votre vos ton tes usted ustedes vosotros".split()
@@ -118,36 +120,49 @@ def statistics(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
     return np.vstack(out) if out else np.zeros((0, len(NAMES)))
 
 
-def learn_lexicon(docs: DataFrame, sample: DataFrame, most: int = LEXICON, evidence: float = EVIDENCE) -> Lexicon:
-    """Words and beginnings of words with strong evidence of toxicity in the bounded labelled sample."""
+def family_of(whole: words.Block) -> np.ndarray:
+    """The smallest hash of two words in a row of each document: copies mostly share it."""
+    pairs, count = words.ngrams(whole.hashes, whole.first, 2)
+    out = np.full(len(whole.first) - 1, np.iinfo(np.int64).max, np.int64)
+    np.minimum.at(out, np.repeat(np.arange(len(out)), count), pairs.view(np.int64))
+    return out
+
+
+def learn_lexicons(own: DataFrame, most: int = LEXICON, evidence: float = EVIDENCE) -> list[Lexicon]:
+    """Words and beginnings of words with strong evidence of toxicity in a bounded labelled sample (doc_id, text, y).
+
+    The first lexicon is learned from all families of copies, lexicon k + 1 from those outside fold k.
+    """
 
     def run(batches):
         for batch in batches:
             column, toxic = batch.column(1), batch.column(2).to_numpy()
             for whole, head in zip(plain(column), plain(column, HEAD)):
-                y = toxic[whole.rows]
-                pairs, count = words.ngrams(whole.hashes, whole.first, 2)
-                family = np.full(len(y), np.iinfo(np.int64).max, np.int64)
-                np.minimum.at(family, np.repeat(np.arange(len(y)), count), pairs.view(np.int64))
+                y, family = toxic[whole.rows], family_of(whole)
                 for kind, block in ((0, whole), (1, head)):
                     v, k = words.distinct(block.hashes, np.diff(block.first))
                     doc = np.repeat(np.arange(len(y)), k)
                     cols = [pa.array(np.full(len(v), kind, np.int32)), pa.array(v.view(np.int64)), pa.array(family[doc]), pa.array(y[doc].astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(cols, names=["kind", "word", "family", "y"])
 
-    own = common.texts(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y")
-    seen = own.mapInArrow(run, "kind int, word long, family long, y int").groupBy("kind", "word", "family").agg(F.max("y").alias("y"))
-    counts = seen.groupBy("kind", "word").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
-    share = sample.agg(F.avg("y")).first()[0]
+    share = own.agg(F.avg("y")).first()[0]
     if not share or share >= 1:
-        return Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-    n, p, q = F.col("a") + F.col("b"), F.lit(float(share)), F.col("a") / (F.col("a") + F.col("b"))
-    safe = lambda x: F.when(x > 0, x).otherwise(1.0)
-    g2 = 2 * (F.col("a") * F.log(safe(q) / p) + F.col("b") * F.log(safe(1 - q) / (1 - p)))
-    kept = counts.where(n >= 4).where(q >= 0.9).withColumn("g2", g2).where(F.col("g2") >= evidence)
-    rows = kept.orderBy(F.desc("g2"), "kind", "word").limit(most).select("kind", "word").collect()
-    pick = lambda kind: np.sort(np.array([r.word for r in rows if r.kind == kind], np.int64).view(np.uint64))
-    return Lexicon(pick(0), pick(1))
+        return [Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.uint64))] * (FOLDS + 1)
+    seen = own.mapInArrow(run, "kind int, word long, family long, y int").groupBy("kind", "word", "family").agg(F.max("y").alias("y"))
+    fold = F.pmod("family", F.lit(FOLDS))
+    parts = [F.sum(F.when((fold == k) & (F.col("y") == v), 1.0).otherwise(0.0)).alias(f"{n}{k}") for k in range(FOLDS) for v, n in ((1, "a"), (0, "b"))]
+    counts = common.stage(seen.groupBy("kind", "word").agg(*parts, F.count("*").alias("n")).where("n >= 4"), "words")
+    out = []
+    for left_out in (None, *range(FOLDS)):
+        a, b = (sum((F.col(f"{n}{k}") for k in range(FOLDS) if k != left_out), F.lit(0.0)) for n in "ab")
+        n, p, q = a + b, F.lit(float(share)), a / F.greatest(a + b, F.lit(1.0))
+        safe = lambda x: F.when(x > 0, x).otherwise(1.0)
+        g2 = 2 * (a * F.log(safe(q) / p) + b * F.log(safe(1 - q) / (1 - p)))
+        kept = counts.where((n >= 4) & (q >= 0.9)).withColumn("g2", g2).where(F.col("g2") >= evidence)
+        rows = kept.orderBy(F.desc("g2"), "kind", "word").limit(most).select("kind", "word").collect()
+        pick = lambda kind: np.sort(np.array([r.word for r in rows if r.kind == kind], np.int64).view(np.uint64))  # noqa: B023, E731
+        out.append(Lexicon(pick(0), pick(1)))
+    return out
 
 
 @dataclass
@@ -159,24 +174,38 @@ class Toxicity:
         return np.clip(self.curve(self.trees.margin(x)), 0, 1)
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Toxicity | float:
-    """Trees on all rows; the calibration curve from margins of rows that a tree has not seen."""
+def fit(x: list[np.ndarray], y: np.ndarray, fold: np.ndarray) -> Toxicity | float:
+    """Trees on all rows; the calibration curve from margins of rows that neither the trees nor the lexicon have seen.
+
+    x[0]: statistics by the lexicon of all rows; x[k + 1]: by the lexicon learned outside fold k.
+    """
     if len(y) < 8 or min((y == 0).sum(), (y == 1).sum()) < 3:
         return float(y.mean()) if len(y) else 0.0
-    part = np.arange(len(y)) % 3
     margin = np.zeros(len(y))
-    for k in range(3):
-        margin[part == k] = boost(x[part != k], y[part != k]).margin(x[part == k])
-    return Toxicity(boost(x, y), isotonic(margin, y))
+    for k in range(FOLDS):
+        if (fold == k).any() and (fold != k).any():
+            margin[fold == k] = boost(x[k + 1][fold != k], y[fold != k]).margin(x[k + 1][fold == k])
+    return Toxicity(boost(x[0], y), isotonic(margin, y))
 
 
 def trained(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS):
     """The lexicon and the calibrated trees, both from the bounded labelled sample alone."""
-    sample = common.stage(labelled(labels, "toxic", rows), "labels")
-    lexicon = learn_lexicon(docs, sample)
-    own = common.texts(docs).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
-    stats = measured(own, lambda column: statistics(column, lexicon), len(NAMES))
-    return lexicon, fit(*collected(stats, sample))
+    sample = labelled(labels, "toxic", rows)
+    own = common.stage(common.texts(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y"), "labelled")
+    lexicons = learn_lexicons(own)
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(1)
+            fold = np.concatenate([np.zeros(0, np.int64), *(family_of(b) % FOLDS for b in plain(column))])
+            x = [statistics(column, lexicon).astype(np.float32) for lexicon in lexicons]
+            cols = [words.lists(v.ravel(), np.full(len(v), len(NAMES)), pa.float32()) for v in x]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fold), *cols], names=["doc_id", "y", "fold", *(f"x{k}" for k in range(FOLDS + 1))])
+
+    schema = "doc_id long, y int, fold long, " + ", ".join(f"x{k} array<float>" for k in range(FOLDS + 1))
+    got = own.mapInArrow(run, schema).orderBy("doc_id", "x0").toArrow()
+    x = [np.array(got.column(f"x{k}").to_pylist(), dtype=float).reshape(got.num_rows, len(NAMES)) for k in range(FOLDS + 1)]
+    return lexicons[0], fit(x, got.column("y").to_numpy().astype(float), got.column("fold").to_numpy())
 
 
 def scores(column: pa.Array, lexicon: Lexicon, model: Toxicity | float) -> np.ndarray:
