@@ -20,63 +20,70 @@ from pyspark.sql import functions as F
 
 from . import common
 
-PROJECTIONS, BLOCK, QUERY_BLOCK = 128, 16_384, 1024
+PROJECTIONS, BLOCK, QUERY_BLOCK = 128, 16_384, 16_384
+#: Queries of a block that are counted at once.
+AT_ONCE = 512
 RATIO, START = 1.15, 0.5
 #: A vector at distance r collides in this share of projections; the threshold lies DEVIATIONS below it.
 SHARE, DEVIATIONS = 0.6826894921370859, 1.2
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and vector of the rows that take part: not null, not zero, every component finite; the most common length only."""
+    """vec_id and vector of the rows that take part: not null, not zero, every component finite."""
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     return own.where(fine)
 
 
-def nearest_in_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, seed: int = 17) -> list[tuple[int, int, float]]:
-    """Per query: its k nearest verified vectors of this block (vec_id other than its own), as query, vec_id, distance."""
-    n, d = x.shape
-    m = PROJECTIONS
-    a = np.random.default_rng(seed).normal(size=(d, m))
-    px = (x @ a).T
-    order = np.argsort(px, 1, kind="stable").astype(np.int32)
-    arrays = np.take_along_axis(px, order, 1)
-    pq = q @ a
-    need = int(np.ceil(m * SHARE - DEVIATIONS * np.sqrt(m * SHARE * (1 - SHARE))))
-    lo = np.stack([np.searchsorted(arrays[j], pq[:, j], "left") for j in range(m)], 1)
-    hi = lo.copy()
-    counts = np.zeros((len(q), n), np.int16)
-    best_i = [np.zeros(0, np.int64) for _ in q]
-    best_d = [np.zeros(0) for _ in q]
-    done = np.zeros((len(q), n), bool)
-    # The first radius is small beside the data's spread; widening reaches any scale in few steps
-    spread = float(np.linalg.norm(x - x.mean(0), axis=1).mean()) or 1.0
-    r = START * spread
-    live = np.arange(len(q))
-    while len(live):
-        left = np.stack([np.searchsorted(arrays[j], pq[live, j] - r, "left") for j in range(m)], 1)
-        right = np.stack([np.searchsorted(arrays[j], pq[live, j] + r, "right") for j in range(m)], 1)
-        rest = []
-        for row, (i, l, h) in enumerate(zip(live.tolist(), left.tolist(), right.tolist())):
-            ol, oh = lo[i].tolist(), hi[i].tolist()
-            parts = [order[j, l[j] : ol[j]] for j in range(m) if l[j] < ol[j]] + [order[j, oh[j] : h[j]] for j in range(m) if oh[j] < h[j]]
-            if parts:
-                counts[i] += np.bincount(np.concatenate(parts), minlength=n).astype(np.int16)
-            lo[i], hi[i] = left[row], right[row]
-            fresh = np.flatnonzero((counts[i] >= need) & ~done[i])
-            if len(fresh):
-                done[i, fresh] = True
-                fresh = fresh[ids[fresh] != q_ids[i]]
-                dist = np.sqrt(((x[fresh] - q[i]) ** 2).sum(1))
-                ai, ad = np.concatenate([best_i[i], ids[fresh]]), np.concatenate([best_d[i], dist])
-                keep = np.lexsort((ai, ad))[:k]
-                best_i[i], best_d[i] = ai[keep], ad[keep]
-            full = len(best_d[i]) == k and best_d[i][-1] <= r
-            if not full and not (right[row] - left[row] == n).all():
-                rest.append(i)
-        live = np.array(rest, np.int64)
-        r *= RATIO
-    return [(int(q_ids[i]), int(v), float(s)) for i in range(len(q)) for v, s in zip(best_i[i], best_d[i])]
+class Arrays:
+    """A block of vectors with, for each projection, its vectors in projection order; built once for all queries that meet it."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, seed: int = 17):
+        self.ids, self.x = ids, x
+        self.a = np.random.default_rng(seed).normal(size=(x.shape[1], PROJECTIONS))
+        px = (x @ self.a).T
+        self.order = np.argsort(px, 1, kind="stable").astype(np.int32)
+        self.values = np.take_along_axis(px, self.order, 1)
+        # The first radius is small beside the data's spread; widening reaches any scale in few steps
+        self.radius = START * (float(np.linalg.norm(x - x.mean(0), axis=1).mean()) or 1.0)
+
+    def nearest(self, q_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+        """Per query: its k nearest verified vectors of this block (vec_id other than its own), as query, vec_id, distance."""
+        ids, x, order, arrays, n, m = self.ids, self.x, self.order, self.values, len(self.ids), PROJECTIONS
+        pq = q @ self.a
+        need = int(np.ceil(m * SHARE - DEVIATIONS * np.sqrt(m * SHARE * (1 - SHARE))))
+        lo = np.stack([np.searchsorted(arrays[j], pq[:, j], "left") for j in range(m)], 1)
+        hi = lo.copy()
+        counts = np.zeros((len(q), n), np.int16)
+        best_i = [np.zeros(0, np.int64) for _ in q]
+        best_d = [np.zeros(0) for _ in q]
+        done = np.zeros((len(q), n), bool)
+        r = self.radius
+        live = np.arange(len(q))
+        while len(live):
+            left = np.stack([np.searchsorted(arrays[j], pq[live, j] - r, "left") for j in range(m)], 1)
+            right = np.stack([np.searchsorted(arrays[j], pq[live, j] + r, "right") for j in range(m)], 1)
+            rest = []
+            for row, (i, l, h) in enumerate(zip(live.tolist(), left.tolist(), right.tolist())):
+                ol, oh = lo[i].tolist(), hi[i].tolist()
+                parts = [order[j, l[j] : ol[j]] for j in range(m) if l[j] < ol[j]] + [order[j, oh[j] : h[j]] for j in range(m) if oh[j] < h[j]]
+                if parts:
+                    counts[i] += np.bincount(np.concatenate(parts), minlength=n).astype(np.int16)
+                lo[i], hi[i] = left[row], right[row]
+                fresh = np.flatnonzero((counts[i] >= need) & ~done[i])
+                if len(fresh):
+                    done[i, fresh] = True
+                    fresh = fresh[ids[fresh] != q_ids[i]]
+                    dist = np.sqrt(((x[fresh] - q[i]) ** 2).sum(1))
+                    ai, ad = np.concatenate([best_i[i], ids[fresh]]), np.concatenate([best_d[i], dist])
+                    keep = np.lexsort((ai, ad))[:k]
+                    best_i[i], best_d[i] = ai[keep], ad[keep]
+                full = len(best_d[i]) == k and best_d[i][-1] <= r
+                if not full and not (right[row] - left[row] == n).all():
+                    rest.append(i)
+            live = np.array(rest, np.int64)
+            r *= RATIO
+        return [(int(q_ids[i]), int(v), float(s)) for i in range(len(q)) for v, s in zip(best_i[i], best_d[i])]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -101,7 +108,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLO
         return t.column("vec_id").to_numpy(), v.flatten().to_numpy().reshape(t.num_rows, -1)
 
     def run(base: pa.Table, asked: pa.Table) -> pa.Table:
-        rows = nearest_in_block(*matrix(base), *matrix(asked), k) if base.num_rows and asked.num_rows else []
+        rows: list[tuple] = []
+        if base.num_rows and asked.num_rows:
+            arrays, (q_ids, q) = Arrays(*matrix(base)), matrix(asked)
+            for i in range(0, len(q_ids), AT_ONCE):
+                rows += arrays.nearest(q_ids[i : i + AT_ONCE], q[i : i + AT_ONCE], k)
         cols = list(zip(*rows)) or [(), (), ()]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 

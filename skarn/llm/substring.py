@@ -7,7 +7,7 @@
    window that holds all its naming looked at as unique. Equal texts share all symbols, hence the
    name of the whole sequence; they are represented by the smallest doc_id.
 3. Windows that no such symbol rules out are grouped by the hash of their words, which verifies the
-   repeats exactly (96 bits); a window is removed if a smaller doc_id has it too.
+   repeats by 128 bits; a window is removed if a smaller doc_id has it too.
 """
 
 from __future__ import annotations
@@ -185,12 +185,12 @@ def candidate_windows(texts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                 new[1:] = (h[1:] != h[:-1]) | (pos[1:] != pos[:-1] + 1) | (doc[pos[1:]] != doc[pos[:-1]])
                 many = np.diff(np.append(np.flatnonzero(new), len(pos)))
                 pos, h = pos[new], h[new]
-                g = window_hashes(words.mix(b.hashes ^ U64(5)))[pos] >> U64(33)
+                g = window_hashes(words.mix(b.hashes ^ U64(5)))[pos]
                 ids = np.array(batch.column(0).slice(b.rows.start, b.rows.stop - b.rows.start).to_pylist(), np.int64)
-                cols = [pa.array(ids[doc[pos]]), pa.array((pos - b.first[:-1][doc[pos]]).astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g.astype(np.int32))]
+                cols = [pa.array(ids[doc[pos]]), pa.array((pos - b.first[:-1][doc[pos]]).astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "pos", "many", "h", "g"])
 
-    return texts.mapInArrow(run, "doc_id long, pos int, many int, h long, g int")
+    return texts.mapInArrow(run, "doc_id long, pos int, many int, h long, g long")
 
 
 def removed(texts: DataFrame) -> DataFrame:
@@ -214,10 +214,9 @@ def removed(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, n_removed long, kept_sha256 string")
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     """df as a table of the warehouse in buckets by key: later joins on it move the other side only."""
     spark = df.sparkSession
-    name = f"skarn_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(n, key).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
@@ -246,12 +245,14 @@ def dedup(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     none = F.expr("cast(array() as array<bigint>)")
     marked = own_reps.select("doc_id", "open").join(shared, "doc_id", "left").where(F.col("open") | F.col("shared").isNotNull())
     marked = common.stage(marked.select("doc_id", F.coalesce("shared", none).alias("shared")), "marked")
-    some = bucketed(own.join(marked.where("size(shared) >= 0"), "doc_id").select("doc_id", "text", "shared"), "doc_id")
+    name = f"skarn_{uuid.uuid4().hex}"
+    some = bucketed(own.join(marked.where("size(shared) >= 0"), "doc_id").select("doc_id", "text", "shared"), "doc_id", name)
     # Read twice below: hashing the windows again costs less than to keep and move them once more
     found = candidate_windows(some, rounds)
     first = found.groupBy("h", "g").agg(F.min("doc_id").alias("lo"))
     starts = found.join(first, ["h", "g"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "many")).alias("starts"))
-    cut = removed(some.select("doc_id", "text").join(starts, "doc_id").select("doc_id", "text", "starts"))
+    cut = common.stage(removed(some.select("doc_id", "text").join(starts, "doc_id").select("doc_id", "text", "starts")), "cut")
+    own.sparkSession.sql(f"DROP TABLE {name}")
     copies = table.join(reps, ["h1", "h2", "n"], "left")
     out = copies.join(cut, "doc_id", "left")
     whole = F.col("rep") < F.col("doc_id")
