@@ -192,8 +192,29 @@ def test_decontamination_tolerates_substitutions(spark):
     assert left.columns == table.columns and {r.doc_id for r in left.collect()} == {1, 4, 5, 6}
     assert decontam.overlaps(cases.empty(spark), bench).count() == 0
     assert decontam.overlaps(table, bench.limit(0)).count() == 0
-    small = decontam.overlaps(table, bench, block=1)  # many blocks give the same
-    assert {(r.doc_id, r.item_id) for r in small.collect()} == {(0, 1), (2, 1), (3, 1)}
+    joined = decontam.overlaps(table, bench, block=1)  # a benchmark too large for a broadcast gives the same
+    assert cases.counted(joined.collect()) == cases.counted(decontam.overlaps(table, bench).collect())
+    left = decontam.clean(table, bench, block=1)
+    assert left.columns == table.columns and {r.doc_id for r in left.collect()} == {1, 4, 5, 6}
+
+
+@pytest.mark.parametrize("block", [decontam.BLOCK, 1])
+def test_decontamination_of_short_items_and_awkward_rows(spark, block):
+    own = ["we say alpha beta gamma delta epsilon here", "yes no", "they said yes no twice", None, "", "one two three four five six seven eight nine " * 400, "one two three four five six seven eight nine"]
+    docs = cases.docs(spark, own).withColumn("_uid", F.lit(1)).withColumn("item_id", F.lit(2))
+    docs = docs.unionByName(docs.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    bench = spark.createDataFrame([(1, "Alpha, beta gamma; delta EPSILON"), (None, "yes no"), (3, "one two three four five six seven eight nine"), (4, None), (5, ""), (6, "alpha beta gamma delta zeta"), (1, "Alpha, beta gamma; delta EPSILON")], "item_id long, text string")
+    got = cases.counted((r.doc_id, r.item_id, r.agree) for r in decontam.overlaps(docs, bench, block=block).collect())
+    assert got == {(0, 1, 5): 2, (None, 1, 5): 2, (1, None, 2): 1, (5, 3, 9): 1, (6, 3, 9): 1}
+    left = decontam.clean(docs, bench, block=block)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {2, 3, 4}
+    assert decontam.clean(docs.limit(0), bench, block=block).count() == 0 and decontam.clean(docs, bench.limit(0), block=block).count() == docs.count()
+
+
+def test_long_overlaps_take_linear_time():
+    a = np.arange(300_000) % 7
+    b = np.where(np.arange(300_000) % 4 == 0, 99, a)
+    assert decontam.overlap(a, b, 0.8)[1] < 100 and decontam.overlap(a, a, 0.8) == (0, 300_000, 300_000)
 
 
 def test_decontamination_finds_every_planted_item(spark):
@@ -241,6 +262,8 @@ def test_classifiers_hold_out(spark, module, label, least):
     assert got.count() == docs.count() and got.where("score < 0 or score > 1 or score is null").count() == 0
     both = got.join(labels, "doc_id").where("held_out")
     assert both.agg(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0] >= least
+    p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.when(F.col(label) == 1, F.col("score")).otherwise(1 - F.col("score"))))
+    assert both.agg(F.avg(-F.log(p))).first()[0] < 0.2
 
 
 @pytest.mark.parametrize("module", [quality, toxicity])
@@ -267,6 +290,29 @@ def test_language(spark, texts):
     assert [r[0] for r in none] == ["und"] and langid.identify(cases.empty(spark)).count() == 0
 
 
+def test_language_of_the_tables_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")
+    assert got.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("double"))).first()[0] > 0.97
+
+
+def test_language_sees_beyond_words_and_windows(spark):
+    net = langid.Network.fresh(["a", "b"], 6, seed=2)
+    one = words.buffer(pa.array(["ab cd ef gh" * 100, "gh ef cd ab" * 100]))
+    total = langid.pooled(net, *one)
+    assert abs(total[0] - total[1]).max() > 1e-3  # the order of words counts
+    whole, mask = langid.padded([one[0][: int(one[1][1])].tobytes()])
+    lp = net.log_probs(np.ascontiguousarray(whole.T.astype(np.intp)), np.ascontiguousarray(mask.T)).sum((0, 2))
+    assert np.abs(lp - total[0]).max() < 0.01 * np.abs(lp).max()  # windows with their overlap label as one long pass does
+
+
+def test_more_languages_than_documents_of_each(spark):
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    data = [(i, " ".join([alphabet[i % 13] + alphabet[13 + i % 13]] * 40), f"l{i % 13}") for i in range(13 * 30)] + [(2, "xx yy", "other"), (2, "zz", "l1")]
+    got = langid.identify(spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)).collect()
+    assert len(got) == len(data) and np.mean([r.lang_pred == f"l{r.doc_id % 13}" for r in got if r.held_out]) > 0.9
+
+
 def test_gradients_by_finite_differences():
     net = langid.Network.fresh(["a", "b", "c"], 4)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
