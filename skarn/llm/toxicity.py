@@ -74,11 +74,11 @@ def _unhidden(column: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(keep[offs].astype(np.int64)), pa.py_buffer(data[~inner].tobytes())])
 
 
-def statistics(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
-    """Dense features of each text; null counts as empty."""
+def statistics(column: pa.Array, lexicons: list[Lexicon]) -> list[np.ndarray]:
+    """Dense features of each text, once for each lexicon; null counts as empty."""
     insults, person = hashes_of(INSULTS), hashes_of(PERSON)
-    known = np.unique(np.concatenate([insults, lexicon.whole]))
-    out = []
+    known = [np.unique(np.concatenate([insults, x.whole])) for x in lexicons]
+    out: list[list[np.ndarray]] = [[] for _ in lexicons]
     for block, head in zip(plain(column), plain(column, HEAD)):
         part = column.slice(block.rows.start, block.rows.stop - block.rows.start)
         _, offs = words.buffer(part)
@@ -86,19 +86,16 @@ def statistics(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
         r = features.ratios(c)
         n = np.diff(block.first).astype(float)
         low = np.maximum(n, 1)
-        bad = member(block.hashes, insults) | member(block.hashes, lexicon.whole)
-        you = member(block.hashes, person)
-        hits = features.sums(block, bad)
-        near = np.zeros(len(bad), bool)
-        if bad.any():
-            doc = block.doc
-            for k in range(1, 6):  # within five words of one that addresses a person
-                same_doc = doc[k:] == doc[:-k]
-                near[k:] |= you[:-k] & same_doc
-                near[:-k] |= you[k:] & same_doc
-        opened = np.zeros(len(n))
+        insult, you, doc = member(block.hashes, insults), member(block.hashes, person), block.doc
+        beside = np.zeros(len(you), bool)  # within five words of one that addresses a person
+        for k in range(1, 6):
+            same_doc = doc[k:] == doc[:-k]
+            beside[k:] |= you[:-k] & same_doc
+            beside[:-k] |= you[k:] & same_doc
+        opened = [np.zeros(len(n)) for _ in lexicons]
         for other in words.blocks(_unhidden(part), words.SPACES, lambda buf: LETTER[words.lower_latin(buf)], seed=5):
-            opened[other.rows] = features.sums(other, member(other.hashes, known))
+            for x, table in zip(opened, known):
+                x[other.rows] = features.sums(other, member(other.hashes, table))
         kind = features.CLASS[block.buf]
         inside = np.concatenate([[0], np.cumsum(kind == 3)])
         letters = np.concatenate([[0], np.cumsum((kind == 1) | (kind == 2))])
@@ -109,15 +106,17 @@ def statistics(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
         if len(block.buf) > 2:
             same = (block.buf[2:] == block.buf[1:-1]) & (block.buf[1:-1] == block.buf[:-2])
             three[3:] = np.cumsum(same)
-        out.append(np.column_stack([
-            features.sums(block, member(block.hashes, insults)) / low, hits / low, features.sums(head, member(head.hashes, lexicon.heads)) / low,
-            np.log1p(hits), np.log1p(features.sums(head, member(head.hashes, lexicon.heads))), np.maximum(0, opened - hits) / low,
-            features.sums(block, bad & near) / low, features.sums(block, you) / low,
-            r[:, 2], features.sums(block, (caps == size) & (size > 1)) / low, r[:, 7], r[:, 6], r[:, 8], r[:, 3],
+        fixed = [
+            features.sums(block, you) / low, r[:, 2], features.sums(block, (caps == size) & (size > 1)) / low, r[:, 7], r[:, 6], r[:, 8], r[:, 3],
             features.sums(block, (digits > 0) & (alpha > 0) & (digits < alpha)) / low, features.sums(block, three[block.ends] > three[block.starts + np.minimum(2, size)]) / low,
             np.log1p(n), features.sums(block, size) / low,
-        ]))
-    return np.vstack(out) if out else np.zeros((0, len(NAMES)))
+        ]
+        for x, lexicon, seen in zip(out, lexicons, opened):
+            bad = insult | member(block.hashes, lexicon.whole)
+            hits, heads = features.sums(block, bad), features.sums(head, member(head.hashes, lexicon.heads))
+            own = [features.sums(block, insult) / low, hits / low, heads / low, np.log1p(hits), np.log1p(heads), np.maximum(0, seen - hits) / low, features.sums(block, bad & beside) / low]
+            x.append(np.column_stack(own + fixed))
+    return [np.vstack(x) if x else np.zeros((0, len(NAMES))) for x in out]
 
 
 def family_of(whole: words.Block) -> np.ndarray:
@@ -198,18 +197,19 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS):
         for batch in batches:
             column = batch.column(1)
             fold = np.concatenate([np.zeros(0, np.int64), *(family_of(b) % FOLDS for b in plain(column))])
-            x = [statistics(column, lexicon).astype(np.float32) for lexicon in lexicons]
+            x = [v.astype(np.float32) for v in statistics(column, lexicons)]
             cols = [words.lists(v.ravel(), np.full(len(v), len(NAMES)), pa.float32()) for v in x]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fold), *cols], names=["doc_id", "y", "fold", *(f"x{k}" for k in range(FOLDS + 1))])
 
     schema = "doc_id long, y int, fold long, " + ", ".join(f"x{k} array<float>" for k in range(FOLDS + 1))
-    got = own.mapInArrow(run, schema).orderBy("doc_id", "x0").toArrow()
+    got = own.mapInArrow(run, schema).toArrow()
+    got = got.take(np.lexsort((got.column("fold").to_numpy(), got.column("doc_id").to_numpy())))  # at most `rows` labelled ids
     x = [np.array(got.column(f"x{k}").to_pylist(), dtype=float).reshape(got.num_rows, len(NAMES)) for k in range(FOLDS + 1)]
     return lexicons[0], fit(x, got.column("y").to_numpy().astype(float), got.column("fold").to_numpy())
 
 
 def scores(column: pa.Array, lexicon: Lexicon, model: Toxicity | float) -> np.ndarray:
-    return np.full(len(column), model) if isinstance(model, float) else model.score(statistics(column, lexicon))
+    return np.full(len(column), model) if isinstance(model, float) else model.score(statistics(column, [lexicon])[0])
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
