@@ -140,8 +140,8 @@ def measured(docs: DataFrame, compute, width: int) -> DataFrame:
 
 
 def collected(stats: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The bounded sample's statistics and labels, in the order of doc_id."""
-    got = stats.join(F.broadcast(sample), "doc_id").orderBy("doc_id", "x").toArrow()
+    """The bounded sample's statistics and labels, in the order of doc_id; of rows that repeat an id the smallest statistics."""
+    got = stats.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("y").alias("y")).orderBy("doc_id").toArrow()
     if not got.num_rows:
         return np.zeros((0, 1)), np.zeros(0)
     x = np.array(got.column("x").to_pylist(), dtype=float)

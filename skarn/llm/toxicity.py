@@ -188,9 +188,11 @@ def fit(x: list[np.ndarray], y: np.ndarray, fold: np.ndarray) -> Toxicity | floa
 
 
 def trained(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS):
-    """The lexicon and the calibrated trees, both from the bounded labelled sample alone."""
+    """The lexicon and the calibrated trees, both from the bounded labelled sample alone (of repeated ids the smallest text)."""
     sample = labelled(labels, "toxic", rows)
-    own = common.stage(common.texts(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y"), "labelled")
+    # Of rows that repeat a labelled id, one text teaches, so the sample stays bounded
+    own = common.texts(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    own = common.stage(own, "labelled")
     lexicons = learn_lexicons(own)
 
     def run(batches):
