@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN = "([A-Za-z0-9가-힣]+)"
+BETWEEN = "[^a-z0-9가-힣]+"
 
 
 def col(c: Column | str) -> Column:
@@ -16,7 +16,7 @@ def col(c: Column | str) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Lower-case runs of Latin letters, digits and Hangul syllables."""
-    return F.regexp_extract_all(F.lower(col(text)), F.lit(TOKEN), F.lit(1))
+    return F.array_remove(F.split(F.lower(col(text)), BETWEEN), "")
 
 
 def tokens_with_bigrams(text: Column | str) -> Column:
@@ -45,32 +45,37 @@ def redact_runs(text: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(col(text), "▲{2,}", "[REDACTED:NAME]"), "○{2,}", "[REDACTED:ORG]")
 
 
-#: P20 in order: each rule sees what the ones before it left. Boundaries are written out, so Java and RE2 agree.
-PII_RULES: tuple[tuple[str, str], ...] = (
-    ("EMAIL", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"),
-    ("PHONE", "(\\+[0-9]{1,2} )?\\(?[0-9]{2,3}\\)?[ -][0-9]{3,4}-[0-9]{4}"),
-    ("RRN", "[0-9]{6}-[1-4][0-9]{6}"),
-    ("ACCOUNT", "[0-9]{2,6}-[0-9]{2,6}-[0-9]{2,8}"),
-    ("CARD", "[0-9]{16}"),
-    ("ADDRESS", "[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}"),
+#: Fixed values of P20, in order: label, what may not stand before, the pattern, what may not stand after. Each rule sees what the ones before it left.
+PII_RULES: tuple[tuple[str, str, str, str], ...] = (
+    ("EMAIL", "[A-Za-z0-9._%+-]", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "[A-Za-z0-9.-]"),
+    ("PHONE", "[0-9]", "(?:01[016789]|02|0[3-6][1-5])[-.\\s]?[0-9]{3,4}[-.\\s]?[0-9]{4}", "[0-9]"),
+    ("RRN", "[\\p{L}\\p{N}_]", "[0-9]{6}[-\\s]?[1-4][0-9]{6}", "[\\p{L}\\p{N}_]"),
+    ("ACCOUNT", "[\\p{L}\\p{N}_]", "[0-9]{2,6}[-\\s][0-9]{2,6}[-\\s][0-9]{2,8}", "[\\p{L}\\p{N}_]"),
+    ("VEHICLE", "[\\p{L}\\p{N}_]", "[0-9]{2,3}\\s?[가-힣]\\s?[0-9]{4}", "[\\p{L}\\p{N}_]"),
+    ("ADDRESS", "", "(?:[가-힣A-Za-z0-9]+(?:로|길)\\s?[0-9]+(?:-[0-9]+)?|[0-9]{1,5}\\s?번지)", ""),
+    ("ADDRESS_DETAIL", "[0-9]", "(?:[0-9]{1,4}\\s?동\\s?[0-9]{1,4}\\s?호|[0-9]{1,4}\\s?호)", "[0-9]"),
+    ("NAME", "[가-힣]", "[김이박최정강조윤장임한오서신권황안송전홍유고문양손배백허남노하곽성차주우구민류나진지엄채원천방공현함변여추도소석선마길위연명기반탁제모구어은][가-힣]{1,2}\\s?(?:님|씨)", ""),
 )
 
 
-def mask_pii(text: Column | str, rules: Sequence[tuple[str, str]] = PII_RULES) -> Column:
-    """P20: ordered redactions."""
-    c = col(text)
-    for label, pattern in rules:
-        c = F.regexp_replace(c, pattern, f"[{label}]")
+def pii_pattern(rule: tuple[str, str, str, str]) -> str:
+    _, before, body, after = rule
+    return (f"(?<!{before})" if before else "") + body + (f"(?!{after})" if after else "")
+
+
+def mask_pii(text: Column | str, rules: Sequence[tuple[str, str, str, str]] = PII_RULES) -> Column:
+    """P20: ordered redactions; null counts as empty."""
+    c = F.coalesce(col(text), F.lit(""))
+    for rule in rules:
+        c = F.regexp_replace(c, pii_pattern(rule), f"[REDACTED:{rule[0]}]")
     return c
 
 
-def pii_labels(text: Column | str, rules: Sequence[tuple[str, str]] = PII_RULES) -> Column:
-    """P20: labels of the redactions that took place, in order."""
-    c, found = col(text), []
-    for label, pattern in rules:
-        found.append(F.when(c.rlike(pattern), F.lit(label)))
-        c = F.regexp_replace(c, pattern, f"[{label}]")
-    return F.array_compact(F.array(*found))
+def pii_labels(text: Column | str, masked: Column | str, rules: Sequence[tuple[str, str, str, str]] = PII_RULES) -> Column:
+    """P20: labels of the redactions that a masked text has over its source, in the rules' order."""
+    tags = lambda c, tag: F.length(c) - F.length(F.replace(c, F.lit(tag), F.lit("")))
+    source = F.coalesce(col(text), F.lit(""))
+    return F.array_compact(F.array(*[F.when(tags(col(masked), f"[REDACTED:{r[0]}]") > tags(source, f"[REDACTED:{r[0]}]"), F.lit(r[0])) for r in rules]))
 
 
 def contains_any(text: Column | str, words: Iterable[str]) -> Column:
@@ -88,11 +93,16 @@ def keyword_hits(text: Column | str, words: Iterable[str]) -> Column:
 
 def chunks(text: Column | str, size: int = 500, overlap: int = 100) -> Column:
     """Character windows over the text with blanks collapsed; the window that reaches the end is the last."""
-    c = F.trim(F.regexp_replace(col(text), "[ \\t\\r\\n]+", " "))
-    n, step = F.length(c), size - overlap
-    last = (F.ceil((n - size) / F.lit(step)) * step).cast("int")
-    starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step)))
-    return F.when(n > 0, F.transform(starts, lambda i: F.substring(c, i + 1, F.lit(size)))).otherwise(F.expr("cast(array() as array<string>)"))
+    step = size - overlap
+
+    def cut(c: Column) -> Column:
+        n = F.length(c)
+        last = (F.ceil((n - size) / F.lit(step)) * step).cast("int")
+        starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step)))
+        return F.when(n > 0, F.transform(starts, lambda i: F.substring(c, i + 1, F.lit(size)))).otherwise(F.expr("cast(array() as array<string>)"))
+
+    # The text goes through an array of one, so that the inner lambda holds it cleaned and doesn't clean it again for each chunk
+    return F.transform(F.array(F.trim(F.regexp_replace(col(text), "[ \\t\\r\\n]+", " "))), cut)[0]
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:

@@ -108,21 +108,18 @@ def pair_count(events: DataFrame, hours: float, keys: Sequence[str] = ()) -> Dat
     return own.groupBy(*keys).agg(F.sum("_n").cast("long").alias("pairs"))
 
 
-def components(edges: DataFrame, nodes: DataFrame, most: int = 50) -> DataFrame:
-    """Node and the smallest node reachable, by spreading minima and jumping to the minimum's own until nothing changes."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Node and the smallest node reachable, by spreading minima and jumping to the minimum's own until no label changes. Ids of any ordered type."""
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
     label = nodes.select("node", F.col("node").alias("c"))
-    before = None
-    for _ in range(most):
+    while True:
         near = both.join(label, F.col("v") == F.col("node")).groupBy("u").agg(F.min("c").alias("m"))
-        step = label.join(near, F.col("node") == F.col("u"), "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"))
+        step = label.join(near, F.col("node") == F.col("u"), "left").select("node", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c"))
         up = step.select(F.col("node").alias("k"), F.col("c").alias("cc"))
-        label = saved(step.join(up, F.col("c") == F.col("k")).select("node", F.col("cc").alias("c")))
-        now = label.agg(F.sum("c")).first()[0]
-        if now == before:
-            break
-        before = now
-    return label.select("node", F.col("c").alias("component"))
+        now = saved(step.join(up, F.col("c") == F.col("k")).select("node", "old", F.col("cc").alias("c")))
+        label = now.select("node", "c")
+        if not now.where("old <> c").take(1):
+            return label.select("node", F.col("c").alias("component"))
 
 
 def pair_score(parts: Sequence[tuple[Column, float]], places: int = 4) -> Column:
@@ -134,8 +131,8 @@ def pair_score(parts: Sequence[tuple[Column, float]], places: int = 4) -> Column
 
 
 def time_step(hours: Column) -> Column:
-    """1, .7 and .4 within 24, 72 and 168 hours."""
-    return F.when(hours <= 24, 1.0).when(hours <= 72, 0.7).when(hours <= 168, 0.4).otherwise(0.0)
+    """1, .8 and .4 within 24, 72 and 168 hours (fixed values)."""
+    return F.when(hours <= 24, 1.0).when(hours <= 72, 0.8).when(hours <= 168, 0.4).otherwise(0.0)
 
 
 def dedupe_alerts(alerts: DataFrame) -> DataFrame:

@@ -85,15 +85,20 @@ def two_hop(edges: DataFrame) -> DataFrame:
     return near.unionByName(far)
 
 
-def live_target(links: DataFrame, ids: DataFrame, most: int = 32) -> DataFrame:
-    """Follow links (id, next) to the end of each chain by doubling; a cycle is an error."""
-    at = ids.join(links, "id", "left").select("id", F.coalesce("next", "id").alias("end"))
-    for _ in range(most.bit_length()):
+def live_target(links: DataFrame, ids: DataFrame) -> DataFrame:
+    """Follow links (id, next) to the end of each chain by doubling; a cycle is an error.
+
+    A chain of n links ends after log2(n) + 1 doublings; what still moves after that many runs in a circle.
+    """
+    known = ids.select("id").unionByName(links.select(F.col("next").alias("id"))).unionByName(links.select("id")).distinct()
+    at = saved(known.join(links, "id", "left").select("id", F.coalesce("next", "id").alias("end")))
+    for _ in range(links.count().bit_length() + 1):
         jump = at.select(F.col("id").alias("_k"), F.col("end").alias("_e"))
-        at = at.join(jump, F.col("end") == F.col("_k"), "left").select("id", F.coalesce("_e", "end").alias("end"))
-    onward = links.select(F.col("id").alias("_k"), F.col("next").alias("_n"))
-    check = F.when(F.col("_n").isNotNull(), F.raise_error(F.lit("replacement chain has a cycle")).cast("long")).otherwise(F.col("end"))
-    return at.join(onward, F.col("end") == F.col("_k"), "left").select("id", check.alias("end"))
+        new = saved(at.join(jump, F.col("end") == F.col("_k")).select("id", F.col("_e").alias("end"), (F.col("_e") != F.col("end")).alias("moved")))
+        at = new.select("id", "end")
+        if not new.where("moved").take(1):
+            return ids.join(at, "id")
+    raise ValueError("replacement chain has a cycle")
 
 
 def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.9, rounds: int = 10) -> DataFrame:
@@ -134,15 +139,13 @@ def rule_hits(texts: DataFrame, key: str, text: str, rules: Sequence[tuple[str,
 def dictionary_matches(texts: DataFrame, key: str, names: DataFrame) -> DataFrame:
     """Names found in a text as runs of whole tokens, those inside a longer found one left out.
 
-    Texts and names are cut into token n-grams of the names' lengths and joined on them, so no text
+    Texts are cut into token n-grams of every length that a name has and joined on them, so no text
     meets every name. texts: key, toks (array); names: name, toks.
     """
-    sized = names.select("name", F.array_join("toks", " ").alias("gram"), F.size("toks").alias("n"))
-    lengths = [r[0] for r in sized.select("n").distinct().orderBy("n").limit(16).collect()]
-    grams = None
-    for n in lengths:
-        own = texts.where(F.size("toks") >= n).select(key, F.lit(n).alias("n"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("toks") - n + 1), lambda i: F.array_join(F.slice("toks", i, n), " "))).alias("start", "gram"))  # noqa: B023
-        grams = own if grams is None else grams.unionByName(own)
+    sized = names.where(F.size("toks") > 0).select("name", F.array_join("toks", " ").alias("gram"), F.size("toks").alias("n"))
+    lengths = sized.agg(F.collect_set("n").alias("lengths"))  # one row; no longer than the longest name
+    own = texts.join(F.broadcast(lengths)).select(key, "toks", F.explode("lengths").alias("n")).where(F.size("toks") >= F.col("n"))
+    grams = own.select(key, "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("toks") - F.col("n") + 1), lambda i: F.array_join(F.slice("toks", i, F.col("n")), " "))).alias("start", "gram"))
     found = grams.join(sized, ["gram", "n"]).select(key, "name", "start", (F.col("start") + F.col("n")).alias("end"))
     w = Window.partitionBy(key).orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     return found.withColumn("_far", F.max("end").over(w)).where(F.col("_far").isNull() | (F.col("end") > F.col("_far"))).drop("_far")

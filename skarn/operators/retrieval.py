@@ -10,27 +10,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .windows import top_k
+from .state import saved
+from .windows import ranked, top_k
 
 K1, B = 1.5, 0.75
 
 
+#: Stands for a document itself among its tokens; no token holds a blank.
+ITSELF = " "
+
+
+def postings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """term, docid, dl, tf of the wanted terms, and one row for each document under ITSELF, written once. Texts are read and tokenised in one pass."""
+    toks = docs.select("docid", C.tokens("text").alias("toks")).select("docid", F.size("toks").alias("dl"), F.explode(F.array_append("toks", F.lit(ITSELF))).alias("term"))
+    kept = wanted.select("term").unionByName(wanted.sparkSession.createDataFrame([(ITSELF,)], "term string")).distinct()
+    return saved(toks.join(kept, "term").groupBy("term", "docid", "dl").agg(F.count("*").alias("tf")))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """Qid, docid, score for every pair that shares a token. docs: docid, text; queries: qid, text.
 
-    Only the queries' tokens of a document are exploded; a query's repeated token counts again.
+    A query's repeated token counts again. Null texts have no tokens and count as no documents.
     """
     terms = queries.select("qid", F.explode(C.tokens("text")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    toks = docs.select("docid", C.tokens("text").alias("toks")).withColumn("dl", F.size("toks"))
-    stats = docs.select(F.size(C.tokens("text")).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = terms.select("term").distinct()
-    tf = toks.select("docid", "dl", F.explode("toks").alias("term")).join(wanted, "term").groupBy("term", "docid", "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    posted = postings(docs, terms)
     # One row of totals, so its broadcast has a fixed size
-    weighed = tf.join(df, "term").join(F.broadcast(stats))
+    stats = posted.where(F.col("term") == ITSELF).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = posted.where(F.col("term") != ITSELF)
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return weighed.select("term", "docid", part.alias("w")).join(terms, "term").groupBy("qid", "docid").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
+    weighed = terms.join(df, "term").join(F.broadcast(stats)).select("qid", "term", (idf * F.col("qtf")).alias("w"), "avgdl")
+    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return tf.join(weighed, "term").groupBy("qid", "docid").agg(F.sum(part).alias("score"))
 
 
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, **kw) -> DataFrame:
@@ -51,10 +62,10 @@ def knn_cosine(base: DataFrame, queries: DataFrame, k: int, block: int = 8192, q
     right = queries.select(F.col("qid").alias("id"), F.col("v").cast("array<double>").alias("v"), deal("qid", m).alias("q")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
     def unit(t: pa.Table):
-        x = np.array(t.column("v").to_pylist(), dtype=float).reshape(t.num_rows, -1)
+        x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
         norm = np.linalg.norm(x, axis=1)
         keep = norm > 0
-        return np.array(t.column("id").to_pylist(), np.int64)[keep], x[keep] / norm[keep, None]
+        return t.column("id").to_numpy()[keep].astype(np.int64), x[keep] / norm[keep, None]
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         rows: list[tuple] = []
@@ -89,13 +100,11 @@ def hybrid(lexical: DataFrame, dense: DataFrame) -> DataFrame:
 
 
 def merge_segments(hits: DataFrame, k: int, bonus: float = 0.03, cap: float = 0.1) -> DataFrame:
-    """Hits (qid, segment, docid, score) of a query's segments: best score for each document, a bonus
+    """Hits (qid, segment, docid, score) of a query's segments: best score for each document, a bonus
     for each further segment, the best of every segment first, then by score."""
-    best = top_k(hits, ["qid", "segment"], [F.desc("score"), F.asc("docid")], 1, "r").select("qid", "docid", F.lit(1).alias("kept")).distinct()
-    merged = hits.groupBy("qid", "docid").agg(F.max("score").alias("top"), F.countDistinct("segment").alias("segments"))
-    scored = merged.withColumn("score", F.round(F.col("top") + F.least(F.lit(cap), bonus * (F.col("segments") - 1)), 6)).join(best, ["qid", "docid"], "left")
-    kept = F.coalesce("kept", F.lit(0))
-    return top_k(scored.withColumn("guaranteed", kept), ["qid"], [F.desc("guaranteed"), F.desc("score"), F.asc("docid")], k).select("qid", "docid", "score", "segments", "guaranteed", "rank")
+    merged = ranked(hits, ["qid", "segment"], [F.desc("score"), F.asc("docid")], "_r").groupBy("qid", "docid").agg(F.max("score").alias("top"), F.countDistinct("segment").alias("segments"), F.max((F.col("_r") == 1).cast("int")).alias("guaranteed"))
+    scored = merged.withColumn("score", F.round(F.col("top") + F.least(F.lit(cap), bonus * (F.col("segments") - 1)), 6))
+    return top_k(scored, ["qid"], [F.desc("guaranteed"), F.desc("score"), F.asc("docid")], k).select("qid", "docid", "score", "segments", "guaranteed", "rank")
 
 
 def soft_rerank(hits: DataFrame, boosts: Sequence[tuple[Column, float]], cap: float = 0.20) -> DataFrame:

@@ -95,7 +95,7 @@ def geo_center_radius(spark, d):
 
 
 PAIRS = EV + """, p AS (SELECT x.id AS a, y.id AS b, x.ts AS ta, y.ts AS tb, x.minutes AS ma, y.minutes AS mb, floor(epoch(x.ts)) AS ea, floor(epoch(y.ts)) AS eb FROM ev x JOIN ev y ON x.user_id = y.user_id AND x.event_type = y.event_type AND x.id < y.id AND abs(floor(epoch(x.ts)) - floor(epoch(y.ts))) <= 604800),
-s AS (SELECT a, b, round(greatest(0, least(1, 0.5 * CASE WHEN abs(ea - eb) / 3600 <= 24 THEN 1 WHEN abs(ea - eb) / 3600 <= 72 THEN 0.7 WHEN abs(ea - eb) / 3600 <= 168 THEN 0.4 ELSE 0 END + 0.5 * (1 - least(1, abs(coalesce(ma, 0) - coalesce(mb, 0)) / 100))))::DOUBLE, 8) AS score FROM p)"""
+s AS (SELECT a, b, round(greatest(0, least(1, 0.5 * CASE WHEN abs(ea - eb) / 3600 <= 24 THEN 1 WHEN abs(ea - eb) / 3600 <= 72 THEN 0.8 WHEN abs(ea - eb) / 3600 <= 168 THEN 0.4 ELSE 0 END + 0.5 * (1 - least(1, abs(coalesce(ma, 0) - coalesce(mb, 0)) / 100))))::DOUBLE, 8) AS score FROM p)"""
 
 
 def _pairs(spark, d):

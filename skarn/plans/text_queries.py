@@ -16,9 +16,18 @@ CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_r
 TOK = "regexp_extract_all(lower(text), '[A-Za-z0-9가-힣]+')"
 
 
+def _masked_sql(inner: str, rule) -> str:
+    """RE2 has no look-around: the neighbours are matched and put back, twice, as two hits may share one."""
+    label, before, body, after = rule
+    head, tail = (f"(^|{before.replace('[', '[^', 1)})" if before else "()"), (f"({after.replace('[', '[^', 1)}|$)" if after else "()")
+    for _ in range(2):
+        inner = f"regexp_replace({inner}, '{head}{body}{tail}', '\\1[REDACTED:{label}]\\2', 'g')"
+    return inner
+
+
 def _mask(inner: str) -> str:
-    for label, pattern in C.PII_RULES:
-        inner = f"regexp_replace({inner}, '{pattern}', '[{label}]', 'g')"
+    for rule in C.PII_RULES:
+        inner = _masked_sql(inner, rule)
     return inner
 
 
@@ -32,18 +41,10 @@ def mask_pii_documents(spark, d):
     return read(spark, d, "documents").select("doc_id", C.mask_pii("text").alias("masked"))
 
 
-def _label_sql() -> str:
-    """How often each label's rule fires, on the text that the earlier rules left."""
-    parts, inner = [], "text"
-    for label, pattern in C.PII_RULES:
-        parts.append(f"SELECT '{label}' AS label, count(*) AS n FROM documents WHERE regexp_matches({inner}, '{pattern}')")
-        inner = f"regexp_replace({inner}, '{pattern}', '[{label}]', 'g')"
-    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE n > 0"
-
-
-@add(_label_sql())
+@add("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{r[0]}' AS label, count(*) AS n FROM m WHERE contains(masked, '[REDACTED:{r[0]}]')" for r in C.PII_RULES).join([f"WITH m AS MATERIALIZED (SELECT {_mask('text')} AS masked FROM documents) ", ""]) + ") WHERE n > 0")
 def pii_label_counts(spark, d):
-    return read(spark, d, "documents").select(F.explode(C.pii_labels("text")).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    own = read(spark, d, "documents").select("text", C.mask_pii("text").alias("masked"))
+    return own.select(F.explode(C.pii_labels("text", "masked")).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @add(f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY sha256(lower({CLEAN})) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")

@@ -16,9 +16,12 @@ from pyspark.sql import types as T
 from ..operators.windows import best_row, upsert
 
 
-def csv(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """UTF-8 with or without a byte order mark, a header, every value a string. strict: a ragged row is an error."""
-    df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').option("mode", "FAILFAST" if strict else "PERMISSIVE").csv(path)
+def csv(spark: SparkSession, path: str, strict: bool = False, line_ends: bool = False) -> DataFrame:
+    """UTF-8 with or without a byte order mark, a header, every value a string. strict: a ragged row is an error.
+
+    line_ends: values may hold line ends in quotes; each file is then read by one task.
+    """
+    df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", line_ends).option("escape", '"').option("mode", "FAILFAST" if strict else "PERMISSIVE").csv(path)
     return df.toDF(*[c.lstrip("﻿") for c in df.columns])
 
 
@@ -82,17 +85,46 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
-def merge_table(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], version: int) -> DataFrame:
-    """A keyed upsert as a new version of a table in its own folder; the version before stays readable."""
-    try:
-        old = spark.read.parquet(f"{path}/version={version - 1}") if version > 0 else None
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = None
-    merged = new if old is None else upsert(old, new, keys)
-    merged.write.mode("overwrite").parquet(f"{path}/version={version}")
-    return spark.read.parquet(f"{path}/version={version}")
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is missing."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def _current(spark: SparkSession, path: str) -> tuple[int, dict[int, int]]:
+    """The newest complete version, and the newest one of each bucket. Folders of unfinished writes don't count."""
+    newest, buckets = -1, {}
+    for v in sorted(int(n.split("=")[1]) for n in _folders(spark, path) if n.startswith("version=")):
+        inside = _folders(spark, f"{path}/version={v}")
+        if "_SUCCESS" in inside:
+            newest = v
+            buckets |= {int(n.split("=")[1]): v for n in inside if n.startswith("bucket=")}
+    return newest, buckets
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str, buckets: Sequence[int] | None = None) -> DataFrame:
+    """The rows of a merged table as of now: of each key bucket the newest version. schema: its columns, should it hold nothing yet."""
+    _, now = _current(spark, path)
+    paths = [f"{path}/version={v}/bucket={b}" for b, v in sorted(now.items()) if buckets is None or b in buckets]
+    return spark.read.parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def merge_table(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], buckets: int = 64) -> DataFrame:
+    """A keyed upsert as the next version of a table; versions before stay readable.
+
+    Rows are dealt into key buckets; a version holds only the buckets that the new rows touch. It is
+    always written on top of the newest one, never over it, so gaps, replays and fresh checkpoints
+    lose nothing, and a replay changes nothing. One writer at a time.
+    """
+    newest, _ = _current(spark, path)
+    bucket = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(buckets)).cast("int")
+    dealt = new.withColumn("bucket", bucket)
+    touched = [r[0] for r in dealt.select("bucket").distinct().collect()]  # at most `buckets` numbers
+    old = read_table(spark, path, new.schema, touched)
+    merged = upsert(old.withColumn("bucket", bucket), dealt, keys)
+    merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/version={newest + 1}")
+    return read_table(spark, path, new.schema)
 
 
 def text_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -109,14 +141,30 @@ _CELL = re.compile(r"([A-Z]+)([0-9]+)")
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
-def _sheet_rows(raw: bytes, sheet: str) -> Iterator[tuple[int, int, str]]:
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def _member(z: zipfile.ZipFile, sheet: str | None) -> str:
+    """The archive member of the sheet of this name (the first one without a name), by the workbook and its relationships."""
+    sheets = list(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_NS}sheet"))
+    wanted = [s for s in sheets if sheet is None or s.get("name") == sheet]
+    if not wanted:
+        raise ValueError(f"no sheet {sheet!r}")
+    for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+        if r.get("Id") == wanted[0].get(_REL):
+            target = r.get("Target")
+            return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    raise ValueError(f"no part for sheet {sheet!r}")
+
+
+def _sheet_rows(raw: bytes, sheet: str | None) -> Iterator[tuple[int, int, str]]:
     """Row, column and value (as text; whole numbers without a point) of the cells of a worksheet."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_NS}si"):
                 shared.append("".join(t.text or "" for t in item.iter(f"{_NS}t")))
-        for _, cell in ElementTree.iterparse(z.open(f"xl/worksheets/{sheet}.xml")):
+        for _, cell in ElementTree.iterparse(z.open(_member(z, sheet))):
             if cell.tag != f"{_NS}c":
                 continue
             letters, row = _CELL.match(cell.get("r")).groups()
@@ -135,7 +183,7 @@ def _sheet_rows(raw: bytes, sheet: str) -> Iterator[tuple[int, int, str]]:
             cell.clear()
 
 
-def xlsx(spark: SparkSession, path: str, sheet: str = "sheet1") -> DataFrame:
+def xlsx(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """File, row, col, value of every filled cell; each file is read by one task."""
     def run(batches):
         for b in batches:

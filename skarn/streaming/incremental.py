@@ -23,18 +23,23 @@ def run_batches(stream: DataFrame, body: Callable[[DataFrame, int], None], check
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def analysing(spark: SparkSession, events_path: str, alerts_path: str, least: int = 1) -> Callable[[DataFrame, int], None]:
-    """A batch body that upserts events by id, then rewrites the alerts from all events; small batches are saved only.
+def analysing(spark: SparkSession, events_path: str, alerts_path: str, least: int = 1, baseline_days: int = 7) -> Callable[[DataFrame, int], None]:
+    """A batch body that upserts events by id, then writes the alerts anew; small batches are saved only.
 
-    Batch numbers name the table's versions, so a batch that comes again writes the same version again.
+    Only the buckets that a batch touches are rewritten, and only the days that alerts look at are read.
+    A batch that comes again changes nothing.
     """
 
     def body(batch: DataFrame, number: int) -> None:
         own = batch.dropDuplicates(["id"]).persist()
         try:
-            table = merge_table(spark, events_path, own, ["id"], number)
+            if not own.take(1):
+                return
+            table = merge_table(spark, events_path, own, ["id"])
             if own.count() >= least:
-                surge(table, ["department", "region"]).where("is_surge").write.mode("overwrite").parquet(f"{alerts_path}/version={number}")
+                last = table.agg(F.max("ts")).first()[0]
+                near = table.where(F.col("ts") >= F.lit(last) - F.expr(f"interval {baseline_days} days"))
+                surge(near, ["department", "region"], baseline_days=baseline_days, as_of=F.lit(last)).where("is_surge").write.mode("overwrite").parquet(f"{alerts_path}/version={number}")
         finally:
             own.unpersist()
 

@@ -36,11 +36,11 @@ def test_kappas_of_perfect_agreement(spark):
 def test_columns(spark):
     r = one(
         spark,
-        C.clean_text(F.lit(" a_x000D_\r\n\r\n\r\n\r\nb\t\tc\x01 ")).alias("clean"), C.mask_pii(F.lit("mail a.b@c.org, 10.0.0.1")).alias("mask"), C.chunks(F.lit("x" * 901)).alias("chunks"), C.chunks(F.lit("")).alias("none"),
+        C.clean_text(F.lit(" a_x000D_\r\n\r\n\r\n\r\nb\t\tc\x01 ")).alias("clean"), C.mask_pii(F.lit("mail a.b@c.org, 010-1234-5678 김철수님 900101-1234567 12가 3456 세종로 12 101동 202호")).alias("mask"), C.chunks(F.lit("x" * 901)).alias("chunks"), C.chunks(F.lit("")).alias("none"),
         C.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0))).alias("zero"), C.is_open(F.lit(" Closed "), ["closed"]).alias("open"), C.is_night(F.lit(23), 22, 6).alias("night"),
         C.region_compatible(F.lit("Seoul"), F.lit("Se")).alias("near"), C.tokens_with_bigrams(F.lit("도로 a ab")).alias("grams"), C.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0)).alias("half"),
     )
-    assert r.clean == "a\n\nb c" and r.mask == "mail [EMAIL], [ADDRESS]"
+    assert r.clean == "a\n\nb c" and r.mask == "mail [REDACTED:EMAIL], [REDACTED:PHONE] [REDACTED:NAME] [REDACTED:RRN] [REDACTED:VEHICLE] [REDACTED:ADDRESS] [REDACTED:ADDRESS_DETAIL]"
     assert [len(c) for c in r.chunks] == [500, 500, 101] and r.none == []
     assert r.zero == 0.0 and r.open is False and r.night and r.near
     assert r.grams == ["도로", "ab", "도로"] and r.half == pytest.approx(20015.0868, abs=1e-3)
@@ -111,3 +111,26 @@ def test_named_stages(spark):
     assert [r.docid for r in out["lex"].orderBy("rank").collect()] == [1, 2]
     with pytest.raises(ValueError, match="unknown stage"):
         pipelines.run([{"name": "x", "type": "none"}], {})
+
+
+def test_long_chains_and_paths(spark):
+    n = 100
+    links = spark.range(n).select("id", (F.col("id") + 1).alias("next"))
+    got = J.live_target(links, spark.range(n + 1)).collect()
+    assert len(got) == n + 1 and {r.end for r in got} == {n}
+    order = [(i * 7919) % 2003 for i in range(2003)]  # a path through shuffled ids
+    edges = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    assert V.components(edges, spark.range(2003).withColumnRenamed("id", "node")).select("component").distinct().count() == 1
+    text = spark.createDataFrame([("b", "c"), ("c", "a")], "a string, b string")
+    nodes = spark.createDataFrame([(x,) for x in "abcd"], "node string")
+    assert {r.node: r.component for r in V.components(text, nodes).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d"}
+
+
+def test_names_of_many_lengths(spark):
+    toks = [f"w{i}" for i in range(300)]
+    at, names = 0, []
+    for n in range(1, 21):
+        names.append((f"n{n}", toks[at : at + n]))
+        at += n + 1
+    got = J.dictionary_matches(spark.createDataFrame([(1, toks)], "id int, toks array<string>"), "id", spark.createDataFrame(names, "name string, toks array<string>")).collect()
+    assert {r.name for r in got} == {n for n, _ in names}

@@ -37,9 +37,16 @@ def test_run_file_and_versions(spark, tmp_path):
     S.write_run(run, str(tmp_path / "run"), "tag")
     assert spark.read.text(str(tmp_path / "run")).first().value == "1 Q0 7 1 0.5 tag"
     a = spark.createDataFrame([(1, "a")], "id int, v string")
-    S.merge_table(spark, str(tmp_path / "t"), a, ["id"], 0)
-    b = S.merge_table(spark, str(tmp_path / "t"), spark.createDataFrame([(1, "b"), (2, "c")], "id int, v string"), ["id"], 1)
+    t = str(tmp_path / "t")
+    S.merge_table(spark, t, a, ["id"])
+    b = S.merge_table(spark, t, spark.createDataFrame([(1, "b"), (2, "c")], "id int, v string"), ["id"])
     assert sorted(map(tuple, b.collect())) == [(1, "b"), (2, "c")]
+    again = S.merge_table(spark, t, spark.createDataFrame([(1, "b")], "id int, v string"), ["id"])
+    assert sorted(map(tuple, again.collect())) == [(1, "b"), (2, "c")]
+    (tmp_path / "t" / "version=7" / "bucket=0").mkdir(parents=True)  # an unfinished write doesn't count
+    gap = S.merge_table(spark, t, spark.createDataFrame([(3, "d")], "id int, v string"), ["id"])
+    assert sorted(map(tuple, gap.collect())) == [(1, "b"), (2, "c"), (3, "d")]
+    assert len(list((tmp_path / "t" / "version=3").glob("bucket=*"))) == 1
 
 
 def test_text_blocks(spark, tmp_path):
@@ -51,5 +58,7 @@ def test_xlsx(spark, tmp_path):
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
         z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>name</t></si></sst>")
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Other" r:id="r1"/><sheet name="Data" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet9.xml"/><Relationship Id="r2" Target="worksheets/sheet1.xml"/></Relationships>')
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="AB1"><v>3.0</v></c></row></sheetData></worksheet>')
-    assert sorted((r.row, r.col, r.value) for r in S.xlsx(spark, str(tmp_path / "a.xlsx")).collect()) == [(1, 1, "name"), (1, 28, "3")]
+    assert sorted((r.row, r.col, r.value) for r in S.xlsx(spark, str(tmp_path / "a.xlsx"), "Data").collect()) == [(1, 1, "name"), (1, 28, "3")]
