@@ -65,10 +65,18 @@ def pii_pattern(rule: tuple[str, str, str, str]) -> str:
 
 def mask_pii(text: Column | str, rules: Sequence[tuple[str, str, str, str]] = PII_RULES) -> Column:
     """P20: ordered redactions; null counts as empty."""
-    c = F.coalesce(col(text), F.lit(""))
+    def once(c: Column, rule: tuple[str, str, str, str]) -> Column:
+        # An array of one holds the text so far, so that each rule is evaluated once
+        needed = F.contains(c, F.lit("@")) if rule[0] == "EMAIL" else c.rlike("[0-9]" if rule[0] != "NAME" else "[님씨]")
+        return F.when(needed, F.regexp_replace(c, pii_pattern(rule), f"[REDACTED:{rule[0]}]")).otherwise(c)
+
+    def step(texts: Column, rule: tuple[str, str, str, str]) -> Column:
+        return F.transform(texts, lambda c: once(c, rule))
+
+    out = F.array(F.coalesce(col(text), F.lit("")))
     for rule in rules:
-        c = F.regexp_replace(c, pii_pattern(rule), f"[REDACTED:{rule[0]}]")
-    return c
+        out = step(out, rule)
+    return out[0]
 
 
 def pii_labels(text: Column | str, masked: Column | str, rules: Sequence[tuple[str, str, str, str]] = PII_RULES) -> Column:

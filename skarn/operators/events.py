@@ -108,18 +108,30 @@ def pair_count(events: DataFrame, hours: float, keys: Sequence[str] = ()) -> Dat
     return own.groupBy(*keys).agg(F.sum("_n").cast("long").alias("pairs"))
 
 
+def _large_star(e: DataFrame) -> DataFrame:
+    """Every larger neighbour of a node is linked to the smallest node around it."""
+    both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small_star(e: DataFrame) -> DataFrame:
+    """A node and its smaller neighbours are linked to the smallest of them."""
+    low = e.groupBy("u").agg(F.min("v").alias("m"))
+    rest = e.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return rest.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Node and the smallest node reachable, by spreading minima and jumping to the minimum's own until no label changes. Ids of any ordered type."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
-    label = nodes.select("node", F.col("node").alias("c"))
+    """Node and the smallest node reachable, by large-star and small-star steps until the links no longer change. Ids of any ordered type."""
+    e = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    mark = None
     while True:
-        near = both.join(label, F.col("v") == F.col("node")).groupBy("u").agg(F.min("c").alias("m"))
-        step = label.join(near, F.col("node") == F.col("u"), "left").select("node", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c"))
-        up = step.select(F.col("node").alias("k"), F.col("c").alias("cc"))
-        now = saved(step.join(up, F.col("c") == F.col("k")).select("node", "old", F.col("cc").alias("c")))
-        label = now.select("node", "c")
-        if not now.where("old <> c").take(1):
-            return label.select("node", F.col("c").alias("component"))
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == mark:
+            break
+        mark, e = now, saved(_small_star(_large_star(e)))
+    return nodes.select("node").join(e.select(F.col("u").alias("node"), F.col("v").alias("c")), "node", "left").select("node", F.coalesce("c", "node").alias("component"))
 
 
 def pair_score(parts: Sequence[tuple[Column, float]], places: int = 4) -> Column:

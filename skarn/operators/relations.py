@@ -97,6 +97,8 @@ def live_target(links: DataFrame, ids: DataFrame) -> DataFrame:
         new = saved(at.join(jump, F.col("end") == F.col("_k")).select("id", F.col("_e").alias("end"), (F.col("_e") != F.col("end")).alias("moved")))
         at = new.select("id", "end")
         if not new.where("moved").take(1):
+            if at.join(links.select(F.col("id").alias("end")), "end", "left_semi").take(1):
+                break  # a circle closed on itself
             return ids.join(at, "id")
     raise ValueError("replacement chain has a cycle")
 

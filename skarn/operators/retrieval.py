@@ -18,12 +18,15 @@ K1, B = 1.5, 0.75
 
 #: Stands for a document itself among its tokens; no token holds a blank.
 ITSELF = " "
+BROADCAST_TERMS = 200_000
 
 
 def postings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """term, docid, dl, tf of the wanted terms, and one row for each document under ITSELF, written once. Texts are read and tokenised in one pass."""
     toks = docs.select("docid", C.tokens("text").alias("toks")).select("docid", F.size("toks").alias("dl"), F.explode(F.array_append("toks", F.lit(ITSELF))).alias("term"))
-    kept = wanted.select("term").unionByName(wanted.sparkSession.createDataFrame([(ITSELF,)], "term string")).distinct()
+    kept = saved(wanted.select("term").unionByName(wanted.sparkSession.createDataFrame([(ITSELF,)], "term string")).distinct())
+    # Few wanted terms go to every task, so other tokens are never shuffled; many are joined by a shuffle
+    kept = F.broadcast(kept) if kept.count() <= BROADCAST_TERMS else kept
     return saved(toks.join(kept, "term").groupBy("term", "docid", "dl").agg(F.count("*").alias("tf")))
 
 
