@@ -35,6 +35,11 @@ def clean_text(text: Column | str) -> Column:
     return F.regexp_replace(c, "^[ \n]+|[ \n]+$", "")
 
 
+def dedup_form(text: Column | str) -> Column:
+    """Lower case, single blanks, and only letters, digits and Hangul besides."""
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(col(text)), "\\s+", " ")), "[^a-z0-9가-힣\\s]+", "")
+
+
 def squash(text: Column | str) -> Column:
     """No blanks, lower case."""
     return F.lower(F.regexp_replace(col(text), "\\s+", ""))

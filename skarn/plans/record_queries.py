@@ -207,12 +207,6 @@ def group_actions(spark, d):
     return _groups(spark, d).select("id", F.array_join(R.actions(F.col("status"), F.col("blocked"), ALLOWED, ["confirm"]), ",").alias("actions"))
 
 
-@add(r"""WITH n AS (SELECT doc_id, regexp_replace(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '[^a-z0-9가-힣\s]+', '', 'g') AS k FROM documents) SELECT min(doc_id) AS doc_id FROM n GROUP BY k""")
-def dedup_signatures(spark, d):
-    k = F.regexp_replace(F.trim(F.regexp_replace(F.lower("text"), "\\s+", " ")), "[^a-z0-9가-힣\\s]+", "")
-    return read(spark, d, "documents").select("doc_id", F.sha2(k, 256).alias("k")).groupBy("k").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-
-
 @add("SELECT conv_id, string_agg(CASE WHEN trim(text) = '' THEN NULL ELSE trim(role) || ' ' || trim(text) END, ' ' ORDER BY turn) AS body FROM conversations GROUP BY conv_id")
 def analysis_texts(spark, d):
     own = read(spark, d, "conversations").select("conv_id", "turn", R.analysis_text(F.col("role"), F.lit(" "), F.col("text")).alias("t"))

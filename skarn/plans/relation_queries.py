@@ -109,16 +109,17 @@ def upsert_customers(spark, d):
     return W.upsert(old, new, ["id"])
 
 
-EDGES = "e AS (SELECT DISTINCT c_nationkey AS head, CAST(100 + s_nationkey AS INT) AS tail FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 49)"
+EDGES = "e AS (SELECT c_nationkey AS head, CAST(100 + s_nationkey AS INT) AS tail FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY c_nationkey, s_nationkey HAVING sum(l_quantity) > (SELECT sum(l_quantity) / 500 FROM lineitem))"
 
 
 def _edges(spark, d):
-    """Which customers' nation buys large lots from which suppliers' nation."""
-    li = read(spark, d, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_suppkey")
+    """Which customers' nation buys more than a 500th of all from which suppliers' nation."""
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
     o = read(spark, d, "orders").select("o_orderkey", "o_custkey")
     c, s = read(spark, d, "customer").select("c_custkey", "c_nationkey"), read(spark, d, "supplier").select("s_suppkey", "s_nationkey")
     own = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    return own.select(F.col("c_nationkey").alias("head"), (F.col("s_nationkey") + 100).cast("int").alias("tail")).distinct()
+    sold = own.groupBy(F.col("c_nationkey").alias("head"), (F.col("s_nationkey") + 100).cast("int").alias("tail")).agg(F.sum("l_quantity").alias("q"))
+    return sold.join(F.broadcast(li.agg((F.sum("l_quantity") / 500).alias("least")))).where("q > least").select("head", "tail")
 
 
 BOTH = EDGES + ", b AS (SELECT head, tail FROM e UNION SELECT tail, head FROM e)"
@@ -179,9 +180,14 @@ def rule_join(spark, d):
     return J.rule_hits(read(spark, d, "documents"), "doc_id", "text", RULES)
 
 
-@add()
+@add(r"""WITH n AS (SELECT DISTINCT t AS toks FROM (SELECT regexp_extract_all(lower(text), '[a-z0-9가-힣]+')[1:3 + item_id % 20] AS t FROM benchmark) WHERE len(t) >= 3), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9가-힣]+') AS toks FROM documents),
+l AS (SELECT DISTINCT len(toks) AS n FROM n), g AS (SELECT doc_id, n, s, toks[s:s + n - 1] AS gram FROM (SELECT doc_id, toks, n, unnest(range(1, len(toks) - n + 2)) AS s FROM d, l WHERE len(toks) >= n)),
+f AS (SELECT doc_id, array_to_string(gram, ' ') AS name, CAST(s - 1 AS INT) AS "start", CAST(s - 1 + g.n AS INT) AS "end" FROM g JOIN n ON gram = toks),
+w AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY "start", "end" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM f)
+SELECT doc_id, name, "start", "end" FROM w WHERE far IS NULL OR "end" > far""")
 def dictionary_join(spark, d):
-    names = read(spark, d, "benchmark").select("item_id", F.slice(C.tokens("text"), 1, 4).alias("toks")).select(F.array_join("toks", " ").alias("name"), "toks").where("size(toks) >= 3").distinct()
+    head = F.slice(C.tokens("text"), F.lit(1), (F.col("item_id") % 20 + 3).cast("int"))
+    names = read(spark, d, "benchmark").select(head.alias("toks")).where("size(toks) >= 3").select(F.array_join("toks", " ").alias("name"), "toks").distinct()
     return J.dictionary_matches(read(spark, d, "documents").select("doc_id", C.tokens("text").alias("toks")), "doc_id", names)
 
 

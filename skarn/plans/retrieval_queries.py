@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import retrieval as R
+from ..operators import text as X
 from ..operators import windows as W
 from .base import Registry, read
 
@@ -23,9 +24,11 @@ lex AS (SELECT qid, docid, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) *
   FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY qid, docid),
 bm AS (SELECT * FROM (SELECT qid, docid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS INT) AS rank FROM lex) WHERE rank <= {k})
 """
-#: A second ranking of the same candidates, by length: what the fusion queries fuse with.
-LENGTH = """, ln_ AS (SELECT qid, docid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY n_chars, docid) AS INT) AS rank
-  FROM bm JOIN documents ON doc_id = docid)"""
+#: A second ranking over all documents, by shared rare characters of their hash embeddings: what the fusion queries fuse with.
+DENSE = """, hb AS (SELECT i AS id, q, list_transform(range(0, 16), lambda b: len(list_filter(t, lambda x: CAST('0x' || substr(sha1(x), 1, 2) AS INT) % 16 = b))::DOUBLE) AS v FROM (SELECT doc_id AS i, false AS q, regexp_extract_all(lower(text), '[a-z0-9가-힣]+') AS t FROM documents UNION ALL SELECT item_id, true, regexp_extract_all(lower(text), '[a-z0-9가-힣]+') FROM benchmark)),
+hn AS (SELECT id, q, list_transform(v, lambda x: round(x / sqrt(list_dot_product(v, v)), 6)) AS v FROM hb WHERE list_dot_product(v, v) > 0),
+dn AS (SELECT * FROM (SELECT a.id AS qid, b.id AS docid, round(least(1.0, greatest(0.0, list_cosine_similarity(a.v, b.v))), 6) AS score, CAST(row_number() OVER (PARTITION BY a.id ORDER BY round(least(1.0, greatest(0.0, list_cosine_similarity(a.v, b.v))), 6) DESC, b.id) AS INT) AS rank FROM hn a JOIN hn b ON a.q AND NOT b.q) WHERE rank <= {k})
+"""
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -40,9 +43,11 @@ def _bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
     return R.bm25_top_k(_docs(spark, d), _items(spark, d), k)
 
 
-def _by_length(spark: SparkSession, d: str, run: DataFrame) -> DataFrame:
-    size = read(spark, d, "documents").select(F.col("doc_id").alias("docid"), "n_chars")
-    return W.ranked(run.drop("rank").join(size, "docid"), ["qid"], [F.asc("n_chars"), F.asc("docid")]).select("qid", "docid", "score", "rank")
+def _dense(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """The k nearest documents of each item by hash embeddings."""
+    base = X.hash_embedding(_docs(spark, d), "docid", "text").withColumnRenamed("embedding", "v")
+    asked = X.hash_embedding(_items(spark, d), "qid", "text").withColumnRenamed("embedding", "v")
+    return R.knn_cosine(base, asked, k).select("qid", "docid", "score", "rank")
 
 
 @add(BM25.format(k=10) + "SELECT qid, docid, score, rank FROM bm")
@@ -61,29 +66,29 @@ def knn_cosine_topk(spark, d):
     return W.top_k(hits, ["qid"], [F.desc("score"), F.asc("docid")], 10).select("qid", "docid", "score", "rank")
 
 
-RRF = BM25.format(k=50) + LENGTH + """, f AS (SELECT qid, docid, round(sum(s), 8) AS score FROM (
-  SELECT qid, docid, {a} / (60 + rank) AS s FROM bm UNION ALL SELECT qid, docid, {b} / (60 + rank) AS s FROM ln_) GROUP BY ALL)
+RRF = BM25.format(k=50) + DENSE.format(k=50) + """, f AS (SELECT qid, docid, round(sum(s), 8) AS score FROM (
+  SELECT qid, docid, {a} / (60 + rank) AS s FROM bm UNION ALL SELECT qid, docid, {b} / (60 + rank) AS s FROM dn) GROUP BY ALL)
 SELECT * FROM (SELECT qid, docid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS INT) AS rank FROM f) WHERE rank <= 10"""
 
 
 @add(RRF.format(a="CAST(1 AS DOUBLE)", b="CAST(1 AS DOUBLE)"))
 def hybrid_rrf(spark, d):
     run = _bm25(spark, d, 50)
-    return R.rrf([(run, 1.0), (_by_length(spark, d, run), 1.0)], top=10)
+    return R.rrf([(run, 1.0), (_dense(spark, d, 50), 1.0)], top=10)
 
 
 @add(RRF.format(a="CAST(1 AS DOUBLE)", b="CAST(2 AS DOUBLE)"))
 def weighted_rrf(spark, d):
     run = _bm25(spark, d, 50)
-    return R.rrf([(run, 1.0), (_by_length(spark, d, run), 2.0)], top=10)
+    return R.rrf([(run, 1.0), (_dense(spark, d, 50), 2.0)], top=10)
 
 
-@add(BM25.format(k=20) + LENGTH + """
+@add(BM25.format(k=20) + DENSE.format(k=10) + """
 SELECT qid, docid, l.score AS lexical_score, l.rank AS lexical_rank, s.score AS dense_score, s.rank AS dense_rank
-FROM (SELECT * FROM bm WHERE rank <= 10) l FULL OUTER JOIN (SELECT * FROM ln_ WHERE rank <= 10) s USING (qid, docid)""")
+FROM (SELECT * FROM bm WHERE rank <= 10) l FULL OUTER JOIN (SELECT * FROM dn WHERE rank <= 10) s USING (qid, docid)""")
 def hybrid_outer(spark, d):
     run = _bm25(spark, d, 20)
-    return R.hybrid(run.where("rank <= 10"), _by_length(spark, d, run).where("rank <= 10"))
+    return R.hybrid(run.where("rank <= 10"), _dense(spark, d, 10))
 
 
 SEGMENTS = BM25.format(k=50) + """, h AS (SELECT qid // 4 AS qid, qid % 4 AS segment, docid, score FROM bm),

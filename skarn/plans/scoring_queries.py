@@ -77,12 +77,11 @@ def term_match_topk(spark, d):
     return own.orderBy(F.desc("hits"), "doc_id").limit(20)
 
 
-@add("""WITH need AS (SELECT DISTINCT c_nationkey AS n, p_brand AS b FROM customer, part), have AS (SELECT DISTINCT c_nationkey AS n, p_brand AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45)
-SELECT CAST(n AS INT) AS nation, b AS brand FROM need EXCEPT SELECT CAST(n AS INT), b FROM have""")
+@add("""WITH need AS (SELECT DISTINCT o_orderpriority AS priority, p_brand AS brand FROM orders, part), have AS (SELECT DISTINCT o_orderpriority AS priority, p_brand AS brand FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size = l_linenumber)
+SELECT priority, brand FROM need EXCEPT SELECT priority, brand FROM have""")
 def missing_pairs(spark, d):
-    nations = read(spark, d, "customer").select("c_nationkey").distinct().agg(F.collect_set("c_nationkey").alias("n"))
-    # At most one row for each nation on one side, so the product is bounded by the brands
-    need = read(spark, d, "part").select("p_brand").distinct().join(F.broadcast(nations)).select(F.explode("n").alias("nation"), F.col("p_brand").alias("brand"))
-    li = read(spark, d, "lineitem").where("l_quantity > 45").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    have = li.select(F.col("c_nationkey").alias("nation"), F.col("p_brand").alias("brand")).distinct()
-    return need.select(F.col("nation").cast("int").alias("nation"), "brand").join(have, ["nation", "brand"], "left_anti")
+    priorities = read(spark, d, "orders").agg(F.collect_set("o_orderpriority").alias("p"))  # five values
+    need = read(spark, d, "part").select(F.col("p_brand").alias("brand")).distinct().join(F.broadcast(priorities)).select(F.explode("p").alias("priority"), "brand")
+    li = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read(spark, d, "part"), (F.col("l_partkey") == F.col("p_partkey")) & (F.col("p_size") == F.col("l_linenumber")))
+    have = li.select(F.col("o_orderpriority").alias("priority"), F.col("p_brand").alias("brand")).distinct()
+    return need.join(have, ["priority", "brand"], "left_anti")

@@ -47,9 +47,12 @@ def pii_label_counts(spark, d):
     return own.select(F.explode(C.pii_labels("text", "masked")).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@add(f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY sha256(lower({CLEAN})) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+NORMAL = r"regexp_replace(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '[^a-z0-9가-힣\s]+', '', 'g')"
+
+
+@add(f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {NORMAL}")
 def exact_dedup_documents(spark, d):
-    sig = read(spark, d, "documents").select("doc_id", F.sha2(F.lower(C.clean_text("text")), 256).alias("sig"))
+    sig = read(spark, d, "documents").select("doc_id", F.sha2(C.dedup_form("text"), 256).alias("sig"))
     return sig.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
