@@ -82,10 +82,11 @@ def analysis_text(*parts: Column) -> Column:
     return F.concat_ws(" ", *[F.nullif(F.trim(p), F.lit("")) for p in parts])
 
 
-def distinct_folded(values: Column) -> Column:
-    """Values with single blanks, the blank ones dropped, and of those equal but for case the first."""
-    tidy = F.filter(F.transform(values, lambda v: F.trim(F.regexp_replace(v, "\\s+", " "))), lambda v: v != "")
-    return F.filter(tidy, lambda v, i: F.array_position(F.transform(tidy, lambda x: F.lower(x)), F.lower(v)) == i + 1)
+def signal_values(rows: DataFrame, key: str, values: str) -> DataFrame:
+    """Key and its values with single blanks, the blank ones dropped, and of those equal but for case the first, in order."""
+    own = rows.select(key, F.posexplode(values).alias("pos", "v")).withColumn("v", F.trim(F.regexp_replace("v", "\\s+", " "))).where("v <> ''")
+    first = own.groupBy(key, F.lower("v").alias("_k")).agg(F.min(F.struct("pos", "v")).alias("f"))
+    return first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list("f")), lambda x: x["v"]).alias(values))
 
 
 def title_of(explicit: Column, *texts: Column, kind: Column, most: int = 60) -> Column:

@@ -325,10 +325,10 @@ def structured_metrics(spark, d):
     return o.groupBy(F.col("o_custkey").alias("case_id")).agg(F.count_if(F.col("o_orderpriority").startswith("1")).alias("urgent"), F.round(F.avg(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice"))), 4).alias("open_mean"), F.max("o_orderdate").alias("last_ts"))
 
 
-@add("SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@add("SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_tax >= 0.08)")
 def incremental_index(spark, d):
     todo = read(spark, d, "part").select(F.col("p_partkey").alias("id"))  # U03: records without those of the index
-    return todo.join(_li(spark, d, F.col("l_partkey").alias("id")), "id", "left_anti")
+    return todo.join(_li(spark, d, F.col("l_partkey").alias("id"), "l_tax").where("l_tax >= 0.08"), "id", "left_anti")
 
 
 @add("SELECT o_orderkey AS id, o_orderdate AS started_at FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")

@@ -65,7 +65,7 @@ def record_texts(spark, d):
 u AS (SELECT doc_id, w, lower(w) AS k, i FROM (SELECT doc_id, unnest(v) AS w, generate_subscripts(v, 1) AS i FROM s)), f AS (SELECT doc_id, k, min(i) AS i, min_by(w, i) AS w FROM u GROUP BY ALL)
 SELECT doc_id, count(*) AS n, md5(string_agg(w, '|' ORDER BY i)) AS signals FROM f GROUP BY doc_id""".replace("substr(text, 1, 100000)", "text"))
 def signal_values(spark, d):
-    own = read(spark, d, "documents").select("doc_id", R.distinct_folded(F.split("text", " ")).alias("v")).where("size(v) > 0")
+    own = R.signal_values(read(spark, d, "documents").select("doc_id", F.split("text", " ").alias("v")), "doc_id", "v")
     return own.select("doc_id", F.size("v").cast("long").alias("n"), F.md5(F.array_join("v", "|")).alias("signals"))
 
 
@@ -87,9 +87,9 @@ def _chunks(spark, d):
     return docs.select("doc_id", F.col("source").alias("region"), F.col("lang").alias("category"), day.alias("created_at"), labels.alias("entity_labels"))
 
 
-@add(CHUNKS + """SELECT doc_id FROM c WHERE contains(coalesce(region, ''), 'e') AND category = 'en' AND (try_cast(created_at AS TIMESTAMP) IS NULL OR (try_cast(created_at AS TIMESTAMP) >= TIMESTAMP '2024-02-01' AND try_cast(created_at AS TIMESTAMP) <= TIMESTAMP '2024-09-30')) AND list_has_any(list_transform(entity_labels, lambda x: upper(x)), ['PLACE', 'HAZARD'])""")
+@add(CHUNKS + """SELECT doc_id FROM c WHERE contains(coalesce(region, ''), '1') AND category = 'en' AND (try_cast(created_at AS TIMESTAMP) IS NULL OR (try_cast(created_at AS TIMESTAMP) >= TIMESTAMP '2024-02-01' AND try_cast(created_at AS TIMESTAMP) <= TIMESTAMP '2024-09-30')) AND list_has_any(list_transform(entity_labels, lambda x: upper(x)), ['PLACE', 'HAZARD'])""")
 def metadata_filters(spark, d):
-    return _chunks(spark, d).where(R.filters(region="e", kind="en", date_from="2024-02-01", date_to="2024-09-30", labels=["place", "hazard"])).select("doc_id")
+    return _chunks(spark, d).where(R.filters(region="1", kind="en", date_from="2024-02-01", date_to="2024-09-30", labels=["place", "hazard"])).select("doc_id")
 
 
 @add(CHUNKS + """SELECT doc_id, array_to_string(list_filter(list_transform(entity_labels, lambda x: upper(x)), lambda x: x IN ('PLACE', 'HAZARD')), ',') AS labels, doc_id % 7 = 0 OR doc_id % 5 IN (1, 2) AS unsafe FROM c""")
