@@ -319,10 +319,10 @@ def region_summaries(spark, d):
     return n.groupBy("department").agg(F.array_join(entries, ",").alias("regions"))
 
 
-@add("SELECT o_custkey AS case_id, count(*) FILTER (o_orderpriority LIKE '1%') AS urgent, round(avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 4) AS open_mean, max(o_orderdate) AS last_ts FROM orders GROUP BY 1")
+@add("SELECT o_custkey AS case_id, count(*) FILTER (o_orderpriority LIKE '1%') AS urgent, round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 2) AS open_total, max(o_orderdate) AS last_ts FROM orders GROUP BY 1")
 def structured_metrics(spark, d):
-    o = read(spark, d, "orders")  # A25: counts and means under a condition; without such rows the mean is null
-    return o.groupBy(F.col("o_custkey").alias("case_id")).agg(F.count_if(F.col("o_orderpriority").startswith("1")).alias("urgent"), F.round(F.avg(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice"))), 4).alias("open_mean"), F.max("o_orderdate").alias("last_ts"))
+    o = read(spark, d, "orders")  # A25: counts and means under a condition; without such rows the total is null
+    return o.groupBy(F.col("o_custkey").alias("case_id")).agg(F.count_if(F.col("o_orderpriority").startswith("1")).alias("urgent"), F.round(F.sum(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice"))), 2).alias("open_total"), F.max("o_orderdate").alias("last_ts"))
 
 
 @add("SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_tax >= 0.08)")
