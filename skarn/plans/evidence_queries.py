@@ -238,7 +238,7 @@ def lexicon_refs(spark, d):
 
 
 @add("""WITH x AS (SELECT p_partkey, p_name, CASE WHEN contains(replace(p_name, 'small ring', ''), 'ring') THEN 'ring' WHEN contains(p_name, 'bolt') THEN 'bolt' END AS s, CASE WHEN contains(p_name, 'small') THEN 'small' END AS t FROM part)
-SELECT p_partkey, concat_ws(',', CASE WHEN s IS NOT NULL AND contains(p_name, 'bolt') THEN 'bolt' END, CASE WHEN t IS NOT NULL THEN 'tiny' END) AS objects, CASE WHEN contains(p_name, 'small') THEN 0.85 END AS tiny FROM (SELECT p_partkey, p_name, CASE WHEN contains(p_name, 'bolt') THEN 'bolt' END AS s, t FROM x)""")
+SELECT p_partkey, concat_ws(',', CASE WHEN s IS NOT NULL AND contains(p_name, 'bolt') THEN 'bolt' END, CASE WHEN t IS NOT NULL THEN 'tiny' END) AS objects, CASE WHEN contains(p_name, 'small') THEN 0.85::DOUBLE END AS tiny FROM (SELECT p_partkey, p_name, CASE WHEN contains(p_name, 'bolt') THEN 'bolt' END AS s, t FROM x)""")
 def canonical_objects(spark, d):
     objects = E.canonical_objects(F.col("p_name"), {"tiny": ["ring of none", "small"], "bolt": ["bolt"], "none": ["ring"]}, {"ring": "ring"})
     tiny = F.try_element_at(F.filter(objects, lambda x: x["text"] == "tiny"), F.lit(1))["confidence"]
