@@ -280,10 +280,15 @@ def legal_citations(text: Column, known: Sequence[str] = ()) -> Column:
 
 
 def without_spans(text: Column, spans: Column) -> Column:
-    """The text with a mark in the place of each span (start, stop), from the last to the first."""
-    last_first = F.reverse(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))))
-    cut = lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.lit(REMOVED), F.substring(t, s["stop"] + 1, F.length(t)))
-    return F.aggregate(last_first, text, cut)
+    """The text with a mark in the place of each span (start, stop); spans that overlap share one mark."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
+
+    def step(acc: Column, s: Column) -> Column:
+        kept = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(REMOVED))
+        return F.struct(F.when(s["start"] >= acc["at"], kept).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["stop"]).alias("at"))
+
+    done = F.aggregate(ordered, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step)
+    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
 
 
 def lexicon_refs(text: Column, lexicon: Mapping[str, Sequence[str]], top: int = 4) -> Column:

@@ -134,3 +134,33 @@ def test_names_of_many_lengths(spark):
         at += n + 1
     got = J.dictionary_matches(spark.createDataFrame([(1, toks)], "id int, toks array<string>"), "id", spark.createDataFrame(names, "name string, toks array<string>")).collect()
     assert {r.name for r in got} == {n for n, _ in names}
+
+
+def test_evidence_awkward_values(spark):
+    from skarn.operators import evidence as E
+
+    one = spark.range(1).select(F.lit("제0012조 도로법 제3조").alias("t"), F.lit(None).cast("string").alias("nothing"))
+    got = one.select(
+        E.legal_citations(F.col("t"), ["도로법"]).alias("c"), E.legal_citations(F.col("nothing")).alias("c0"), E.union_of_ids(F.lit(None), F.array(F.lit(" a "), F.lit("a"), F.lit(""))).alias("ids"),
+        E.stated_confidence(F.col("nothing")).alias("s0"), E.stated_confidence(F.lit("nan")).alias("s1"), E.epoch_of(F.lit("1970-01-02")).alias("day"), E.epoch_of(F.col("nothing")).alias("no_day"), E.epoch_of(F.lit("soon")).alias("odd_day"),
+        E.danger_signals(F.col("nothing"), ["a"], "b").alias("d0"), E.higher(F.lit("?"), F.lit("보통")).alias("level"), E.floor_mean(F.lit(None), F.lit(None)).alias("m"), E.literal(F.lit("1,23"), "number").alias("n"), E.literal(F.lit("2023-02-30"), "date").alias("d"),
+        E.without_spans(F.col("t"), E.legal_citations(F.col("t"), ["도로법"])).alias("cut"), E.without_spans(F.col("t"), E.legal_citations(F.col("t"))).alias("overlap"),
+    ).collect()[0]
+    assert [(c["law"], c["article"], c["start"], c["stop"]) for c in got["c"]] == [("", "제12조", 0, 6), ("도로법", "제3조", 7, 14)]
+    assert got["c0"] == [] and got["ids"] == ["a"] and (got["s0"], got["s1"]) == (0.5, 0.5)
+    assert (got["day"], got["no_day"], got["odd_day"]) == (86400 - 9 * 3600, 0, 0)
+    assert got["d0"] == [] and got["level"] == "보통" and got["m"] is None and not got["n"]["ok"] and not got["d"]["ok"]
+    assert got["cut"] == E.REMOVED + " " + E.REMOVED and got["overlap"] == E.REMOVED
+
+
+def test_evidence_empty_tables(spark):
+    from skarn.operators import evidence as E
+
+    cited = spark.createDataFrame([], "qid long, pos long, chunk_id string, case_id string, snippet string")
+    context = spark.createDataFrame([(1, 1, "a", "x", "s"), (1, 2, None, "x", "s"), (1, 3, "b", None, "t")], cited.schema)
+    assert [(r.ref_id, r.chunk_id) for r in E.kept_citations(cited, context).collect()] == [(1, "a")]
+    assert E.kept_citations(cited, cited).count() == 0 and E.packed_context(cited, 3, 100).count() == 0
+    assert [r.problem for r in E.citation_problems(context, cited).collect()] == ["unknown"] * 3
+    assert E.report_summary(spark.createDataFrame([], "a double, level string"), ["a"], "level").collect()[0]["n_cases"] == 0
+    packed = E.packed_context(context, 3, 100).collect()[0]
+    assert (packed["n_kept"], packed["n_dropped"]) == (1, 2)
