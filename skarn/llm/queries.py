@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard, langid, neighbours, order, packing, quality, secret_scan, substring, toxicity
+from . import decontam, jaccard, langid, neighbours, order, packing, periods, quality, secret_scan, substring, toxicity
 
-QUERIES = packing.QUERIES | quality.QUERIES | toxicity.QUERIES | decontam.QUERIES | langid.QUERIES | secret_scan.QUERIES | neighbours.QUERIES | jaccard.QUERIES | substring.QUERIES | order.QUERIES
+QUERIES = packing.QUERIES | quality.QUERIES | toxicity.QUERIES | decontam.QUERIES | langid.QUERIES | secret_scan.QUERIES | neighbours.QUERIES | jaccard.QUERIES | substring.QUERIES | order.QUERIES | periods.QUERIES
 
 ORACLE_SQL = {
     "op4_substrings": r"""
