@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard, langid, neighbours, order, packing, periods, quality, secret_scan, substring, toxicity
+from . import decontam, jaccard, langid, neighbours, order, packing, periods, quality, reputation, secret_scan, substring, toxicity, variants
 
-QUERIES = packing.QUERIES | quality.QUERIES | toxicity.QUERIES | decontam.QUERIES | langid.QUERIES | secret_scan.QUERIES | neighbours.QUERIES | jaccard.QUERIES | substring.QUERIES | order.QUERIES | periods.QUERIES
+QUERIES = packing.QUERIES | quality.QUERIES | toxicity.QUERIES | decontam.QUERIES | langid.QUERIES | secret_scan.QUERIES | neighbours.QUERIES | jaccard.QUERIES | substring.QUERIES | order.QUERIES | periods.QUERIES | variants.QUERIES | reputation.QUERIES
 
-ORACLE_SQL = {
+ORACLE_SQL = variants.ORACLE_SQL | reputation.ORACLE_SQL | {
     "op4_substrings": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
