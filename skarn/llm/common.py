@@ -49,3 +49,8 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """Only the two columns that an operator reads, under fixed names, so other columns can't clash."""
     small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def text_key(text: str | Column = "text") -> Column:
+    """Tells rows of one doc_id with other texts apart."""
+    return F.xxhash64((F.col(text) if isinstance(text, str) else text).cast("string"))

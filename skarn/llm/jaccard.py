@@ -76,8 +76,14 @@ def _member(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == x
 
 
+def fingerprint(v: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Two halves of each set's name. v: the sets one after the other; n: their sizes."""
+    # one zero more, so that empty sets at the end begin there and the last n-gram stays with its own set
+    return [np.where(n > 0, np.add.reduceat(np.append(words.mix(v ^ words.U64(s)), words.U64(0)), np.cumsum(n) - n), 0).astype(np.uint64).view(np.int64) for s in (1, 2)]
+
+
 def prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, two halves of the set's fingerprint, and the prefix in the global order."""
+    """doc_id, key, n, two halves of the set's fingerprint, and the prefix in the global order."""
     shared = docs.sparkSession.sparkContext.broadcast(common_grams(docs, k, num, den))
 
     def run(batches):
@@ -87,12 +93,10 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 late = _member(v, shared.value)
                 order = np.lexsort((v, late, doc))
                 head, want = _heads(v[order], n, prefix_size(n, num, den))
-                # one zero more, so that empty sets at the end begin there and the last n-gram stays with its own set
-                halves = [np.where(n > 0, np.add.reduceat(np.append(words.mix(v ^ words.U64(s)), words.U64(0)), np.cumsum(n) - n), 0).astype(np.uint64) for s in (1, 2)]
-                ids = batch.column(0).slice(rows.start, rows.stop - rows.start)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), *(pa.array(h.view(np.int64)) for h in halves), words.lists(head, want)], names=["doc_id", "n", "h1", "h2", "grams"])
+                ids, keys = (batch.column(c).slice(rows.start, rows.stop - rows.start) for c in (0, 2))
+                yield pa.RecordBatch.from_arrays([ids, keys, pa.array(n.astype(np.int64)), *map(pa.array, fingerprint(v, n)), words.lists(head, want)], names=["doc_id", "key", "n", "h1", "h2", "grams"])
 
-    return common.stage(docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, grams array<long>"), "prefixes")
+    return common.stage(docs.mapInArrow(run, "doc_id long, key long, n long, h1 long, h2 long, grams array<long>"), "prefixes")
 
 
 def candidate_edges(posted: DataFrame, num: int, den: int) -> DataFrame:
@@ -209,21 +213,23 @@ def family_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.n
 
 
 def family_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """members (rep, family, blocks) with their sets as bytes, once for each pair of blocks that they meet in."""
+    """members (rep, doc_id, h1, h2, family, blocks) with their sets as bytes, once for each pair of blocks that they meet in."""
 
     def run(batches):
         for batch in batches:
             for rows, v, n in sets(batch.column(1), k):
-                offs = np.concatenate([[0], np.cumsum(n)])
-                own = [v[offs[i] : offs[i + 1]].tobytes() for i in range(len(n))]
                 part = batch.slice(rows.start, rows.stop - rows.start)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(own, pa.binary())], names=["rep", "family", "blocks", "grams"])
+                # Of the texts of one doc_id, only those with the member's set are it
+                same = np.logical_and(*(h == part.column(c).to_numpy() for h, c in zip(fingerprint(v, n), (5, 6))))
+                offs = np.concatenate([[0], np.cumsum(n)])
+                own = [v[offs[i] : offs[i + 1]].tobytes() for i in np.flatnonzero(same).tolist()]
+                mask = pa.array(same)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).filter(mask) for c in (2, 3, 4)), pa.array(own, pa.binary())], names=["rep", "family", "blocks", "grams"])
 
     # Most documents have no family: let the optimizer filter the texts by a Bloom filter of the members before they are shuffled, at any size
     docs.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
     docs.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1GB")
-    own_members = members.where("blocks >= 1").select(F.col("rep").alias("doc_id"), "family", "blocks")
-    texts = docs.join(own_members, "doc_id").select("doc_id", "text", "family", "blocks")
+    texts = docs.join(members.where("blocks >= 1"), "doc_id").select("doc_id", "text", "rep", "family", "blocks", "h1", "h2")
     got = texts.mapInArrow(run, "rep long, family long, blocks int, grams binary")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -250,6 +256,8 @@ def linked(docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> D
                 if held and held[0][0] != (family, i, j):
                     out += flush(held)
                     held = []
+                if held and held[-1][2] == rep:  # a row that stands twice
+                    continue
                 held.append(((family, i, j), own, rep, grams))
             if out:
                 yield _links(out)
@@ -265,41 +273,46 @@ def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def join(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row, for Jaccard similarity num/den on k-word shingles.
+    """doc_id, n_shingles, component_id of every row, and the key of its text, for Jaccard similarity num/den on k-word shingles.
 
     Words are runs of other than blanks, with A-Z in lower case. A text of fewer than k words has
     one shingle, its whole sequence. Null and empty texts have none and link with nothing. A row
-    with a null doc_id links with nothing and has a null component. Rows that repeat a doc_id are
-    judged one by one; where one of them stands for its copies, they share its component.
+    with a null doc_id links with nothing and has a null component. Each row is judged on its own, also
+    where rows repeat a doc_id; a component has the smallest doc_id of its rows.
     """
-    own = common.texts(docs)
+    own = common.texts(docs).withColumn("key", common.text_key())
     table = prefixes(own, k, num, den)
     known = table.where("n > 0 and doc_id is not null")
-    reps = common.stage(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    stand = known.join(reps, (known.h1 == reps.h1) & (known.h2 == reps.h2) & (known.doc_id == reps.rep)).select("rep", "n", "grams").dropDuplicates(["rep", "n"])
+    # A class is a set; its number stands for it from here on, and the row of its smallest doc_id shows it
+    reps = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("least")).withColumn("rep", F.monotonically_increasing_id())
+    reps = common.stage(reps, "classes")
+    stand = known.join(reps, ["h1", "h2"]).where("doc_id = least").select("rep", "least", "h1", "h2", "n", "grams").dropDuplicates(["rep"])
     posted = stand.select("rep", "n", F.explode("grams").alias("gram"))
     families = graph.components(candidate_edges(posted, num, den)).withColumnRenamed("component", "family")
-    sized = stand.select("rep", "n").join(families, F.col("rep") == F.col("node")).select("rep", "n", "family")
+    sized = stand.select("rep", "least", "h1", "h2", "n").join(families, F.col("rep") == F.col("node")).select("rep", "least", "h1", "h2", "n", "family")
     blocks = sized.groupBy("family").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK)).cast("int").alias("blocks"))
-    members = common.stage(sized.select("rep", "family").distinct().join(blocks, "family").select("rep", "family", "blocks"), "families")
-    found = graph.components(linked(own, members, k, num, den))
-    by_class = reps.join(found, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
+    members = common.stage(sized.join(blocks, "family").select("rep", F.col("least").alias("doc_id"), "h1", "h2", "family", "blocks"), "families")
+    found = common.stage(graph.components(linked(own, members, k, num, den)), "links")
+    lead = found.join(reps.select(F.col("rep").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    named = found.join(lead, "component").select("node", "component_id")
+    by_class = reps.join(named, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component_id", "least").alias("component_id"))
     out = table.join(by_class, ["h1", "h2"], "left")
     alone = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"), "key")
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(common.table(spark, sf_dir, "documents"), 4, 85, 100)
+    return join(common.table(spark, sf_dir, "documents"), 4, 85, 100).drop("key")
 
 
 def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group (five-word shingles, similarity 0.8): that of the smallest doc_id.
 
-    Rows without a doc_id stay. Of rows that repeat a doc_id and belong to one group, all stay.
+    Rows without a doc_id stay, as do null and empty texts. Of rows that repeat a doc_id, each is judged
+    by its own text; those that belong to one group all stay.
     """
-    drop = join(docs, 5, 8, 10).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    drop = join(docs, 5, 8, 10).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"), F.col("key").alias("_text")).distinct()
+    return docs.join(drop, (docs["doc_id"] == drop["_gone"]) & (common.text_key(docs["text"]) == drop["_text"]), "left_anti")
 
 
 QUERIES = {"op6_jaccard": op6_jaccard}

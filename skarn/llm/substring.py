@@ -120,7 +120,7 @@ def ruled_out(n: int, first: np.ndarray, of: np.ndarray, lo: np.ndarray, hi: np.
 
 
 def summary(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, number of words, names of the whole text, sha256 of its words, whether it has windows that no symbol can rule out, and its distinct last symbols."""
+    """doc_id, key, number of words, names of the whole text, sha256 of its words, whether it has windows that no symbol can rule out, and its distinct last symbols."""
 
     def run(batches):
         for batch in batches:
@@ -136,10 +136,11 @@ def summary(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                 data = bytes(b.buf)
                 sha = [hashlib.sha256(b" ".join(data[s:e].split())).hexdigest() for s, e in _spans(b)]
                 ids = batch.column(0).slice(b.rows.start, b.rows.stop - b.rows.start)
-                cols = [ids, pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sha), pa.array(open_), words.lists(v, c)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "h1", "h2", "sha", "open", "names"])
+                keys = batch.column(2).slice(b.rows.start, b.rows.stop - b.rows.start)
+                cols = [ids, keys, pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sha), pa.array(open_), words.lists(v, c)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "n", "h1", "h2", "sha", "open", "names"])
 
-    return common.stage(docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sha string, open boolean, names array<long>"), "symbols")
+    return common.stage(docs.mapInArrow(run, "doc_id long, key long, n long, h1 long, h2 long, sha string, open boolean, names array<long>"), "symbols")
 
 
 def _spans(b: words.Block):
@@ -160,7 +161,7 @@ def window_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def candidate_windows(texts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Windows that hold no unique symbol: doc_id, pos, how many equal ones follow one another, h, g. texts: doc_id, text, shared (names that other texts have too)."""
+    """Windows that hold no unique symbol: doc_id, key, pos, how many equal ones follow one another, h, g. texts: doc_id, text, shared (names that other texts have too), key."""
 
     def run(batches):
         for batch in batches:
@@ -187,14 +188,15 @@ def candidate_windows(texts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                 pos, h = pos[new], h[new]
                 g = window_hashes(words.mix(b.hashes ^ U64(5)))[pos]
                 ids = np.array(batch.column(0).slice(b.rows.start, b.rows.stop - b.rows.start).to_pylist(), np.int64)
-                cols = [pa.array(ids[doc[pos]]), pa.array((pos - b.first[:-1][doc[pos]]).astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "pos", "many", "h", "g"])
+                keys = batch.column(3).slice(b.rows.start, b.rows.stop - b.rows.start).to_numpy()
+                cols = [pa.array(ids[doc[pos]]), pa.array(keys[doc[pos]]), pa.array((pos - b.first[:-1][doc[pos]]).astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "pos", "many", "h", "g"])
 
-    return texts.mapInArrow(run, "doc_id long, pos int, many int, h long, g long")
+    return texts.mapInArrow(run, "doc_id long, key long, pos int, many int, h long, g long")
 
 
 def removed(texts: DataFrame) -> DataFrame:
-    """doc_id, n_removed and kept_sha256. texts: doc_id, text, starts (pos and many of the repeated windows)."""
+    """doc_id, key, n_removed and kept_sha256. texts: doc_id, text, starts (pos and many of the repeated windows), key."""
 
     def run(batches):
         for batch in batches:
@@ -207,18 +209,18 @@ def removed(texts: DataFrame) -> DataFrame:
                     np.add.at(mark, np.array([x["pos"] for x in at], np.int64), 1)
                     np.add.at(mark, np.array([x["pos"] + x["many"] - 1 + WINDOW for x in at], np.int64), -1)
                     gone = np.cumsum(mark)[:n] > 0
-                    rows.append((batch.column(0)[b.rows.start + d].as_py(), int(gone.sum()), _kept(b, d, gone)))
+                    rows.append((batch.column(0)[b.rows.start + d].as_py(), batch.column(3)[b.rows.start + d].as_py(), int(gone.sum()), _kept(b, d, gone)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_removed", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "key", "n_removed", "kept_sha256"])
 
-    return texts.mapInArrow(run, "doc_id long, n_removed long, kept_sha256 string")
+    return texts.mapInArrow(run, "doc_id long, key long, n_removed long, kept_sha256 string")
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """df as a table of the warehouse in buckets by key: later joins on it move the other side only."""
+def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """df as a table in buckets by keys, its files in the shared folder: later joins on the keys move the other side only."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, key).option("compression", "zstd").saveAsTable(name)
+    df.write.bucketBy(n, *keys).option("compression", "zstd").option("path", f"{common.shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 
@@ -226,10 +228,10 @@ def dedup(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document.
 
     Null and empty texts have no words. Documents of fewer than 50 words keep all. A row with a null
-    doc_id is neither a source nor changed. doc_id is taken as unique; of rows that repeat one with
-    other words, windows are pooled, and none is a smaller document than the other.
+    doc_id is neither a source nor changed. Each row counts on its own: rows that repeat a doc_id, with
+    the same text or another, give a row each, and none is a smaller document than the other.
     """
-    own = common.texts(docs)
+    own = common.texts(docs).withColumn("key", common.text_key())
     table = summary(own, rounds)
     usable = table.where((F.col("n") >= WINDOW) & F.col("doc_id").isNotNull())
     reps = common.stage(usable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "texts")
@@ -240,21 +242,25 @@ def dedup(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     stand = own_reps.select("doc_id", F.explode("names").alias("name"))
     twice = stand.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     twice = common.stage(twice.select("name"), "shared").where(F.col("name") >= -(1 << 63))
-    shared = stand.join(twice, "name").groupBy("doc_id").agg(F.collect_list("name").alias("shared"))
+    # What the texts of one doc_id share is pooled: names that a text lacks say nothing about it
+    shared = stand.join(twice, "name").groupBy("doc_id").agg(F.collect_set("name").alias("shared"))
     # Texts with a shared symbol, and those with windows that no symbol can rule out
     none = F.expr("cast(array() as array<bigint>)")
-    marked = own_reps.select("doc_id", "open").join(shared, "doc_id", "left").where(F.col("open") | F.col("shared").isNotNull())
+    marked = own_reps.groupBy("doc_id").agg(F.max("open").alias("open")).join(shared, "doc_id", "left").where(F.col("open") | F.col("shared").isNotNull())
     marked = common.stage(marked.select("doc_id", F.coalesce("shared", none).alias("shared")), "marked")
-    name = f"skarn_{uuid.uuid4().hex}"
-    some = bucketed(own.join(marked.where("size(shared) >= 0"), "doc_id").select("doc_id", "text", "shared"), "doc_id", name)
-    # Read twice below: hashing the windows again costs less than to keep and move them once more
-    found = candidate_windows(some, rounds)
-    first = found.groupBy("h", "g").agg(F.min("doc_id").alias("lo"))
-    starts = found.join(first, ["h", "g"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "many")).alias("starts"))
-    cut = common.stage(removed(some.select("doc_id", "text").join(starts, "doc_id").select("doc_id", "text", "starts")), "cut")
-    own.sparkSession.sql(f"DROP TABLE {name}")
+    name, row = f"skarn_{uuid.uuid4().hex}", ["doc_id", "key"]
+    try:
+        some = bucketed(own.join(marked.where("size(shared) >= 0"), "doc_id").select("doc_id", "text", "shared", "key"), row, name)
+        # Read twice below: hashing the windows again costs less than to keep and move them once more
+        found = candidate_windows(some, rounds)
+        first = found.groupBy("h", "g").agg(F.min("doc_id").alias("lo"))
+        starts = found.join(first, ["h", "g"]).where("doc_id > lo").groupBy(*row).agg(F.collect_set(F.struct("pos", "many")).alias("starts"))
+        cut = removed(some.select("doc_id", "text", "key").join(starts, row).select("doc_id", "text", "starts", "key"))
+        cut = common.stage(cut.dropDuplicates(row), "cut")
+    finally:
+        own.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     copies = table.join(reps, ["h1", "h2", "n"], "left")
-    out = copies.join(cut, "doc_id", "left")
+    out = copies.join(cut, row, "left")
     whole = F.col("rep") < F.col("doc_id")
     return out.select(
         "doc_id",

@@ -115,6 +115,58 @@ def test_largest_shingle_counts_before_empty_sets(spark, end):
     assert got == {i: i for i in range(4)}
 
 
+def repeated_ids():
+    """(id, text) where ids repeat with the same text and with others, one of them near or part of a text of another id."""
+    import random
+
+    rng = random.Random(8)
+    make = lambda n: [f"r{rng.randrange(10**6)}" for _ in range(n)]
+    a, b, c = make(120), make(120), make(102)
+    near = a[:60] + ["other"] + a[61:]
+    rows = [(1, a[:100]), (2, a), (2, b), (3, near), (3, b), (3, b), (3, c + a[:70]), (4, c), (4, c), (5, make(10) + b[:60] + make(9)), (5, make(120)), (None, a), (6, []), (6, a)]
+    return [(d, " ".join(w)) for d, w in rows]
+
+
+def test_repeated_ids_keep_their_rows(spark):
+    rows = repeated_ids()
+    words_ = [cases.tokens(t) for _, t in rows]
+    first = {}
+    for (d, _), w in zip(rows, words_):
+        for k in range(len(w) - 49 if d is not None else 0):
+            first[tuple(w[k : k + 50])] = min(d, first.get(tuple(w[k : k + 50]), d))
+    want = []
+    for (d, _), w in zip(rows, words_):
+        gone = set()
+        for k in range(len(w) - 49 if d is not None else 0):
+            if first[tuple(w[k : k + 50])] < d:
+                gone |= set(range(k, k + 50))
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        want.append((d, len(w), len(gone), cases.hashlib.sha256(kept.encode()).hexdigest()))
+    got = substring.dedup(parts(spark, rows[::2], rows[1::2])).collect()
+    assert cases.counted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == cases.counted(want)
+
+
+def test_repeated_ids_keep_their_links(spark):
+    rows = repeated_ids()
+    group, sizes = cases.groups([t for _, t in rows], 4, 85, 100)
+    own = [d is not None for d, _ in rows]
+    least = {}
+    for (d, _), g in zip(rows, group):
+        if d is not None:
+            least[g] = min(d, least.get(g, d))
+    # a null id links nothing; no other row hangs on it here
+    want = cases.counted((d, n, least[g] if ok else None) for (d, _), g, n, ok in zip(rows, group, sizes, own))
+    got = jaccard.join(parts(spark, rows[::2], rows[1::2]), 4, 85, 100).collect()
+    assert cases.counted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    kept = jaccard.stage_near_copies(spark, parts(spark, rows), SF)
+    groups_, _ = cases.groups([t for _, t in rows], 5, 8, 10)
+    least = {}
+    for (d, _), g in zip(rows, groups_):
+        if d is not None:
+            least[g] = min(d, least.get(g, d))
+    assert cases.counted(map(tuple, kept.collect())) == cases.counted(r for r, g in zip(rows, groups_) if r[0] is None or not r[1] or least[g] == r[0])
+
+
 SECRETS = [
     'password = "hunter2A9"', 'password = "s3cr!t@P#9"', 'passwd: Tr0ub4dor&3', "password=pa$$w0rd%12", 'api_key = "qzxkvjwpmtbrhgdlfncs"', "secret: QZXKVJWPMTBRHGDLFNCSWX", "--password hunter2A9",
 ]
