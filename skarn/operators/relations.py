@@ -138,17 +138,26 @@ def rule_hits(texts: DataFrame, key: str, text: str, rules: Sequence[tuple[str,
     return texts.select(key, F.explode(F.array_compact(F.array(*held))).alias("rule"))
 
 
+SEED = 3
+
+
 def dictionary_matches(texts: DataFrame, key: str, names: DataFrame) -> DataFrame:
     """Names found in a text as runs of whole tokens, those inside a longer found one left out.
 
-    Texts are cut into token n-grams of every length that a name has and joined on them, so no text
-    meets every name. texts: key, toks (array); names: name, toks.
+    A name is sought by its first SEED tokens (all of them, if it has fewer): places of a text are
+    joined on the hash of so many tokens, then the rest of the name is compared, for names of any
+    length and number. texts: key (one row for each), toks (array); names: name, toks. Null and empty
+    names are found nowhere; a name that stands twice is found once.
     """
-    sized = names.where(F.size("toks") > 0).select("name", F.array_join("toks", " ").alias("gram"), F.size("toks").alias("n"))
-    lengths = sized.agg(F.collect_set("n").alias("lengths"))  # one row; no longer than the longest name
-    own = texts.join(F.broadcast(lengths)).select(key, "toks", F.explode("lengths").alias("n")).where(F.size("toks") >= F.col("n"))
-    grams = own.select(key, "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("toks") - F.col("n") + 1), lambda i: F.array_join(F.slice("toks", i, F.col("n")), " "))).alias("start", "gram"))
-    found = grams.join(sized, ["gram", "n"]).select(key, "name", "start", (F.col("start") + F.col("n")).alias("end"))
+    sized = names.where(F.size("toks") > 0).select("name", "toks").distinct()
+    head = lambda toks, at, n: F.when(n == 1, F.xxhash64(F.get(toks, at))).when(n == 2, F.xxhash64(F.get(toks, at), F.get(toks, at + 1))).otherwise(F.xxhash64(F.get(toks, at), F.get(toks, at + 1), F.get(toks, at + 2)))
+    seeds = sized.select("name", F.size("toks").alias("n"), F.col("toks").alias("want"), F.least(F.size("toks"), F.lit(SEED)).alias("s")).withColumn("seed", head("want", F.lit(0), F.col("s")))
+    lengths = sized.agg(F.collect_set(F.least(F.size("toks"), F.lit(SEED))).alias("lengths"))  # one row of at most SEED numbers
+    own = texts.join(F.broadcast(lengths)).select(key, "toks", F.explode("lengths").alias("s")).where(F.size("toks") >= F.col("s"))
+    places = own.select(key, "s", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("toks") - F.col("s")), lambda i: head("toks", i, F.col("s")))).alias("start", "seed"))
+    hits = places.join(seeds, ["s", "seed"]).select(key, "name", "start", "n", "want")
+    same = texts.select(key, "toks").join(hits, key).where(F.slice("toks", F.col("start") + 1, F.col("n")) == F.col("want"))
+    found = same.select(key, "name", "start", (F.col("start") + F.col("n")).alias("end"))
     w = Window.partitionBy(key).orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     return found.withColumn("_far", F.max("end").over(w)).where(F.col("_far").isNull() | (F.col("end") > F.col("_far"))).drop("_far")
 

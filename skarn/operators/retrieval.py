@@ -22,12 +22,17 @@ BROADCAST_TERMS = 200_000
 
 
 def postings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """term, docid, dl, tf of the wanted terms, and one row for each document under ITSELF, written once. Texts are read and tokenised in one pass."""
-    toks = docs.select("docid", C.tokens("text").alias("toks")).select("docid", F.size("toks").alias("dl"), F.explode(F.array_append("toks", F.lit(ITSELF))).alias("term"))
+    """term, docid, dl, tf of the wanted terms, and one row for each document under ITSELF, written once.
+
+    A text's terms are counted inside its row, so neither tokens nor counts are shuffled while the
+    wanted terms go to every task.
+    """
+    itself = F.struct(F.lit(ITSELF).alias("term"), F.lit(1).alias("tf"))
+    rows = C.term_counts(docs, "docid", "text").select("docid", "dl", F.explode(F.array_append("counts", itself)).alias("c")).select("c.term", "docid", "dl", "c.tf")
     kept = saved(wanted.select("term").unionByName(wanted.sparkSession.createDataFrame([(ITSELF,)], "term string")).distinct())
-    # Few wanted terms go to every task, so other tokens are never shuffled; many are joined by a shuffle
+    # Few wanted terms go to every task; many are joined by a shuffle
     kept = F.broadcast(kept) if kept.count() <= BROADCAST_TERMS else kept
-    return saved(toks.join(kept, "term").groupBy("term", "docid", "dl").agg(F.count("*").alias("tf")))
+    return saved(rows.join(kept, "term"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -35,7 +40,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> D
 
     A query's repeated token counts again. Null texts have no tokens and count as no documents.
     """
-    terms = queries.select("qid", F.explode(C.tokens("text")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    terms = C.term_counts(queries, "qid", "text").select("qid", F.explode("counts").alias("c")).select("qid", "c.term", F.col("c.tf").alias("qtf")).groupBy("qid", "term").agg(F.sum("qtf").alias("qtf"))
     posted = postings(docs, terms)
     # One row of totals, so its broadcast has a fixed size
     stats = posted.where(F.col("term") == ITSELF).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))

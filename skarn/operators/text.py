@@ -34,9 +34,8 @@ def set_join(left: DataFrame, right: DataFrame, a: str, b: str, least: float) ->
 
 def hash_embedding(df: DataFrame, key: str, text: str, buckets: int = 16, weight: float = 0.08) -> DataFrame:
     """Key and a vector; tokens fall into buckets by the first byte of their sha1, weight for each, length 1, six places."""
-    own = df.select(key, F.explode_outer(C.tokens(text)).alias("t"))
-    at = F.conv(F.substring(F.sha1("t"), 1, 2), 16, 10).cast("int") % buckets
-    sums = own.groupBy(key).agg(*[(F.count_if(at == k) * weight).alias(f"b{k}") for k in range(buckets)])
+    own = C.term_counts(df, key, text).select(key, F.explode_outer("counts").alias("c")).select(key, "c.tf", (F.conv(F.substring(F.sha1("c.term"), 1, 2), 16, 10).cast("int") % buckets).alias("at"))
+    sums = own.groupBy(key).agg(*[(F.coalesce(F.sum(F.when(F.col("at") == k, F.col("tf"))), F.lit(0)) * weight).alias(f"b{k}") for k in range(buckets)])
     norm = F.sqrt(sum((F.col(f"b{k}") * F.col(f"b{k}") for k in range(buckets)), F.lit(0.0)))
     sized = sums.withColumn("norm", norm)
     return sized.select(key, F.array(*[F.round(F.when(F.col("norm") > 0, F.col(f"b{k}") / F.col("norm")).otherwise(0.0), 6) for k in range(buckets)]).alias("embedding"))

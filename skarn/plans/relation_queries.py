@@ -181,8 +181,9 @@ def rule_join(spark, d):
 
 
 @add(r"""WITH n AS (SELECT DISTINCT t AS toks FROM (SELECT regexp_extract_all(lower(text), '[a-z0-9가-힣]+')[1:3 + item_id % 20] AS t FROM benchmark) WHERE len(t) >= 3), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9가-힣]+') AS toks FROM documents),
-l AS (SELECT DISTINCT len(toks) AS n FROM n), g AS (SELECT doc_id, n, s, toks[s:s + n - 1] AS gram FROM (SELECT doc_id, toks, n, unnest(range(1, len(toks) - n + 2)) AS s FROM d, l WHERE len(toks) >= n)),
-f AS (SELECT doc_id, array_to_string(gram, ' ') AS name, CAST(s - 1 AS INT) AS "start", CAST(s - 1 + g.n AS INT) AS "end" FROM g JOIN n ON gram = toks),
+g AS (SELECT doc_id, s, toks[s] AS a, toks[s + 1] AS b, toks[s + 2] AS c FROM (SELECT doc_id, toks, unnest(range(1, len(toks) - 1)) AS s FROM d)),
+h AS (SELECT doc_id, s, toks AS want FROM g JOIN n ON a = toks[1] AND b = toks[2] AND c = toks[3]),
+f AS (SELECT doc_id, array_to_string(want, ' ') AS name, CAST(s - 1 AS INT) AS "start", CAST(s - 1 + len(want) AS INT) AS "end" FROM h JOIN d USING (doc_id) WHERE toks[s:s + len(want) - 1] = want),
 w AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY "start", "end" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM f)
 SELECT doc_id, name, "start", "end" FROM w WHERE far IS NULL OR "end" > far""")
 def dictionary_join(spark, d):

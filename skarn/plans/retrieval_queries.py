@@ -9,6 +9,7 @@ from ..functions import columns as C
 from ..operators import retrieval as R
 from ..operators import text as X
 from ..operators import windows as W
+from ..operators.state import saved
 from .base import Registry, read
 
 REGISTRY = Registry()
@@ -45,8 +46,8 @@ def _bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
 
 def _dense(spark: SparkSession, d: str, k: int) -> DataFrame:
     """The k nearest documents of each item by hash embeddings."""
-    base = X.hash_embedding(_docs(spark, d), "docid", "text").withColumnRenamed("embedding", "v")
-    asked = X.hash_embedding(_items(spark, d), "qid", "text").withColumnRenamed("embedding", "v")
+    base = saved(X.hash_embedding(_docs(spark, d), "docid", "text").withColumnRenamed("embedding", "v"))
+    asked = saved(X.hash_embedding(_items(spark, d), "qid", "text").withColumnRenamed("embedding", "v"))
     return R.knn_cosine(base, asked, k).select("qid", "docid", "score", "rank")
 
 
