@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbers import at_ranks
+
 
 def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """The run with rel (0 where unjudged)."""
@@ -123,16 +125,18 @@ def token_f1(pairs: DataFrame, key: str, pred: str, gold: str) -> DataFrame:
 
 def latency(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """p50, p95, p99 by linear interpolation, and the mean, two places."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return df.groupBy(*by).agg(F.count(value).alias("n"), p.alias("p"), F.avg(value).alias("m")).select(*by, "n", *[F.round(F.col("p")[i], 2).alias(c) for i, c in enumerate(("p50", "p95", "p99"))], F.round("m", 2).alias("mean"))
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    place = {k: (F.col("n") - 1) * q for k, q in shares.items()}
+    found = at_ranks(df, by, value, {f"{k}{side}": (F.floor(x) if side == "lo" else F.ceil(x)) + 1 for k, x in place.items() for side in ("lo", "hi")})
+    mid = lambda k: F.col(f"{k}lo") + (F.col(f"{k}hi") - F.col(f"{k}lo")) * (place[k] - F.floor(place[k]))
+    mean = df.groupBy(*by).agg(F.avg(value).alias("m"))
+    out = found.join(mean, list(by)) if by else found.join(F.broadcast(mean))
+    return out.select(*by, "n", *[F.round(mid(k), 2).alias(k) for k in shares], F.round("m", 2).alias("mean"))
 
 
 def nearest_rank(df: DataFrame, value: str, by: Sequence[str], q: float = 0.95) -> DataFrame:
     """The value at place round(q * (n - 1)), halves to even, counted from 0."""
-    w = Window.partitionBy(*by)
-    order = F.row_number().over(w.orderBy(value)) - 1
-    own = df.where(F.col(value).isNotNull()).withColumn("_i", order).withColumn("_n", F.count("*").over(w))
-    return own.where(F.col("_i") == F.bround(q * (F.col("_n") - 1)).cast("long")).select(*by, F.col("_n").alias("n"), F.col(value).alias("p95"))
+    return at_ranks(df, by, value, {"p95": F.bround((F.col("n") - 1) * q) + 1}).select(*by, "n", "p95")
 
 
 def best_setting(results: DataFrame, setting: Sequence[str], score: str) -> DataFrame:

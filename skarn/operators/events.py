@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +36,45 @@ def surge(events: DataFrame, by: Sequence[str], recent_hours: int = 3, baseline_
     return out.withColumn("is_surge", (F.col("surge") >= ratio) & (F.col("recent") >= least))
 
 
-def surge_score(count: Column, ratio: Column, cohesion: Column, spatial: Column, risk: Column) -> Column:
-    """.30 count + .25 surge + .20 cohesion + .15 place + .10 risk, each at most 1, four places."""
+def surge_score(count: Column, ratio: Column, cohesion: Column, spatial: Column, risk: Column, least: int = 3, least_ratio: float = 2.5) -> Column:
+    """.30 count + .25 surge + .20 cohesion + .15 place + .10 risk, each at most 1, four places; count and surge as shares of what makes a surge."""
     cap = lambda c: F.least(F.lit(1.0), c)
-    return F.round(C.clamp(0.30 * cap(count / 10.0) + 0.25 * cap(ratio / 5.0) + 0.20 * cohesion + 0.15 * spatial + 0.10 * risk), 4)
+    return F.round(C.clamp(0.30 * cap(count / float(max(least, 1))) + 0.25 * cap(ratio / max(least_ratio, 1.0)) + 0.20 * cohesion + 0.15 * spatial + 0.10 * risk), 4)
+
+
+def similar_before(events: DataFrame, clusters: DataFrame, threshold: float, days: int = 7, block: int = 8192, cluster_block: int = 512) -> DataFrame:
+    """Cluster, older and baseline: events (id, ts, region, v) of the `days` before a cluster's recent part whose vector is near its centre and whose region is compatible, and their daily mean.
+
+    clusters: cluster, region, v (centre), as_of and since (the recent part begins). Both sides are dealt
+    into blocks of bounded size; a pair of blocks is one matrix product that gives counts. A cluster
+    without such events has 0. Zero vectors are near to nothing; regions are compatible as F09 has it.
+    """
+    n, m = max(1, -(-events.count() // block)), max(1, -(-clusters.count() // cluster_block))
+    deal = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    vector = F.col("v").cast("array<double>").alias("v")
+    region = F.when(F.lower(F.trim("region")).isin("", "unknown"), None).otherwise(F.col("region")).alias("region")
+    left = events.where("v is not null and ts is not null").select(F.unix_micros("ts").alias("t"), region, vector, deal("id", n).alias("p")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    right = clusters.select("cluster", region, vector, F.unix_micros("since").alias("hi"), F.unix_micros(F.col("as_of") - F.expr(f"interval {days} days")).alias("lo"), deal("cluster", m).alias("q")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    kind = clusters.schema["cluster"].dataType
+
+    def unit(t: pa.Table) -> np.ndarray:
+        x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        count = np.zeros(b.num_rows, np.int64)
+        if a.num_rows and b.num_rows:
+            near = unit(b) @ unit(a).T >= threshold
+            t = a.column("t").to_numpy()
+            near &= (t >= b.column("lo").to_numpy()[:, None]) & (t < b.column("hi").to_numpy()[:, None])
+            names, own = a.column("region").to_pylist(), b.column("region").to_pylist()
+            known = {r: np.array([x is None or r is None or x == r or x.startswith(r) or r.startswith(x) or x[:2] == r[:2] for x in names]) for r in set(own)}
+            count = np.array([(near[i] & known[r]).sum() for i, r in enumerate(own)], np.int64)
+        return pa.table({"cluster": b.column("cluster"), "older": pa.array(count, pa.int64())})
+
+    found = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(run, f"cluster {kind.simpleString()}, older long")
+    return found.groupBy("cluster").agg(F.sum("older").alias("older")).withColumn("baseline", F.round(F.col("older") / float(max(days, 1)), 6))
 
 
 def spatial_score(regions: Column) -> Column:
@@ -161,10 +198,16 @@ def operational(events: DataFrame, by: Sequence[str], closed: Sequence[str]) ->
     )
 
 
-def dispersed_noise(events: DataFrame, by: str, region: str, as_of: Column | None = None, recent_hours: int = 3) -> DataFrame:
-    """groups over three regions or more, a span over 12 hours, few recent events and no dominant region."""
-    own = with_as_of(events, as_of)
-    age = F.unix_timestamp("as_of") - F.unix_timestamp("ts")
-    cells = own.groupBy(by).agg(F.countDistinct(region).alias("regions"), ((F.max(F.unix_timestamp("ts")) - F.min(F.unix_timestamp("ts"))) / 3600.0).alias("span_hours"), F.count_if(age <= recent_hours * 3600).alias("recent"))
-    share = dominant(own, [by], region).select(by, "share")
-    return cells.join(share, by).where((F.col("regions") >= 3) & (F.col("span_hours") > max(4 * recent_hours, 12)) & (F.col("recent") <= 1000) & (F.col("share") < 0.5)).select(by, "regions", "recent", "share")
+def dispersed_noise(events: DataFrame, by: str, region: str, least: int = 5, recent_hours: int = 3, most_share: float = 0.4) -> DataFrame:
+    """groups of `least` events or more over three regions or more, a span over four recent windows (12 hours at least), fewer than `least` events in the window before the group's last one, and no region with `most_share` of all its events.
+
+    Region names are compared with blanks trimmed and runs of them as one; blank and null ones are none
+    but count among all events. Events without a time take no part.
+    """
+    name = F.nullif(F.trim(F.regexp_replace(region, "\\s+", " ")), F.lit(""))
+    own = events.where("ts is not null").select(by, F.unix_micros("ts").alias("t"), name.alias("r"))
+    cells = own.groupBy(by, "r").agg(F.count("*").alias("c"), F.min("t").alias("lo"), F.max("t").alias("hi"))
+    groups = cells.groupBy(by).agg(F.sum("c").alias("n"), F.count("r").alias("regions"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(F.when(F.col("r").isNotNull(), F.col("c"))).alias("top"))
+    wide = groups.where((F.col("n") >= least) & (F.col("regions") >= 3) & ((F.col("hi") - F.col("lo")) / 3.6e9 > max(4 * recent_hours, 12)) & (F.col("top") / F.col("n") < most_share))
+    late = own.join(wide.select(by, "hi"), by).where(F.col("t") >= F.col("hi") - int(recent_hours * 3.6e9)).groupBy(by).agg(F.count("*").alias("recent"))
+    return wide.join(late, by).where(F.col("recent") < least).select(by, "regions", "recent", F.round(F.col("top") / F.col("n"), 6).alias("share"))

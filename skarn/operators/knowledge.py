@@ -171,11 +171,15 @@ def gates(values: DataFrame, limits: Sequence[tuple[str, str, float]]) -> DataFr
     return rows.join(F.broadcast(rows.agg(F.every("passed").alias("all_passed"))))
 
 
-def confidence(parts: Sequence[tuple[Column, float]], bonus: Column, cap: float) -> Column:
-    """Weighted mean of the known parts, with the weights scaled to them, and a capped bonus; at most 1, four places."""
-    w = sum((F.when(c.isNotNull(), v).otherwise(0.0) for c, v in parts), F.lit(0.0))
-    s = sum((F.coalesce(c * v, F.lit(0.0)) for c, v in parts), F.lit(0.0))
-    return F.round(F.least(F.lit(1.0), F.when(w > 0, s / w).otherwise(0.0) + F.least(bonus, F.lit(cap))), 4)
+def confidence(parts: Sequence[tuple[Column, float, Column | None]], bonus: Column, cap: float) -> Column:
+    """Weighted mean of the parts (value, weight, whether it is left out), with the weights scaled to those that count, and a capped bonus; from 0 to 1, four places.
+
+    A missing value counts as 0 and keeps its weight; only a part that is left out (a pending result) gives up its weight.
+    """
+    out = [(c, v, F.lit(False) if x is None else F.coalesce(x, F.lit(False))) for c, v, x in parts]
+    w = sum((F.when(x, 0.0).otherwise(v) for _, v, x in out), F.lit(0.0))
+    s = sum((F.when(x, 0.0).otherwise(F.coalesce(c * v, F.lit(0.0))) for c, v, x in out), F.lit(0.0))
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(w > 0, s / w + F.least(bonus, F.lit(cap))).otherwise(0.0))), 4)
 
 
 def merged_candidates(lists: DataFrame, key: str, k: int, most: int = 4) -> DataFrame:

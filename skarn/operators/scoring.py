@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbers import running
+
 
 def candidates(hits: DataFrame, query: str, group: str, score: str, bonus: float = 0.02, most: int = 3, top: int = 3) -> DataFrame:
     """Per query and group the best score plus a bonus for further hits (up to `most`), ranked, with the margin to the next."""
@@ -24,17 +28,40 @@ def votes(ballots: DataFrame, item: str, choice: str, weight: str, order: str) -
     return ranked.select(item, F.col("r")[0][choice].alias("primary"), F.try_element_at("r", F.lit(2))[choice].alias("secondary"))
 
 
+def student_p(t: float, df: int) -> float:
+    """Two-sided p value of Student's t with a whole number of degrees of freedom, by its finite series in the angle atan(t / sqrt(df))."""
+    theta = math.atan(abs(t) / math.sqrt(df))
+    cos, sin = math.cos(theta), math.sin(theta)
+    term, total = (cos, 0.0) if df % 2 else (1.0, 0.0)
+    for k in range(df // 2):
+        total += term
+        term *= cos * cos * ((2 * k + 2) / (2 * k + 3) if df % 2 else (2 * k + 1) / (2 * k + 2))
+    inside = 2 / math.pi * (theta + sin * total) if df % 2 else sin * total
+    return min(1.0, max(0.0, 1 - inside))
+
+
 def compare(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
-    """Paired comparison of two runs' scores: number, mean difference and t statistic."""
+    """Paired comparison of two runs' scores: number, mean difference, t statistic and the two-sided p value of Student's t with n - 1 degrees of freedom.
+
+    With fewer than two pairs t and p are null; without any spread t is 0 and p is 1.
+    """
     d = a.join(b.withColumnRenamed(value, "_b"), key).select((F.col(value) - F.col("_b")).alias("d"))
-    sums = d.agg(F.count("*").alias("n"), F.avg("d").alias("m"), F.stddev_samp("d").alias("s"))
-    return sums.select("n", F.round("m", 6).alias("mean_diff"), F.round(F.when(F.col("s") > 0, F.col("m") / (F.col("s") / F.sqrt("n"))).otherwise(0.0), 6).alias("t"))
+    sums = d.agg(F.count("d").alias("n"), F.avg("d").alias("m"), F.stddev_samp("d").alias("s"))
+    t = F.when(F.col("n") > 1, F.when(F.col("s") > 0, F.col("m") / (F.col("s") / F.sqrt("n"))).otherwise(0.0))
+
+    def run(batches):  # one row
+        for b in batches:
+            p = [None if x is None else student_p(x, n - 1) for n, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(p, pa.float64())], names=["n", "m", "t", "p"])
+
+    full = sums.select("n", "m", t.alias("t")).mapInArrow(run, "n long, m double, t double, p double")
+    return full.select("n", F.round("m", 6).alias("mean_diff"), F.round("t", 6).alias("t"), F.round("p", 6).alias("p"))
 
 
 def folds(rows: DataFrame, stratum: str, key: str, k: int) -> DataFrame:
     """Fold 0..k-1 of each row, even within every stratum, in an order fixed by the key's hash."""
-    w = Window.partitionBy(stratum).orderBy(F.sha1(F.col(key).cast("string")), key)
-    return rows.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    own = rows.withColumn("_h", F.sha1(F.col(key).cast("string")))
+    return running(own, ["_h", key], [stratum], name="fold").withColumn("fold", ((F.col("fold") - 1) % k).cast("int")).drop("_h")
 
 
 def composite(rows: DataFrame, parts: Sequence[tuple[Column, float]], order: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbers import running
+
 
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
@@ -40,8 +42,7 @@ def add_missing(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFram
 
 def unique_ids(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     """The second and later rows of a key get #2, #3."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("_n", n).withColumn(key, F.when(F.col("_n") > 1, F.concat(F.col(key).cast("string"), F.lit("#"), F.col("_n").cast("string"))).otherwise(F.col(key).cast("string"))).drop("_n")
+    return running(df, order, [key], name="_n").withColumn(key, F.when(F.col("_n") > 1, F.concat(F.col(key).cast("string"), F.lit("#"), F.col("_n").cast("string"))).otherwise(F.col(key).cast("string"))).drop("_n")
 
 
 def min_max(x: Column, over: Window | None = None) -> Column:

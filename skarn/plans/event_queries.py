@@ -42,13 +42,13 @@ def surge_counts(spark, d):
     return _surge(spark, d)
 
 
-@add(SURGE + """, x AS (SELECT department, region, round(greatest(0, least(1, 0.30 * least(1, recent / 10.0) + 0.25 * least(1, surge / 5.0) + 0.20 * 0.5 + 0.15 * 1.0 + 0.10 * 0.2))::DOUBLE, 4) AS score FROM s)
-SELECT department, region, score, CASE WHEN score >= 0.7 THEN 'critical' WHEN score >= 0.5 THEN 'high' WHEN score >= 0.3 THEN 'medium' ELSE 'low' END AS severity, substr(sha1(department || '|' || region), 1, 12) AS alert_id FROM x""")
+@add(SURGE + """, x AS (SELECT department, region, round(greatest(0, least(1, 0.30 * least(1, recent / 3.0) + 0.25 * least(1, surge / 2.5) + 0.20 * 0.5 + 0.15 * 1.0 + 0.10 * 0.2))::DOUBLE, 4) AS score FROM s)
+SELECT department, region, score, CASE WHEN score >= 0.85 THEN 'CRITICAL' WHEN score >= 0.7 THEN 'WARNING' WHEN score >= 0.5 THEN 'WATCH' ELSE 'none' END AS severity, substr(sha1(department || '|' || region), 1, 12) AS alert_id FROM x""")
 def surge_score_bands(spark, d):
     s = _surge(spark, d)
     score = V.surge_score(F.col("recent"), F.col("surge"), F.lit(0.5), V.spatial_score(F.lit(1)), F.lit(0.2))
     out = s.withColumn("score", score)
-    return out.select("department", "region", "score", C.band(F.col("score"), (0.7, "critical"), (0.5, "high"), (0.3, "medium"), rest="low").alias("severity"), C.content_id(F.col("department"), F.col("region")).alias("alert_id"))
+    return out.select("department", "region", "score", C.band(F.col("score"), (0.85, "CRITICAL"), (0.7, "WARNING"), (0.5, "WATCH"), rest="none").alias("severity"), C.content_id(F.col("department"), F.col("region")).alias("alert_id"))
 
 
 @add(EV + "SELECT department, count(*) AS n_open, round(avg(minutes), 4) AS avg_minutes FROM ev WHERE status = 'open' AND minutes >= 50 GROUP BY department HAVING count(*) >= 3")
@@ -182,3 +182,26 @@ def admin_overview_issues(spark, d):
 @add("SELECT count(*) AS n, max(o_orderdate) AS last_date, count(*) FILTER (o_orderstatus = 'O') AS n_open, count(*) FILTER (o_totalprice > 200000) AS n_high, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_key FROM orders")
 def dashboard_state(spark, d):
     return read(spark, d, "orders").agg(F.count("*").alias("n"), F.max("o_orderdate").alias("last_date"), F.count_if(F.col("o_orderstatus") == "O").alias("n_open"), F.count_if(F.col("o_totalprice") > 200000).alias("n_high"), F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("last_key"))
+
+
+@add("""WITH e AS (SELECT json_extract_string(props, '$.k') AS k, epoch_us(ts) AS t, 'R' || (user_id % 5) AS r FROM events),
+c AS (SELECT k, r, count(*) AS c FROM e GROUP BY ALL), g AS (SELECT k, sum(c)::BIGINT AS n, count(*) AS regions, max(c) AS top FROM c GROUP BY k), s AS (SELECT k, min(t) AS lo, max(t) AS hi FROM e GROUP BY k),
+l AS (SELECT e.k, count(*) AS recent FROM e JOIN s USING (k) WHERE t >= hi - 10800000000 GROUP BY e.k)
+SELECT k, regions, recent, round(top / n, 6) AS share FROM g JOIN s USING (k) JOIN l USING (k) WHERE n >= 5 AND regions >= 3 AND (hi - lo) / 3600000000 > 12 AND recent < 5 AND top / n < 0.4""")
+def dispersed_keywords(spark, d):
+    e = read(spark, d, "events").select(F.get_json_object("props", "$.k").alias("k"), "ts", F.concat(F.lit("R"), (F.col("user_id") % 5).cast("string")).alias("region"))
+    return V.dispersed_noise(e, "k", "region")
+
+
+@add("""WITH e AS (SELECT event_id AS id, ts, 'R' || (user_id % 5) AS region, embedding::DOUBLE[] AS v FROM events JOIN embeddings ON vec_id = event_id % 500), m AS (SELECT max(ts) AS as_of FROM events),
+x AS (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings), c AS (SELECT label AS cluster, list(a ORDER BY i) AS v FROM (SELECT label, i, round(avg(x), 6) AS a FROM x GROUP BY ALL) GROUP BY label)
+SELECT cluster, count(*) FILTER (near) AS older, round(count(*) FILTER (near) / 7.0::DOUBLE, 6) AS baseline FROM (SELECT cluster, ts >= as_of - INTERVAL 7 DAY AND ts < as_of - INTERVAL 3 HOUR AND (cluster % 6 = 5 OR region = 'R' || (cluster % 6)) AND list_cosine_similarity(e.v, c.v) >= 0.25 AS near FROM c, e, m) GROUP BY cluster""")
+def similar_baselines(spark, d):
+    emb = read(spark, d, "embeddings")
+    e = read(spark, d, "events").withColumn("vec_id", F.col("event_id") % 500).join(emb, "vec_id")
+    e = e.select(F.col("event_id").alias("id"), "ts", F.concat(F.lit("S"), (F.col("user_id") % 5).cast("string"), F.lit("x")).alias("region"), F.col("embedding").alias("v"))
+    mean = emb.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg("x"), 6).alias("x")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v"))
+    as_of = e.agg(F.max("ts").alias("as_of"))
+    region = F.when(F.col("label") % 6 != 5, F.concat(F.lit("S"), (F.col("label") % 6).cast("string"), F.lit("x")))
+    clusters = mean.join(F.broadcast(as_of)).select(F.col("label").alias("cluster"), region.alias("region"), "v", "as_of", (F.col("as_of") - F.expr("interval 3 hours")).alias("since"))
+    return V.similar_before(e, clusters, 0.25)

@@ -202,12 +202,13 @@ def quality_gates(spark, d):
     return K.gates(v, [("quality", "least", 0.2), ("toxic", "most", 0.01), ("n", "least", 10)]).withColumn("value", F.round("value", 6))
 
 
-@add("""WITH s AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 <> 0 THEN l_discount * 10 END AS a, CASE WHEN l_linenumber % 2 = 0 THEN l_tax * 10 END AS b, l_quantity / 50 AS c FROM lineitem)
-SELECT l_orderkey, l_linenumber, round(least(1.0, (coalesce(a * 0.5, 0) + coalesce(b * 0.3, 0) + c * 0.2) / (CASE WHEN a IS NOT NULL THEN 0.5 ELSE 0 END + CASE WHEN b IS NOT NULL THEN 0.3 ELSE 0 END + 0.2)::DOUBLE + least(l_linenumber * 0.02::DOUBLE, 0.05)), 4) AS confidence FROM s""")
+@add("""WITH s AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'A' THEN l_discount * 10 END AS a, CASE WHEN l_tax > 0 THEN l_tax * 10 END AS b, l_quantity / 50 AS c, l_discount * 5 AS d, l_linestatus = 'O' AS pending FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(greatest(0.0, least(1.0, (coalesce(a, 0) * 0.3::DOUBLE + coalesce(b, 0) * 0.3::DOUBLE + c * 0.25::DOUBLE + CASE WHEN pending THEN 0 ELSE d * 0.15::DOUBLE END) / CASE WHEN pending THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END + least(l_linenumber * 0.01::DOUBLE, 0.05))), 4) AS confidence FROM s""")
 def confidence_scores(spark, d):
-    li = _li(spark, d, "l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_quantity")
-    a, b = F.when(F.col("l_linenumber") % 3 != 0, F.col("l_discount") * 10), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_tax") * 10)
-    return li.select("l_orderkey", "l_linenumber", K.confidence([(a, 0.5), (b, 0.3), (F.col("l_quantity") / 50, 0.2)], F.col("l_linenumber") * 0.02, 0.05).alias("confidence"))
+    li = _li(spark, d, "l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_quantity", "l_returnflag", "l_linestatus")
+    a, b = F.when(F.col("l_returnflag") != "A", F.col("l_discount") * 10), F.when(F.col("l_tax") > 0, F.col("l_tax") * 10)
+    parts = [(a, 0.3, None), (b, 0.3, None), (F.col("l_quantity") / 50, 0.25, None), (F.col("l_discount") * 5, 0.15, F.col("l_linestatus") == "O")]
+    return li.select("l_orderkey", "l_linenumber", K.confidence(parts, F.col("l_linenumber") * 0.01, 0.05).alias("confidence"))
 
 
 @add("""WITH o AS (SELECT o_custkey AS customer, l_suppkey % 20 AS s, max(l_discount) AS confidence, list_sort(list_distinct(list(l_returnflag || l_linestatus)))[1:2] AS e FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL)

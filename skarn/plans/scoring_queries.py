@@ -30,14 +30,26 @@ def civil_vote(spark, d):
     return S.votes(_lots(spark, d), "l_orderkey", "p_brand", "l_quantity", "l_partkey")
 
 
-@add("""WITH a AS (SELECT l_orderkey AS k, avg(l_discount) AS v FROM lineitem GROUP BY 1), b AS (SELECT l_orderkey AS k, avg(l_tax) AS v FROM lineitem GROUP BY 1), x AS (SELECT a.v - b.v AS d FROM a JOIN b USING (k))
-SELECT count(*) AS n, round(avg(d), 6) AS mean_diff, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t FROM x""")
+P_VALUE = """, y AS (SELECT count(*) AS n, avg(d) AS m, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM x), z AS (SELECT n, m, t, n - 1 AS df, atan(abs(t) / sqrt(n - 1)) AS th FROM y),
+ser AS (SELECT CASE WHEN df % 2 = 1 THEN 2 / pi() * (any_value(th) + sin(any_value(th)) * coalesce(sum(exp(lgamma(k + 1) - lgamma(k + 1.5)) * sqrt(pi()) / 2 * cos(th) ** (2 * k + 1)), 0))
+  ELSE sin(any_value(th)) * sum(exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * cos(th) ** (2 * k)) END AS inside FROM (SELECT df, th, unnest(range(0, df // 2)) AS k FROM z) GROUP BY df)
+SELECT n, round(m, 6) AS mean_diff, round(t, 6) AS t, round(least(1, greatest(0, 1 - inside)), 6) AS p FROM z, ser"""
+
+
+@add("WITH a AS (SELECT l_orderkey AS k, avg(l_discount) AS v FROM lineitem GROUP BY 1), b AS (SELECT l_orderkey AS k, avg(l_tax) AS v FROM lineitem GROUP BY 1), x AS (SELECT a.v - b.v AS d FROM a JOIN b USING (k))" + P_VALUE)
 def compare_runs(spark, d):
     li = read(spark, d, "lineitem")
     side = lambda c: li.groupBy(F.col("l_orderkey").alias("k")).agg(F.avg(c).alias("v"))
     return S.compare(side("l_discount"), side("l_tax"), "k", "v")
 
 
+@add("WITH a AS (SELECT l_partkey AS k, avg(l_discount) AS v FROM lineitem GROUP BY 1), b AS (SELECT l_partkey AS k, avg(l_tax + 0.01) AS v FROM lineitem GROUP BY 1), x AS (SELECT a.v - b.v AS d FROM a JOIN b USING (k))" + P_VALUE)
+def compare_close_runs(spark, d):
+    li = read(spark, d, "lineitem").withColumn("shifted", F.col("l_tax") + 0.01)
+    side = lambda c: li.groupBy(F.col("l_partkey").alias("k")).agg(F.avg(c).alias("v"))
+    return S.compare(side("l_discount"), side("shifted"), "k", "v")
+
+
 @add("SELECT doc_id, lang, CAST((row_number() OVER (PARTITION BY lang ORDER BY sha1(CAST(doc_id AS VARCHAR)), doc_id) - 1) % 5 AS INT) AS fold FROM documents")
 def stratified_folds(spark, d):
     return S.folds(read(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 5)

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import BUCKETS, Store
+
 from ..operators.windows import best_row, upsert
 
 
@@ -85,45 +87,21 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
-def _folders(spark: SparkSession, path: str) -> list[str]:
-    """Names in a folder; none if it is missing."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
-
-
-def _current(spark: SparkSession, path: str) -> tuple[int, dict[int, int]]:
-    """The newest complete version, and the newest one of each bucket. Folders of unfinished writes don't count."""
-    newest, buckets = -1, {}
-    for v in sorted(int(n.split("=")[1]) for n in _folders(spark, path) if n.startswith("version=")):
-        inside = _folders(spark, f"{path}/version={v}")
-        if "_SUCCESS" in inside:
-            newest = v
-            buckets |= {int(n.split("=")[1]): v for n in inside if n.startswith("bucket=")}
-    return newest, buckets
-
-
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str, buckets: Sequence[int] | None = None) -> DataFrame:
-    """The rows of a merged table as of now: of each key bucket the newest version. schema: its columns, should it hold nothing yet."""
-    _, now = _current(spark, path)
-    paths = [f"{path}/version={v}/bucket={b}" for b, v in sorted(now.items()) if buckets is None or b in buckets]
-    return spark.read.parquet(*paths) if paths else spark.createDataFrame([], schema)
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The rows of a merged table as of now. schema: its columns, should it hold nothing yet."""
+    return Store(spark, path).table("rows", schema)
 
 
-def merge_table(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], buckets: int = 64) -> DataFrame:
+def merge_table(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], buckets: int = BUCKETS, order: Sequence[str] = ()) -> DataFrame:
     """A keyed upsert as the next version of a table; versions before stay readable.
 
-    Rows are dealt into key buckets; a version holds only the buckets that the new rows touch. It is
-    always written on top of the newest one, never over it, so gaps, replays and fresh checkpoints
-    lose nothing, and a replay changes nothing. One writer at a time.
+    A key stands once: of new rows with one key the one with the largest `order` columns counts. The
+    table keeps the number of key buckets of its first write. Versions that were not completed are
+    never seen, a replay changes no row, and of two writers at once one fails with Conflict.
     """
-    newest, _ = _current(spark, path)
-    bucket = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(buckets)).cast("int")
-    dealt = new.withColumn("bucket", bucket)
-    touched = [r[0] for r in dealt.select("bucket").distinct().collect()]  # at most `buckets` numbers
-    old = read_table(spark, path, new.schema, touched)
-    merged = upsert(old.withColumn("bucket", bucket), dealt, keys)
-    merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/version={newest + 1}")
+    t = Store(spark, path).begin()
+    t.upsert("rows", new, keys, order, buckets)
+    t.commit()
     return read_table(spark, path, new.schema)
 
 
