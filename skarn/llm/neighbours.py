@@ -7,8 +7,9 @@ verified by their exact distance. Windows widen by a fixed ratio (virtual rehash
 only the added ends are counted) until the k-th verified distance is no larger than r, as closer
 vectors then have passed the threshold with high probability, or until the windows hold all.
 
-Queries come in blocks too, so a task holds one block of vectors and one block of queries, whatever
-the number of either. Recall against brute force is measured in the tests and stands in the README.
+A task holds one block of vectors, whose arrays it builds once, and AT_ONCE of the queries that stream
+past it, whatever the number of either. Each query meets each block, so with a query set that grows
+with the table what is moved grows with queries times blocks. Recall against brute force is measured in the tests and stands in the README.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-PROJECTIONS, BLOCK, QUERY_BLOCK = 128, 16_384, 16_384
+PROJECTIONS, BLOCK = 128, 16_384
 #: Queries of a block that are counted at once.
 AT_ONCE = 512
 RATIO, START = 1.15, 0.5
@@ -86,7 +87,7 @@ class Arrays:
         return [(int(q_ids[i]), int(v), float(s)) for i in range(len(q)) for v, s in zip(best_i[i], best_d[i])]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each query, ties to the smaller vec_id.
 
     vectors and queries: vec_id, embedding. Rows whose vector is null, zero, or holds a null or a
@@ -96,28 +97,37 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLO
     """
     one = lambda df: usable(df).groupBy("vec_id").agg(F.min("v").alias("v"))
     base, asked = one(vectors), one(queries)
-    sizes = base.count(), asked.count()
-    parts, q_parts = max(1, -(-sizes[0] // block)), max(1, -(-sizes[1] // query_block))
+    parts = max(1, -(-base.count() // block))
+    # Blocks of vectors are enough tasks on large tables; on small ones, queries are dealt as well
+    q_parts = max(1, -(-vectors.sparkSession.sparkContext.defaultParallelism // parts))
     deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = base.select("vec_id", "v", deal(parts, 1).alias("part"), F.size("v").alias("dims")).withColumn("q_part", every(q_parts))
-    right = asked.select("vec_id", "v", deal(q_parts, 2).alias("q_part"), F.size("v").alias("dims")).withColumn("part", every(parts))
-
-    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        v = t.column("v").combine_chunks()
-        return t.column("vec_id").to_numpy(), v.flatten().to_numpy().reshape(t.num_rows, -1)
-
-    def run(base: pa.Table, asked: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
-        if base.num_rows and asked.num_rows:
-            arrays, (q_ids, q) = Arrays(*matrix(base)), matrix(asked)
-            for i in range(0, len(q_ids), AT_ONCE):
-                rows += arrays.nearest(q_ids[i : i + AT_ONCE], q[i : i + AT_ONCE], k)
-        cols = list(zip(*rows)) or [(), (), ()]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
-
+    left = base.select(deal(parts, 1).alias("part"), F.size("v").alias("dims"), F.lit(False).alias("asks"), "vec_id", "v").withColumn("q_part", every(q_parts))
+    right = asked.select(deal(q_parts, 2).alias("q_part"), F.size("v").alias("dims"), F.lit(True).alias("asks"), "vec_id", "v").withColumn("part", every(parts))
     keys = ["part", "q_part", "dims"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
+
+    def run(batches):
+        """Of each block its vectors come first; their arrays are built once, and the block's queries stream past them."""
+        group, held, arrays = None, [], None
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4)], 1)
+            cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+            for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(key)).tolist()):
+                *own, asks = key[lo].tolist()
+                ids, v = batch.column(4).slice(lo, hi - lo).to_numpy(), batch.column(5).slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, -1)
+                if own != group:
+                    group, held, arrays = own, [], None
+                if not asks:
+                    held.append((ids, v))
+                elif held or arrays is not None:
+                    if arrays is None:
+                        arrays, held = Arrays(*(np.concatenate(x) for x in zip(*held))), []
+                    for i in range(0, len(ids), AT_ONCE):
+                        if rows := arrays.nearest(ids[i : i + AT_ONCE], v[i : i + AT_ONCE], k):
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
+    both = left.select(*keys, "asks", "vec_id", "v").unionByName(right.select(*keys, "asks", "vec_id", "v"))
+    found = both.repartition(*keys).sortWithinPartitions(*keys, "asks").mapInArrow(run, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -329,9 +329,10 @@ def test_gradients_by_finite_differences():
         assert g[k][at] == pytest.approx((up - down) / 2e-3, rel=1e-3, abs=1e-5)
 
 
-def test_neighbours_recall_and_scores(spark):
-    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    got = neighbours.search(vectors, vectors.where("vec_id % 100 = 0"), block=700, query_block=7).collect()
+def test_neighbours_recall_and_scores(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "AT_ONCE", 7)
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("*", "null as part", "1 as q_part", "'x' as dims", "true as asks", "2 as v", "0 as rank")
+    got = neighbours.search(vectors, vectors.where("vec_id % 100 = 0"), block=700).collect()
     rows = vectors.collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
     hit = total = 0
