@@ -53,8 +53,8 @@ def similar_before(events: DataFrame, clusters: DataFrame, threshold: float, day
     deal = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
     vector = F.col("v").cast("array<double>").alias("v")
     region = F.when(F.lower(F.trim("region")).isin("", "unknown"), None).otherwise(F.col("region")).alias("region")
-    left = events.where("v is not null and ts is not null").select(F.unix_micros("ts").alias("t"), region, vector, deal("id", n).alias("p")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    right = clusters.select("cluster", region, vector, F.unix_micros("since").alias("hi"), F.unix_micros(F.col("as_of") - F.expr(f"interval {days} days")).alias("lo"), deal("cluster", m).alias("q")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    left = events.where("v is not null and ts is not null").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), region, vector, deal("id", n).alias("p")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    right = clusters.select("cluster", region, vector, F.unix_micros(F.col("since").cast("timestamp")).alias("hi"), F.unix_micros((F.col("as_of") - F.expr(f"interval {days} days")).cast("timestamp")).alias("lo"), deal("cluster", m).alias("q")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     kind = clusters.schema["cluster"].dataType
 
     def unit(t: pa.Table) -> np.ndarray:
@@ -205,7 +205,7 @@ def dispersed_noise(events: DataFrame, by: str, region: str, least: int = 5, rec
     but count among all events. Events without a time take no part.
     """
     name = F.nullif(F.trim(F.regexp_replace(region, "\\s+", " ")), F.lit(""))
-    own = events.where("ts is not null").select(by, F.unix_micros("ts").alias("t"), name.alias("r"))
+    own = events.where("ts is not null").select(by, F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), name.alias("r"))
     cells = own.groupBy(by, "r").agg(F.count("*").alias("c"), F.min("t").alias("lo"), F.max("t").alias("hi"))
     groups = cells.groupBy(by).agg(F.sum("c").alias("n"), F.count("r").alias("regions"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(F.when(F.col("r").isNotNull(), F.col("c"))).alias("top"))
     wide = groups.where((F.col("n") >= least) & (F.col("regions") >= 3) & ((F.col("hi") - F.col("lo")) / 3.6e9 > max(4 * recent_hours, 12)) & (F.col("top") / F.col("n") < most_share))

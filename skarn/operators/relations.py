@@ -104,7 +104,7 @@ def live_target(links: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.9, rounds: int = 10) -> DataFrame:
-    """Personalised PageRank over edges (head, tail, weight) from seeds (node, p) for fixed rounds.
+    """Personalised PageRank over edges (head, tail, weight) from seeds (node, p) for a fixed number of rounds, an estimate; graphs.pagerank_many goes on to convergence.
 
     A node without outgoing edges gives its mass back to the seeds. State is one row for each node,
     checkpointed every few rounds.
