@@ -101,10 +101,11 @@ def _plain(c: str) -> bool:
     return "a" <= c <= "z" or "0" <= c <= "9"
 
 
-def occurrences(texts: DataFrame, key: str, text: str, aliases: DataFrame, part: int = PART, block: int = BLOCK) -> DataFrame:
+def occurrences(texts: DataFrame, key: str, text: str, aliases: DataFrame, part: int = PART, block: int = BLOCK, bounds: str = "ascii") -> DataFrame:
     """key, alias, start, end of the occurrences of aliases (alias, distinct, normalised) in normalised texts.
 
-    An alias of ASCII characters counts only between characters other than a-z and 0-9. Occurrences of
+    bounds: with ascii, an alias of ASCII characters counts only between characters other than a-z and
+    0-9; with after, any alias only before others than letters of ASCII, digits, _ and . Occurrences of
     one alias don't overlap: from the left, the next one begins after the end of the one before. Aliases
     are dealt into parts and texts into blocks of bounded size; a task builds one part's automaton and
     runs one block through it.
@@ -128,7 +129,11 @@ def occurrences(texts: DataFrame, key: str, text: str, aliases: DataFrame, part:
             for d, s, w in zip(doc[order].tolist(), start[order].tolist(), word[order].tolist()):
                 name, t = names[w], own[d]
                 e = s + len(name)
-                if name.isascii() and (s and _plain(t[s - 1]) or e < len(t) and _plain(t[e])) or last[:2] == (d, w) and s < last[2]:
+                if bounds == "ascii":
+                    inside = name.isascii() and (s > 0 and _plain(t[s - 1]) or e < len(t) and _plain(t[e]))
+                else:
+                    inside = e < len(t) and (_plain(t[e].lower()) and t[e].isascii() or t[e] in "_.")
+                if inside or last[:2] == (d, w) and s < last[2]:
                     continue
                 last = (d, w, e)
                 rows.append((keys[d], name, s, e))
@@ -153,3 +158,35 @@ def resolve(texts: DataFrame, key: str, text: str, aliases: DataFrame, **kw) ->
     many = targets.groupBy("alias").agg((F.count("*") > 1).alias("many"))
     hit = mentions(texts, key, text, aliases.where("target is not null"), **kw).select(key, "alias").distinct().join(many, "alias").join(targets, "alias")
     return hit.groupBy(key, "target").agg(F.max("many").alias("many")).withColumn("ambiguous", F.max("many").over(Window.partitionBy(key))).select(key, "target", "ambiguous")
+
+
+def squeezed(text: Column | str) -> Column:
+    """Without blanks, quotes, colons, underscores and middle dots."""
+    return F.regexp_replace(C.col(text), "[\\s_:`\"'·]+", "")
+
+
+def row_lookup(questions: DataFrame, rows: DataFrame, ranked: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
+    """Which rows a question's fields and values pick. questions: qid, text; rows: block, fields (map of text to text); ranked: qid, block, rank of a lexical search.
+
+    A field is bound where its name and one of its values, with nothing, = or : between them, stand in the
+    squeezed question and no letter, digit, _ or . follows. Returns (qid, block, state) and (qid, bindings,
+    lookup_miss). A row matches if it has a bound value in every bound field (relational division over the
+    (field, value) pairs). If rows match, those with all bound fields that don't match are excluded.
+    Questions without a match give the ranked rows instead; lookup_miss tells those that bind a field.
+    """
+    cells = rows.where("fields is not null").select("block", F.explode("fields").alias("field", "value")).where("value is not null")
+    pairs = cells.select("field", "value", squeezed("field").alias("_n")).where("_n <> '' and value <> ''").distinct()
+    names = pairs.select("field", "value", F.explode(F.array(F.concat("_n", "value"), F.concat("_n", F.lit("="), "value"), F.concat("_n", F.lit(":"), "value"))).alias("alias"))
+    asked = questions.where("qid is not null").select("qid", squeezed("text").alias("_t"))
+    hits = occurrences(asked, "qid", "_t", names.select("alias").distinct(), bounds="after", **kw)
+    bound = hits.select("qid", "alias").distinct().join(names, "alias").select("qid", "field", "value").distinct()
+    needs = bound.groupBy("qid").agg(F.countDistinct("field").alias("bindings"))
+    got = cells.join(bound, ["field", "value"]).groupBy("qid", "block").agg(F.countDistinct("field").alias("_k"))
+    matched = got.join(needs, "qid").where("_k = bindings").select("qid", "block", F.lit("matched").alias("state"))
+    found = matched.select("qid").distinct()
+    shape = cells.join(bound.select("qid", "field").distinct().join(found, "qid"), "field").groupBy("qid", "block").agg(F.countDistinct("field").alias("_k"))
+    other = shape.join(needs, "qid").where("_k = bindings").select("qid", "block").join(matched, ["qid", "block"], "left_anti").withColumn("state", F.lit("excluded"))
+    lexical = ranked.join(found, "qid", "left_anti").select("qid", "block", F.lit("ranked").alias("state"))
+    summary = questions.where("qid is not null").select("qid").distinct().join(needs, "qid", "left").join(found.withColumn("_m", F.lit(True)), "qid", "left")
+    miss = F.col("bindings").isNotNull() & F.col("_m").isNull()
+    return matched.unionByName(other).unionByName(lexical), summary.select("qid", F.coalesce("bindings", F.lit(0)).alias("bindings"), miss.alias("lookup_miss"))

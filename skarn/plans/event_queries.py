@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import duplicates as U
 from ..operators import events as V
 from ..operators import windows as W
 from .base import Registry, read
@@ -205,3 +206,37 @@ def similar_baselines(spark, d):
     region = F.when(F.col("label") % 6 != 5, F.concat(F.lit("S"), (F.col("label") % 6).cast("string"), F.lit("x")))
     clusters = mean.join(F.broadcast(as_of)).select(F.col("label").alias("cluster"), region.alias("region"), "v", "as_of", (F.col("as_of") - F.expr("interval 3 hours")).alias("since"))
     return V.similar_before(e, clusters, 0.25)
+
+
+#: Each event is a record: its place is one of 40, unknown for large values; its entities, unit and segments come from the property k.
+RECORDS = """WITH e AS (SELECT event_id AS id, ts, 'R' || (user_id % 5) AS reg, value, event_type AS request, CAST(json_extract(props, '$.k') AS INT) AS k, user_id FROM events),
+r AS (SELECT id, ts, request, k, CASE WHEN value > 15 THEN NULL ELSE reg END AS region, CASE WHEN value > 8 THEN [] ELSE ['place' || (user_id % 40)] END AS det, ['k' || k, request] AS ent, CASE WHEN k < 20 THEN [] ELSE ['u' || (k % 3)] END AS units,
+  CASE WHEN k < 50 THEN [] ELSE [[request, 'k' || (k % 10)], ['seg' || (k % 4), request]] END AS seg, [request, 'k' || k, reg] AS toks, embedding::DOUBLE[] AS v, k % 7 = 0 AS pii FROM e JOIN embeddings ON vec_id = id % 500),
+p AS (SELECT a.id AS a, b.id AS b, a.request = b.request AS same, a.ent AS e1, b.ent AS e2, a.units AS u1, b.units AS u2, a.seg AS s1, b.seg AS s2, a.toks AS t1, b.toks AS t2, a.v AS v1, b.v AS v2, a.pii OR b.pii AS pii, abs(floor(epoch(a.ts)) - floor(epoch(b.ts))) / 3600 AS h,
+  CASE WHEN a.region IS NULL AND len(a.det) = 0 AND b.region IS NULL AND len(b.det) = 0 THEN 'missing' WHEN a.region IS NULL AND len(a.det) = 0 OR b.region IS NULL AND len(b.det) = 0 THEN 'ambiguous'
+    WHEN len(a.det) > 0 AND len(b.det) > 0 THEN CASE WHEN a.det[1] = b.det[1] THEN 'exact' WHEN starts_with(a.det[1], b.det[1]) OR starts_with(b.det[1], a.det[1]) THEN 'nearby' ELSE 'conflict' END
+    WHEN a.region = b.region AND a.region = 'R0' THEN 'ambiguous' WHEN a.region = b.region THEN 'exact' ELSE 'conflict' END AS state
+  FROM (SELECT r.*, floor(epoch(ts) / 21600)::BIGINT + o AS bucket FROM r, (VALUES (-1), (0), (1)) t(o)) a JOIN (SELECT *, floor(epoch(ts) / 21600)::BIGINT AS bucket FROM r) b ON a.bucket = b.bucket AND a.id < b.id AND abs(floor(epoch(a.ts)) - floor(epoch(b.ts))) <= 21600),
+q AS (SELECT a, b, state, least(1, greatest(0, list_cosine_similarity(v1, v2))) AS semantic, CASE state WHEN 'exact' THEN 1.0 WHEN 'nearby' THEN 0.75 WHEN 'ambiguous' THEN 0.35 ELSE 0.25 END::DOUBLE AS location,
+  len(list_intersect(e1, e2)) / len(list_distinct(list_concat(e1, e2))) AS entities, same::INT::DOUBLE AS request, CASE WHEN len(u1) = 0 OR len(u2) = 0 THEN 0.5 ELSE list_has_any(u1, u2)::INT END::DOUBLE AS unit,
+  CASE WHEN h <= 24 THEN 1.0 WHEN h <= 72 THEN 0.8 WHEN h <= 168 THEN 0.4 ELSE 0 END::DOUBLE AS time,
+  CASE WHEN len(s1) = 0 OR len(s2) = 0 THEN len(list_intersect(t1, t2)) / len(list_distinct(list_concat(t1, t2))) ELSE list_max(flatten(list_transform(s1, lambda x: list_transform(s2, lambda y: len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))))))) END AS segments FROM p WHERE state <> 'conflict' AND NOT (state = 'ambiguous' AND pii)),
+s AS (SELECT *, round(greatest(0, least(1, 0.30::DOUBLE * semantic + 0.20::DOUBLE * location + 0.15::DOUBLE * entities + 0.15::DOUBLE * request + 0.10::DOUBLE * unit + 0.05::DOUBLE * time + 0.05::DOUBLE * segments)), 4) AS score FROM q)
+SELECT a, b, state, round(semantic, 4) AS semantic, location, round(entities, 4) AS entities, request, unit, time, round(segments, 4) AS segments, score FROM s WHERE score >= 0.6 AND (state <> 'ambiguous' OR score >= 0.8)"""
+
+
+@add(RECORDS)
+def duplicate_candidates(spark, d):
+    e = read(spark, d, "events").withColumn("vec_id", F.col("event_id") % 500).join(read(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id")
+    k = F.get_json_object("props", "$.k").cast("int")
+    named = e.select("*", k.alias("k"), F.concat(F.lit("R"), (F.col("user_id") % 5).cast("string")).alias("reg"))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    none = lambda kind: F.array().cast(kind)
+    segments = F.array(F.array("event_type", text("k", F.col("k") % 10)), F.array(text("seg", F.col("k") % 4), F.col("event_type")))
+    records = named.select(
+        F.col("event_id").alias("id"), "ts", F.when(~(F.col("value") > 15), F.col("reg")).alias("region"), (F.col("reg") == "R0").alias("broad"),
+        F.when(F.col("value") > 8, none("array<string>")).otherwise(F.array(text("place", F.col("user_id") % 40))).alias("details"), F.array(text("k", F.col("k")), F.col("event_type")).alias("entities"),
+        F.when(F.col("k") < 20, none("array<string>")).otherwise(F.array(text("u", F.col("k") % 3))).alias("units"), F.col("event_type").alias("request"),
+        F.when(F.col("k") < 50, none("array<array<string>>")).otherwise(segments).alias("segments"), F.array("event_type", text("k", F.col("k")), F.col("reg")).alias("toks"), F.col("embedding").alias("v"), (F.col("k") % 7 == 0).alias("pii"),
+    )
+    return U.candidates(records, hours=6, least=0.6)
