@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, graph, words
@@ -283,10 +283,12 @@ def join(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     own = common.texts(docs).withColumn("key", common.text_key())
     table = prefixes(own, k, num, den)
     known = table.where("n > 0 and doc_id is not null")
-    # A class is a set; its number stands for it from here on, and the row of its smallest doc_id shows it
-    reps = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("least")).withColumn("rep", F.monotonically_increasing_id())
-    reps = common.stage(reps, "classes")
-    stand = known.join(reps, ["h1", "h2"]).where("doc_id = least").select("rep", "least", "h1", "h2", "n", "grams").dropDuplicates(["rep"])
+    # A class is a set. Its smallest doc_id stands for it from here on, a hash where other texts have that id too; short ids keep what is moved small
+    reps = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
+    shared = F.count("*").over(Window.partitionBy("least")) > 1
+    reps = common.stage(reps.withColumn("rep", F.when(shared, F.xxhash64("h1", "h2")).otherwise(F.col("least"))), "classes")
+    first = (known.h1 == reps.h1) & (known.h2 == reps.h2) & (known.doc_id == reps.least)
+    stand = known.join(reps, first).select("rep", "least", reps.h1, reps.h2, "n", "grams").dropDuplicates(["rep"])
     posted = stand.select("rep", "n", F.explode("grams").alias("gram"))
     families = graph.components(candidate_edges(posted, num, den)).withColumnRenamed("component", "family")
     sized = stand.select("rep", "least", "h1", "h2", "n").join(families, F.col("rep") == F.col("node")).select("rep", "least", "h1", "h2", "n", "family")
