@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
 
@@ -252,3 +253,55 @@ def transitions(groups: DataFrame, requests: DataFrame, table: Mapping[tuple[str
     to = rows[F.concat_ws("/", "status", "action")]
     refused = F.when(F.col("action").isNull(), F.lit(None)).when(to.isNull(), "no such step").when(F.col("blocked") & F.col("action").isin(*guarded), "blocked")
     return asked.select("id", F.when(F.col("action").isNotNull() & refused.isNull(), to).otherwise(F.col("status")).alias("status"), refused.alias("refused"))
+
+
+def mask_strings(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Every text in df masked as P20 has it, in whatever depth of structs, arrays and map values it stands; columns of keep, map keys, nulls and other types stay as they are."""
+
+    def masked(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType):
+            return F.when(c.isNotNull(), C.mask_pii(c))
+        if isinstance(kind, T.ArrayType) and holds_text(kind.elementType):
+            return F.transform(c, lambda x: masked(x, kind.elementType))
+        if isinstance(kind, T.MapType) and holds_text(kind.valueType):
+            return F.transform_values(c, lambda k, v: masked(v, kind.valueType))
+        if isinstance(kind, T.StructType) and holds_text(kind):
+            return F.when(c.isNotNull(), F.struct(*[masked(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+        return c
+
+    def holds_text(kind: T.DataType) -> bool:
+        parts = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else [kind.valueType] if isinstance(kind, T.MapType) else []
+        return isinstance(kind, T.StringType) or any(map(holds_text, parts))
+
+    return df.select(*[F.col(f"`{f.name}`") if f.name in keep else masked(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+def validity_bounds(dates: str, evidence: str) -> Column:
+    """valid_from and valid_to of a claim's dates (array of role, value, precision, evidence_ids), as a struct of texts; null where a bound is not given.
+
+    A bound has to be given once, as a day in ISO form, with evidence ids that are all among the claim's
+    own; and the first may not lie behind the second. Anything else fails the job. Dates of other roles
+    say nothing about validity.
+    """
+    own = F.filter(dates, lambda d: d["role"].isin("valid_from", "valid_to"))
+    day = lambda v: F.coalesce(F.date_format(F.try_to_date(v, "yyyy-MM-dd"), "yyyy-MM-dd") == v, F.lit(False))
+    known = lambda ids: F.coalesce((F.size(ids) > 0) & (F.size(F.array_except(ids, F.coalesce(F.col(evidence), F.array().cast("array<string>")))) == 0), F.lit(False))
+    fine = F.forall(own, lambda d: F.coalesce(d["precision"] == "day", F.lit(False)) & day(d["value"]) & known(d["evidence_ids"]))
+    once = F.size(F.array_distinct(F.transform(own, lambda d: d["role"]))) == F.size(own)
+    value = lambda role: F.get(F.transform(F.filter(own, lambda d: d["role"] == role), lambda d: d["value"]), F.lit(0))
+    ordered = F.coalesce(value("valid_from") <= value("valid_to"), F.lit(True))
+    bounds = F.struct(value("valid_from").alias("valid_from"), value("valid_to").alias("valid_to"))
+    wrong = lambda text: F.raise_error(F.lit(text)).cast("struct<valid_from:string,valid_to:string>")
+    empty = F.lit(None).cast("struct<valid_from:string,valid_to:string>")
+    return F.when(F.col(dates).isNull(), empty).when(~(fine & once), wrong("a bound of validity needs one day and evidence of the claim")).when(~ordered, wrong("validity begins after its end")).otherwise(bounds)
+
+
+def listed(rows: DataFrame, order: Sequence[str], equal: Mapping[str, object | None] | None = None, holding: Mapping[str, object | None] | None = None) -> DataFrame:
+    """rows whose columns equal the given values and whose arrays hold them, the largest `order` first; a filter without a value (null or blank) is none."""
+    given = lambda m: [(c, v) for c, v in (m or {}).items() if v is not None and v != ""]
+    out = rows
+    for c, v in given(equal):
+        out = out.where(F.col(c) == F.lit(v))
+    for c, v in given(holding):
+        out = out.where(F.array_contains(c, v))
+    return out.orderBy(*[F.desc(c) for c in order])

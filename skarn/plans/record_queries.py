@@ -8,6 +8,7 @@ from ..functions import columns as C
 from ..operators import records as R
 from .base import Registry, read
 from .event_queries import EV, _events
+from .text_queries import _mask
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -211,3 +212,28 @@ def group_actions(spark, d):
 def analysis_texts(spark, d):
     own = read(spark, d, "conversations").select("conv_id", "turn", R.analysis_text(F.col("role"), F.lit(" "), F.col("text")).alias("t"))
     return own.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "t"))), lambda x: x["t"]), " ").alias("body"))
+
+
+@add(f"SELECT conv_id, turn, role, {_mask('text')} AS masked FROM conversations WHERE text IS NOT NULL")
+def masked_turns(spark, d):
+    turn = F.struct("turn", "role", F.create_map(F.lit("body"), F.col("text")).alias("parts"))
+    whole = read(spark, d, "conversations").where("text is not null").groupBy("conv_id").agg(F.collect_list(turn).alias("turns"))  # a conversation's own turns
+    one = R.mask_strings(whole).select("conv_id", F.explode("turns").alias("t"))
+    return one.select("conv_id", "t.turn", "t.role", F.col("t.parts")["body"].alias("masked"))
+
+
+@add("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS valid_from, CASE WHEN o_orderstatus <> 'O' THEN strftime(o_orderdate + INTERVAL 90 DAY, '%Y-%m-%d') END AS valid_to FROM orders""")
+def validity_windows(spark, d):
+    date = lambda role, c: F.struct(F.lit(role).alias("role"), F.date_format(c, "yyyy-MM-dd").alias("value"), F.lit("day").alias("precision"), F.array("o_orderpriority").alias("evidence_ids"))
+    first, last = date("valid_from", F.col("o_orderdate")), date("valid_to", F.col("o_orderdate") + F.expr("interval 90 days"))
+    seen = F.struct(F.lit("seen").alias("role"), F.lit("unclear").alias("value"), F.lit("year").alias("precision"), F.lit(None).cast("array<string>").alias("evidence_ids"))
+    dates = F.when(F.col("o_orderstatus") != "O", F.array(last, seen, first)).otherwise(F.array(first, seen))
+    own = read(spark, d, "orders").withColumn("dates", dates).withColumn("evidence", F.array("o_orderpriority", F.lit("other")))
+    return own.select("o_orderkey", R.validity_bounds("dates", "evidence").alias("v")).select("o_orderkey", "v.valid_from", "v.valid_to")
+
+
+@add("""SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey = 7)""")
+def listed_orders(spark, d):
+    lines = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_suppkey").alias("suppliers"))  # an order's own lines
+    own = read(spark, d, "orders").join(lines, "o_orderkey", "left")
+    return R.listed(own, ["o_totalprice", "o_orderkey"], {"o_orderstatus": "F", "o_orderpriority": None}, {"suppliers": 7}).select("o_orderkey", "o_totalprice")

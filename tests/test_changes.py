@@ -144,3 +144,38 @@ def test_duplicate_pairs_match_all_pairs(spark):
         assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1.1e-4 for k in want)
     assert {s for s, _ in want.values()} == {"exact", "nearby", "ambiguous", "missing"}
     assert U.candidates(df.limit(0)).count() == 0
+
+
+def test_nested_texts_are_masked(spark):
+    from skarn.operators import records as R
+
+    kind = "id string, n int, s struct<a:string,b:array<struct<c:string,d:int>>>, m map<string,string>, x array<int>"
+    rows = [("a@b.co", 1, ("x a@b.co", [("010-1234-5678", 2), (None, 3)]), {"a@b.co": "a@b.co"}, [1]), (None, None, None, None, None)]
+    got = R.mask_strings(spark.createDataFrame(rows, kind), keep=["id"]).collect()
+    mail, phone = "[REDACTED:EMAIL]", "[REDACTED:PHONE]"
+    assert got[0] == ("a@b.co", 1, (f"x {mail}", [(phone, 2), (None, 3)]), {"a@b.co": mail}, [1]) and tuple(got[1]) == (None,) * 5
+
+
+def test_bounds_of_validity(spark):
+    import pytest
+
+    from skarn.operators import records as R
+
+    kind = "k int, dates array<struct<role:string,value:string,precision:string,evidence_ids:array<string>>>, evidence array<string>"
+    d = lambda role, value, precision="day", ids=("e1",): (role, value, precision, list(ids))
+    both = [d("valid_to", "2024-02-29"), d("event", "never", None, ()), d("valid_from", "2024-01-01", ids=("e1", "e2"))]
+    rows = [(1, both, ["e1", "e2"]), (2, [d("valid_from", "2024-01-01")], ["e1"]), (3, [], None), (4, None, ["e1"]), (5, [d("event", None)], None)]
+    got = {r.k: tuple(r.v) if r.v else None for r in spark.createDataFrame(rows, kind).select("k", R.validity_bounds("dates", "evidence").alias("v")).collect()}
+    assert got == {1: ("2024-01-01", "2024-02-29"), 2: ("2024-01-01", None), 3: (None, None), 4: None, 5: (None, None)}
+    wrong = [[d("valid_from", "2024-1-1")], [d("valid_from", "2023-02-29")], [d("valid_to", "2024-01-01", "month")], [d("valid_to", "2024-01-01", ids=())], [d("valid_to", "2024-01-01", ids=("e9",))], [d("valid_to", None)], [d("valid_to", "2024-01-01")] * 2, [d("valid_from", "2024-02-01"), d("valid_to", "2024-01-01")]]
+    for dates in wrong:
+        with pytest.raises(Exception, match="validity"):
+            spark.createDataFrame([(1, dates, ["e1"])], kind).select(R.validity_bounds("dates", "evidence").alias("v")).collect()
+
+
+def test_listing_filters_only_by_given_values(spark):
+    from skarn.operators import records as R
+
+    df = spark.createDataFrame([(1, "a", ["x"], 0.5), (2, "a", ["x", "y"], 0.9), (3, "b", None, 0.7)], "k int, status string, members array<string>, c double")
+    ids = lambda **kw: [r.k for r in R.listed(df, ["c"], **kw).collect()]
+    assert ids() == [2, 3, 1] and ids(equal={"status": "a"}, holding={"members": None}) == [2, 1] and ids(equal={"status": ""}, holding={"members": "y"}) == [2] and ids(holding={"members": "z"}) == []
