@@ -288,7 +288,8 @@ def join(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     shared = F.count("*").over(Window.partitionBy("least")) > 1
     reps = common.stage(reps.withColumn("rep", F.when(shared, F.xxhash64("h1", "h2")).otherwise(F.col("least"))), "classes")
     first = (known.h1 == reps.h1) & (known.h2 == reps.h2) & (known.doc_id == reps.least)
-    stand = known.join(reps, first).select("rep", "least", reps.h1, reps.h2, "n", "grams").dropDuplicates(["rep"])
+    # Read three times below: written once, the prefixes are shuffled once
+    stand = common.stage(known.join(reps, first).select("rep", "least", reps.h1, reps.h2, "n", "grams").dropDuplicates(["rep"]), "sets")
     posted = stand.select("rep", "n", F.explode("grams").alias("gram"))
     families = graph.components(candidate_edges(posted, num, den)).withColumnRenamed("component", "family")
     sized = stand.select("rep", "least", "h1", "h2", "n").join(families, F.col("rep") == F.col("node")).select("rep", "least", "h1", "h2", "n", "family")
