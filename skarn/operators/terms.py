@@ -10,8 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import pieces
+
 #: Fixed values of V11: lengths of n-grams and the number of terms.
 SHORTEST, LONGEST, TERMS = 2, 4, 3000
+#: Terms that a task counts before it hands them on.
+HELD = 100_000
 
 
 def word_grams(text: str, shortest: int = SHORTEST, longest: int = LONGEST) -> Iterable[str]:
@@ -27,16 +31,26 @@ def word_grams(text: str, shortest: int = SHORTEST, longest: int = LONGEST) -> I
 
 
 def gram_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """term, tf and df over all texts: each task adds up its own texts first."""
+    """term, tf and df over all texts: each task adds up its own texts first, up to HELD terms at a time."""
 
     def run(batches):
-        for b in batches:
-            total, docs = Counter(), Counter()
+        total, docs = Counter(), Counter()
+
+        def flushed():
+            out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), pa.array([docs[k] for k in total], pa.int64())], names=["term", "tf", "df"])
+            total.clear()
+            docs.clear()
+            return out
+
+        for b in pieces(batches):
             for t in b.column(0).to_pylist():
                 own = Counter(word_grams(t or ""))
                 total.update(own)
                 docs.update(own.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), pa.array([docs[k] for k in total], pa.int64())], names=["term", "tf", "df"])
+            if len(total) > HELD:
+                yield flushed()
+        if total:
+            yield flushed()
 
     found = df.select(F.col(text).cast("string")).mapInArrow(run, "term string, tf long, df long")
     return found.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
@@ -57,7 +71,7 @@ def sparse_rows(df: DataFrame, key: str, text: str, terms: dict[str, tuple[int,
     shared = df.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             at, weights = [], []
             for t in b.column(1).to_pylist():
                 known = sorted((shared.value[g][0], n * shared.value[g][1]) for g, n in Counter(word_grams(t or "")).items() if g in shared.value)

@@ -2,9 +2,13 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
+from skarn.operators import retrieval as R
+from skarn.operators import terms as T
 from skarn.operators import text as X
+from skarn.operators.batches import pieces
 
 
 @pytest.mark.parametrize("few", [None, True, False])
@@ -21,3 +25,27 @@ def test_set_join(spark, few):
     frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, t array<string>")
     got = [tuple(r) for r in X.set_join(frame(left, "i"), frame(right, "j"), "i", "j", 0.4, few).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_pieces_are_bounded():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["x" * (30_000 if i % 50 == 0 else 10) for i in range(999)] + [None])], names=["id", "text"])
+    cut = list(pieces([batch.slice(0, 0), batch], rows=100, size=40_000))
+    assert [i for b in cut for i in b.column(0).to_pylist()] == list(range(1000))
+    assert all(b.num_rows <= 100 and (b.nbytes <= 40_000 or b.num_rows == 1) for b in cut) and len(cut) > 10
+
+
+def test_terms_flushed_in_between(spark, monkeypatch):
+    monkeypatch.setattr(T, "HELD", 3)
+    rows = [(i, "ab cd ab" if i % 2 else None) for i in range(600)]
+    got = {r.term: (r.tf, r.df) for r in T.gram_counts(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()}
+    assert got[" ab "] == (600, 300) and got["cd"] == (300, 300)
+
+
+def test_bm25_tasks_grow_with_postings(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b{i % 7} c") for i in range(400)], "docid long, text string")
+    asked = spark.createDataFrame([(1, "a b3"), (2, "c c")], "qid long, text string")
+    whole = sorted(map(tuple, R.bm25_top_k(docs, asked, 5).collect()))
+    monkeypatch.setattr(R, "POSTINGS", 20)
+    scored = R.bm25(docs, asked)
+    assert scored.rdd.getNumPartitions() > 40
+    assert sorted(map(tuple, R.bm25_top_k(docs, asked, 5).collect())) == whole
