@@ -9,6 +9,7 @@ from skarn.operators import retrieval as R
 from skarn.operators import terms as T
 from skarn.operators import text as X
 from skarn.operators.batches import pieces
+from skarn.plans import relation_queries
 
 
 @pytest.mark.parametrize("few", [None, True, False])
@@ -49,3 +50,23 @@ def test_bm25_tasks_grow_with_postings(spark, monkeypatch):
     scored = R.bm25(docs, asked)
     assert scored.rdd.getNumPartitions() > 40
     assert sorted(map(tuple, R.bm25_top_k(docs, asked, 5).collect())) == whole
+
+
+@pytest.mark.parametrize("extra", [[], [(0, 0), (1, 0), (0, 1), (2, 1), (3, 2), (0, 3), (4, 3), (0, 2)]])
+def test_pagerank_of_few_or_no_edges(spark, tmp_path, extra):
+    """Nations that all trade alike have no edge at all; a few that trade more have weights of halves and quarters."""
+    import duckdb
+
+    pairs = [(c, s) for c in range(25) for s in range(25)] + extra
+    con = duckdb.connect()
+    con.execute("CREATE TABLE customer AS SELECT i AS c_custkey, i AS c_nationkey FROM range(25) t(i)")
+    con.execute("CREATE TABLE supplier AS SELECT i AS s_suppkey, i AS s_nationkey FROM range(25) t(i)")
+    con.execute("CREATE TABLE orders (o_orderkey BIGINT, o_custkey BIGINT)")
+    con.execute("CREATE TABLE lineitem (l_orderkey BIGINT, l_suppkey BIGINT, l_quantity DOUBLE)")
+    con.executemany("INSERT INTO orders VALUES (?, ?)", [(i, c) for i, (c, _) in enumerate(pairs)])
+    con.executemany("INSERT INTO lineitem VALUES (?, ?, 1)", [(i, s) for i, (_, s) in enumerate(pairs)])
+    for t in ("customer", "supplier", "orders", "lineitem"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    want = con.execute(relation_queries.REGISTRY.sql["pagerank_ppr"]).fetchall()
+    got = [tuple(r) for r in relation_queries.pagerank_ppr(spark, str(tmp_path)).select("node", "score").collect()]
+    assert sorted(got) == sorted(want) and all(p is not None for _, p in want)
