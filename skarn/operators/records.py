@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
+from .state import saved
 
 #: Fixed values of P04: the institution of its own kind, endings of ministries, of offices and of local places.
 CULTURAL, MINISTRY, OFFICE, LOCAL_OFFICE, LOCAL = "국립아시아문화전당", ("부", "처"), "청", "[시도군구]청$", ("도", "시", "군", "구")
@@ -85,9 +86,23 @@ def analysis_text(*parts: Column) -> Column:
 
 def signal_values(rows: DataFrame, key: str, values: str) -> DataFrame:
     """Key and its values with single blanks, the blank ones dropped, and of those equal but for case the first, in order."""
-    own = rows.select(key, F.posexplode(values).alias("pos", "v")).withColumn("v", F.trim(F.regexp_replace("v", "\\s+", " "))).where("v <> ''")
-    first = own.groupBy(key, F.lower("v").alias("_k")).agg(F.min(F.struct("pos", "v")).alias("f"))
-    return first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list("f")), lambda x: x["v"]).alias(values))
+    def listed(df: DataFrame) -> DataFrame:
+        squeezed = F.transform(values, lambda v, i: F.struct(i.alias("pos"), F.trim(F.regexp_replace(v, "\\s+", " ")).alias("v")))
+        return df.select(key, _firsts(F.filter(squeezed, lambda x: x["v"] != "")).alias("f")).where(F.size("f") > 0)
+
+    # A row's values stay in it; only rows that repeat a key travel, to be compared with each other
+    again = saved(rows.groupBy(F.col(key).alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again"))
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    merged = listed(rows.join(again, same, "left_semi")).groupBy(key).agg(F.collect_list("f").alias("f")).select(key, _firsts(F.flatten("f")).alias("f"))
+    return listed(rows.join(again, same, "left_anti")).unionByName(merged).select(key, F.transform("f", lambda x: x["v"]).alias(values))
+
+
+def _firsts(pairs: Column) -> Column:
+    """Of (pos, v) that are equal but for case the first, in order."""
+    keyed = F.array_sort(F.transform(pairs, lambda x: F.struct(F.lower(x["v"]).alias("k"), x["pos"].alias("pos"), x["v"].alias("v"))))
+    # The sorted array is bound to a name, so it isn't made again for each element
+    first = F.flatten(F.transform(F.array(keyed), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["k"] != x["k"]))))
+    return F.array_sort(F.transform(first, lambda x: F.struct(x["pos"].alias("pos"), x["v"].alias("v"))))
 
 
 def title_of(explicit: Column, *texts: Column, kind: Column, most: int = 60) -> Column:
