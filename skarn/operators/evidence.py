@@ -262,21 +262,27 @@ def legal_citations(text: Column, known: Sequence[str] = ()) -> Column:
 
     places = F.aggregate(F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit")), begin, step)["out"]
 
+    # Each stage binds what the next one uses several times: inside a lambda nothing else keeps it from being made again
+    seen = F.transform(places, lambda x: F.struct(x["at"].alias("at"), x["raw"].alias("raw"), F.substring(own, F.greatest(F.lit(0), x["at"] - LOOK_BACK) + 1, F.least(x["at"], F.lit(LOOK_BACK))).alias("before")))
+
+    def named(x: Column) -> Column:
+        names = [F.when(F.contains(x["before"], F.lit(n)), F.lit(n)) for n in sorted({n for n in known if n}, key=lambda n: (-len(n), n))]
+        return F.struct(x["at"].alias("at"), x["raw"].alias("raw"), x["before"].alias("before"), F.coalesce(*names, F.lit("")).alias("listed"))
+
+    def tailed(x: Column) -> Column:
+        law = F.when(x["listed"] != "", x["listed"]).otherwise(F.regexp_extract(x["before"], LAW_NAME, 1))
+        return F.struct(x["at"].alias("at"), x["raw"].alias("raw"), x["before"].alias("before"), x["listed"].alias("listed"), law.alias("law"), F.regexp_extract(x["raw"], ARTICLE, 1).alias("number"), F.regexp_extract(x["raw"], ARTICLE, 2).alias("part"))
+
     def describe(x: Column) -> Column:
-        before = F.substring(own, F.greatest(F.lit(0), x["at"] - LOOK_BACK) + 1, F.least(x["at"], F.lit(LOOK_BACK)))
-        tail = F.regexp_extract(before, LAW_NAME, 1)
-        names = [F.when(F.contains(before, F.lit(n)), F.lit(n)) for n in sorted({n for n in known if n}, key=lambda n: (-len(n), n))]
-        law = F.coalesce(*names, tail)
-        listed = F.coalesce(*names, F.lit("")) != ""
+        before, law = x["before"], x["law"]
         from_right = F.position(F.reverse(law), F.reverse(before))  # the last place of the name
-        stop_of_law = F.when(listed, F.length(before) - from_right + 1).otherwise(F.length(F.rtrim(before)))
+        stop_of_law = F.when(x["listed"] != "", F.length(before) - from_right + 1).otherwise(F.length(F.rtrim(before)))
         start = F.when(law == "", x["at"]).otherwise(x["at"] - F.length(before) + stop_of_law - F.length(law))
-        number, part = F.regexp_extract(x["raw"], ARTICLE, 1), F.regexp_extract(x["raw"], ARTICLE, 2)
         plain = lambda n: F.regexp_replace(n, "^0+(?=\\d)", "")
-        article = F.concat(F.lit("제"), plain(number), F.lit("조"), F.when(part != "", F.concat(F.lit("의"), plain(part))).otherwise(""))
+        article = F.concat(F.lit("제"), plain(x["number"]), F.lit("조"), F.when(x["part"] != "", F.concat(F.lit("의"), plain(x["part"]))).otherwise(""))
         return F.struct(law.alias("law"), article.alias("article"), start.cast("int").alias("start"), (x["at"] + F.length(x["raw"])).cast("int").alias("stop"))
 
-    return F.transform(places, describe)
+    return F.transform(F.transform(F.transform(seen, named), tailed), describe)
 
 
 def without_spans(text: Column, spans: Column) -> Column:

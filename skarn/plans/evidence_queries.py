@@ -219,7 +219,8 @@ def law_urls(spark, d):
 SELECT p_partkey, '도로법|제' || CAST(size AS VARCHAR) || '조의2|' || CAST(length(p_name) + 1 AS VARCHAR) || ';|제' || CAST(p_partkey AS VARCHAR) || '조|' || CAST(strpos(text, '제' || p_partkey || '조, ') - 1 AS VARCHAR) || ';' || tail AS cited,
 replace(replace(text, '도로법 제 ' || size || ' 조의 02', '[미검증 인용 제거]'), '제' || p_partkey || '조, ', '[미검증 인용 제거], ') AS cleaned FROM (SELECT y.*, p.p_size AS size, p.p_name, '주택시행령|제7조|' || CAST(n - length('주택시행령 제7조') AS VARCHAR) AS tail FROM y JOIN part p USING (p_partkey))""")
 def legal_citations(spark, d):
-    p = read(spark, d, "part")
+    # A file of few bytes is read by one task; the work on each row is not small
+    p = read(spark, d, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
     text = F.concat(F.col("p_name"), F.lit(" 도로법 제 "), _s("p_size"), F.lit(" 조의 02, " + "z" * 60 + " 제"), _s("p_partkey"), F.lit("조, 주택시행령 제7조"))
     own = p.select("p_partkey", text.alias("text")).withColumn("c", E.legal_citations(F.col("text"), ["도로법", "없는 법"]))
     shown = F.transform("c", lambda x: F.concat_ws("|", x["law"], x["article"], x["start"].cast("string")))

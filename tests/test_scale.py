@@ -4,7 +4,10 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from skarn.operators import evidence as V
+from skarn.operators import records as N
 from skarn.operators import retrieval as R
 from skarn.operators import terms as T
 from skarn.operators import text as X
@@ -70,3 +73,17 @@ def test_pagerank_of_few_or_no_edges(spark, tmp_path, extra):
     want = con.execute(relation_queries.REGISTRY.sql["pagerank_ppr"]).fetchall()
     got = [tuple(r) for r in relation_queries.pagerank_ppr(spark, str(tmp_path)).select("node", "score").collect()]
     assert sorted(got) == sorted(want) and all(p is not None for _, p in want)
+
+
+def test_signal_values_stay_in_their_row(spark):
+    rows = [(1, ["b  x", " ", "A", "a", None, "B x", "c"]), (2, []), (3, None), (4, [" "]), (5, ["q"]), (5, ["w", "Q", "w "])]
+    out = N.signal_values(spark.createDataFrame(rows, "id long, v array<string>"), "id", "v")
+    assert sorted((r.id, r.v) for r in out.collect()) == [(1, ["b x", "A", "c"]), (5, ["q", "w"])]
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_citations_bind_what_they_repeat(spark):
+    """The text's surroundings are cut out once for each article, not once for each use."""
+    df = spark.createDataFrame([("주택법 제 03조의2, 도로법 시행령 제7조",)], "t string").select(V.legal_citations(F.col("t"), ["주택법", "없는 법"]).alias("c"))
+    assert [tuple(x) for x in df.first().c][0] == ("주택법", "제3조의2", 0, 11)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("substring(") == 1
