@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skarn.operators import evidence as V
+from skarn.operators import knowledge as K
 from skarn.operators import records as N
 from skarn.operators import retrieval as R
 from skarn.operators import terms as T
@@ -87,3 +88,16 @@ def test_citations_bind_what_they_repeat(spark):
     df = spark.createDataFrame([("주택법 제 03조의2, 도로법 시행령 제7조",)], "t string").select(V.legal_citations(F.col("t"), ["주택법", "없는 법"]).alias("c"))
     assert [tuple(x) for x in df.first().c][0] == ("주택법", "제3조의2", 0, 11)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("substring(") == 1
+
+
+def test_evidence_by_anchors(spark):
+    rng = random.Random(3)
+    views = [("g" if i % 3 else "h", i, "".join(rng.choice("abü ") for _ in range(rng.choice([0, 5, 15, 16, 60, 200])))) for i in range(40)] + [("g", 99, None)]
+    quotes = [(i, g, t[p : p + rng.choice([0, 3, 15, 16, 24])]) for i, (g, _, t) in enumerate(views) if t for p in [rng.randrange(len(t))]] + [(500, "g", "abab" * 6), (501, None, "a"), (502, "h", None)]
+    want = []
+    for i, g, q in quotes:
+        own = [(len(t), v, t.find(q)) for h, v, t in views if g == h and q is not None and t is not None and q in t]
+        want.append((i, *(min(own)[1:] if own else (None, None))))
+    out = K.exact_evidence(spark.createDataFrame(quotes, "id long, group string, quote string"), spark.createDataFrame(views, "group string, view long, text string"))
+    assert sorted(map(repr, (tuple(r) for r in out.collect()))) == sorted(map(repr, want))
+    assert "_a" in out._jdf.queryExecution().optimizedPlan().toString()
