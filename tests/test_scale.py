@@ -1,11 +1,13 @@
 """Steps that have to grow no faster than their input, against plain loops."""
 
 import random
+from datetime import datetime
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from skarn.operators import duplicates as U
 from skarn.operators import evidence as V
 from skarn.operators import knowledge as K
 from skarn.operators import lexicon as L
@@ -114,3 +116,23 @@ def test_lookups_are_counted_as_they_are_picked(spark):
         want[x.qid][2 if x.state == "matched" else 3] += 1
     assert {x.qid: [x.bindings, x.lookup_miss, x.matched, x.excluded] for x in L.lookup_counts(q, r).collect()} == want
     assert sum(w[2] > 0 for w in want.values()) > 3
+
+
+def test_candidates_leave_their_block_only_if_they_may_score(spark, monkeypatch):
+    """Records without places all meet; only pairs whose upper bound reaches the score are handed on, whatever the blocks."""
+    rng = random.Random(8)
+    rows = [(i, datetime(2024, 1, 1 + i % 2, i % 24), f"q{i % 4}", [f"e{i % 9}", f"q{i % 4}"], [rng.gauss(0, 1) for _ in range(8 if i % 11 else 6)] if i % 13 else [float("nan")] * 8) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, request string, entities array<string>, v array<double>")
+    none = "cast(null as string) region, false broad, cast(array() as array<string>) details, array('u') units, cast(array() as array<array<string>>) segments, entities toks, false pii"
+    records = df.selectExpr("id", "ts", "request", "entities", "v", *none.split(", "))
+    own, (least, hours) = {r.id: r for r in records.collect()}, (0.7, 12)
+    want, parts = {}, U.scored("x", "y")
+    every = records.select(F.struct("*").alias("x")).crossJoin(records.select(F.struct("*").alias("y"))).where("x.id < y.id and abs(unix_timestamp(x.ts) - unix_timestamp(y.ts)) <= 43200")
+    exact = every.select("x", "y", *[F.coalesce(parts[k], F.lit(0.0)).alias(k) for k in U.WEIGHTS])
+    want = {(r.a, r.b): round(r.s, 4) for r in exact.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.round(sum(w * F.col(k) for k, w in U.WEIGHTS.items()), 4).alias("s")).where(f"s >= {least}").collect()}
+    seen, met = [], U._met
+    monkeypatch.setattr(U, "BLOCK", 7)
+    monkeypatch.setattr(U, "_met", lambda *a: seen.append(met(*a)) or seen[0])
+    got = {(r.a, r.b): r.score for r in U.candidates(records, hours, least).collect()}
+    assert got == want and len(own) == 240 and len(want) > 20
+    assert seen[0].count() < every.count() / 4
