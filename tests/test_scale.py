@@ -3,12 +3,14 @@
 import random
 from datetime import datetime
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from skarn.operators import duplicates as U
 from skarn.operators import evidence as V
+from skarn.operators import graphs as G
 from skarn.operators import knowledge as K
 from skarn.operators import lexicon as L
 from skarn.operators import records as N
@@ -136,3 +138,28 @@ def test_candidates_leave_their_block_only_if_they_may_score(spark, monkeypatch)
     got = {(r.a, r.b): r.score for r in U.candidates(records, hours, least).collect()}
     assert got == want and len(own) == 240 and len(want) > 20
     assert seen[0].count() < every.count() / 4
+
+
+def test_walks_move_blocks_not_edges(spark, monkeypatch):
+    """Nodes in several blocks, cells in several parts, queries in several groups, against a dense solve."""
+    monkeypatch.setattr(G, "NODES", 8)
+    monkeypatch.setattr(G, "EDGES", 5)
+    monkeypatch.setattr(G, "ASKED", 2)
+    rng = random.Random(4)
+    edges = [(rng.randrange(25) * 3, rng.randrange(30) * 3, rng.choice((0.5, 1.0, 2.0))) for _ in range(90)]
+    seeds = [(f"q{q}", rng.randrange(30) * 3, 0.1 + rng.random()) for q in range(5) for _ in range(3)]
+    m = np.zeros((90, 90))
+    for h, t, w in edges:
+        m[h, t] += w
+    flows, flow = [], G._flow
+    monkeypatch.setattr(G, "_flow", lambda *a: flows.append(flow(*a)) or flows[-1])
+    got = {(r.qid, r.node): r.p for r in G.pagerank_many(spark.createDataFrame(edges, "head long, tail long, weight double"), spark.createDataFrame(seeds, "qid string, node long, p double"), damping=0.5).collect()}
+    for q in {q for q, _, _ in seeds}:
+        p = np.zeros(90)
+        for n, x in [(n, x) for a, n, x in seeds if a == q]:
+            p[n] += x
+        p /= p.sum()
+        out = m.sum(1)
+        walk = np.linalg.solve(np.eye(90) - 0.5 * np.where(out[:, None] > 0, m / np.maximum(out, 1e-300)[:, None], p).T, 0.5 * p)
+        assert all(abs(got.get((q, n), 0) - walk[n]) < 1e-6 for n in range(90))
+    assert "binary" in dict(flows[0].dtypes).values()
