@@ -244,6 +244,24 @@ def test_near_copies_as_one_text_after_the_other(spark, threshold):
     assert D.keep_first(spark.createDataFrame([], "id long, text string")).count() == 0
 
 
+def test_near_copies_take_few_steps(spark, monkeypatch):
+    """Texts that share words by chance wait for none of each other; groups of copies fall to what was kept before."""
+    monkeypatch.setattr(D, "FIRST", 20)
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(25)]
+    texts = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(150)]
+    for k in range(90):
+        t = list(texts[k % 3])
+        t[rng.randrange(len(t))] = rng.choice("xyz")
+        texts.insert(rng.randrange(3, len(texts)), "".join(t))
+    steps, saved = [], D.saved
+    monkeypatch.setattr(D, "saved", lambda df: steps.append(1) or saved(df))
+    got = D.keep_first(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()
+    kept = {r.id for r in got if r.kept}
+    assert kept == loop(list(enumerate(texts)), 0.96) and 140 < len(kept) < 180
+    assert len(steps) < 30
+
+
 def test_student_p_values():
     for t, df, p in ((12.7062, 1, 0.05), (4.302653, 2, 0.05), (2.228139, 10, 0.05), (-2.262157, 9, 0.05), (1.959988, 100_000, 0.05), (0.0, 5, 1.0), (50.0, 500, 0.0)):
         assert abs(S.student_p(t, df) - p) < 1e-5
