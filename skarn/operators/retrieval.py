@@ -19,8 +19,8 @@ K1, B = 1.5, 0.75
 #: Stands for a document itself among its tokens; no token holds a blank.
 ITSELF = " "
 BROADCAST_TERMS = 200_000
-#: Postings of one task that adds up scores.
-POSTINGS = 250_000
+#: Postings of one task that adds up scores, and the query terms that they meet there: no task holds more sums.
+POSTINGS, MET = 250_000, 2_000_000
 
 
 def postings(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
@@ -46,11 +46,15 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> D
     tf = posted.where(F.col("term") != ITSELF)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weighed = terms.join(df, "term").join(F.broadcast(stats)).select("qid", "term", (idf * F.col("qtf")).alias("w"), "avgdl")
+    weighed = saved(terms.join(df, "term").join(F.broadcast(stats)).select("qid", "term", (idf * F.col("qtf")).alias("w"), "avgdl", "df"))
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     # Few query terms meet the postings where a document's lie together: the sums need no further shuffle.
-    # A task's sums are those of its documents, so the number of tasks grows with the postings
-    met = tf.repartition(max(12, -(-tf.count() // POSTINGS)), "docid").join(F.broadcast(weighed), "term") if few else tf.join(weighed, "term")
+    # A task's sums are those of its documents, so the number of tasks grows with the postings and what they meet
+    if few:
+        tasks = max(12, -(-tf.count() // POSTINGS), -(-(weighed.agg(F.sum("df")).first()[0] or 0) // MET))
+        met = tf.repartition(tasks, "docid").join(F.broadcast(weighed.drop("df")), "term")
+    else:
+        met = tf.join(weighed.drop("df"), "term")
     return met.groupBy("qid", "docid").agg(F.sum(part).alias("score"))
 
 

@@ -61,6 +61,16 @@ def test_bm25_tasks_grow_with_postings(spark, monkeypatch):
     assert sorted(map(tuple, R.bm25_top_k(docs, asked, 5).collect())) == whole
 
 
+def test_bm25_tasks_grow_with_what_queries_meet(spark, monkeypatch):
+    """Short texts that all queries meet: few postings, but a sum for each query and text."""
+    docs = spark.createDataFrame([(i, f"a b{i % 7}") for i in range(300)], "docid long, text string")
+    asked = spark.createDataFrame([(q, f"a b{q % 7}") for q in range(40)], "qid long, text string")
+    whole = sorted(map(tuple, R.bm25_top_k(docs, asked, 5).collect()))
+    monkeypatch.setattr(R, "MET", 400, raising=False)
+    assert R.bm25(docs, asked).rdd.getNumPartitions() >= 30
+    assert sorted(map(tuple, R.bm25_top_k(docs, asked, 5).collect())) == whole and len(whole) == 200
+
+
 @pytest.mark.parametrize("extra", [[], [(0, 0), (1, 0), (0, 1), (2, 1), (3, 2), (0, 3), (4, 3), (0, 2)]])
 def test_pagerank_of_few_or_no_edges(spark, tmp_path, extra):
     """Nations that all trade alike have no edge at all; a few that trade more have weights of halves and quarters."""
