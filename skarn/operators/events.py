@@ -16,6 +16,9 @@ from ..functions import columns as C
 from .state import saved
 from .windows import best_row
 
+#: Nodes that a task holds before it hands on what its links connect.
+HELD = 200_000
+
 
 def with_as_of(events: DataFrame, as_of: Column | None = None) -> DataFrame:
     """as_of is the latest event time unless given; one row, so its broadcast has a fixed size."""
@@ -120,16 +123,16 @@ def geo_summary(events: DataFrame, by: Sequence[str]) -> DataFrame:
     return mid.join(far, list(by))
 
 
-def near_in_time(left: DataFrame, right: DataFrame, hours: float, keys: Sequence[str] = ()) -> DataFrame:
-    """Pairs (a, b) with a < b, equal keys and at most `hours` apart.
+def near_in_time(left: DataFrame, right: DataFrame, hours: float, keys: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """Pairs (a, b) with a < b, equal keys and at most `hours` apart; columns to keep get an a or b behind their names.
 
     Time is cut into buckets of that width; a row meets the bucket of its own and the next, so a pair
     meets once, and no pair farther apart than two buckets is looked at.
     """
     width = int(hours * 3600)
     bucket = F.floor(F.unix_timestamp("ts") / width)
-    a = left.select(F.col("id").alias("a"), F.col("ts").alias("ta"), *[F.col(k).alias(k) for k in keys], F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    b = right.select(F.col("id").alias("b"), F.col("ts").alias("tb"), *[F.col(k).alias(k) for k in keys], bucket.alias("bucket"))
+    a = left.select(F.col("id").alias("a"), F.col("ts").alias("ta"), *[F.col(k).alias(k) for k in keys], *[F.col(k).alias(f"{k}a") for k in keep], F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
+    b = right.select(F.col("id").alias("b"), F.col("ts").alias("tb"), *[F.col(k).alias(k) for k in keys], *[F.col(k).alias(f"{k}b") for k in keep], bucket.alias("bucket"))
     close = F.abs(F.unix_timestamp("ta") - F.unix_timestamp("tb")) <= width
     return a.join(b, [*keys, "bucket"]).where((F.col("a") < F.col("b")) & close).drop("bucket")
 
@@ -159,15 +162,52 @@ def _small_star(e: DataFrame) -> DataFrame:
     return rest.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Node and the smallest node reachable, by large-star and small-star steps until the links no longer change. Ids of any ordered type."""
-    e = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+def _contracted(e: DataFrame) -> DataFrame:
+    """Links of the same components: each task joins what its own links connect, HELD nodes at a time, and hands on one link of each node."""
+
+    def run(batches):
+        up: dict = {}
+
+        def find(x):
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        def links(schema: pa.Schema) -> pa.RecordBatch:
+            rows = [(x, r) for x in list(up) if (r := find(x)) != x]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.field(k).type) for k in (0, 1)], names=["u", "v"])
+
+        for b in batches:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                p, q = find(u), find(v)
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+            if len(up) >= HELD:
+                yield links(b.schema)
+                up.clear()
+        if up:
+            yield links(b.schema)
+
+    return e.mapInArrow(run, e.schema)
+
+
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Node and the smallest node reachable, by large-star and small-star steps until the links no longer change. Ids of any ordered type.
+
+    Without nodes those of the edges between two different ones. Whole numbers and texts are joined inside
+    the tasks first, so that of many links in a group only one for each node is shuffled.
+    """
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    e = saved((_contracted(e) if e.schema["u"].dataType.typeName() in ("byte", "short", "integer", "long", "string") else e).distinct())
     mark = None
     while True:
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break
         mark, e = now, saved(_small_star(_large_star(e)))
+    if nodes is None:
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     return nodes.select("node").join(e.select(F.col("u").alias("node"), F.col("v").alias("c")), "node", "left").select("node", F.coalesce("c", "node").alias("component"))
 
 

@@ -101,10 +101,8 @@ s AS (SELECT a, b, round(greatest(0, least(1, 0.5 * CASE WHEN abs(ea - eb) / 360
 
 def _pairs(spark, d):
     own = _events(spark, d)
-    keyed = own.withColumnRenamed("minutes", "m")
-    pairs = V.near_in_time(keyed, keyed, 168, ["user_id", "event_type"])
-    value = own.select("id", F.coalesce("minutes", F.lit(0.0)).alias("m"))
-    both = pairs.join(value.withColumnsRenamed({"id": "a", "m": "ma"}), "a").join(value.withColumnsRenamed({"id": "b", "m": "mb"}), "b")
+    keyed = own.withColumn("m", F.coalesce("minutes", F.lit(0.0)))
+    both = V.near_in_time(keyed, keyed, 168, ["user_id", "event_type"], ["m"])
     hours = F.abs(F.unix_timestamp("ta") - F.unix_timestamp("tb")) / 3600
     score = V.pair_score([(V.time_step(hours), 0.5), (1 - F.least(F.lit(1.0), F.abs(F.col("ma") - F.col("mb")) / 100), 0.5)], 8)
     return both.select("a", "b", score.alias("score")).where("score >= 0.5")
@@ -119,9 +117,7 @@ def duplicate_pairs(spark, d):
 r AS (SELECT node, node AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node)
 SELECT node, min(c) AS component FROM r GROUP BY node""")
 def duplicate_components(spark, d):
-    pairs = _pairs(spark, d)
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    return V.components(pairs.select("a", "b"), nodes)
+    return V.components(_pairs(spark, d))
 
 
 @add(EV + "SELECT x.event_type, count(*) AS pairs FROM ev x JOIN ev y ON x.event_type = y.event_type AND x.user_id = y.user_id AND x.id < y.id AND abs(floor(epoch(x.ts)) - floor(epoch(y.ts))) <= 259200 GROUP BY 1")

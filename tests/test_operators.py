@@ -164,3 +164,13 @@ def test_evidence_empty_tables(spark):
     assert E.report_summary(spark.createDataFrame([], "a double, level string"), ["a"], "level").collect()[0]["n_cases"] == 0
     packed = E.packed_context(context, 3, 100).collect()[0]
     assert (packed["n_kept"], packed["n_dropped"]) == (1, 2)
+
+
+def test_links_of_a_group_are_joined_in_their_task(spark, monkeypatch):
+    """Of all links among a group's nodes one for each node is written, also where a task holds few nodes."""
+    monkeypatch.setattr(V, "HELD", 7)
+    edges = spark.createDataFrame([(f"{g}{i:02d}", f"{g}{j:02d}") for g in "xy" for i in range(30) for j in range(i)] + [("z", "z")], "a string, b string")
+    sizes, saved = [], V.saved
+    monkeypatch.setattr(V, "saved", lambda df: sizes.append((out := saved(df)).count()) or out)
+    assert {r.node: r.component for r in V.components(edges).collect()} == {f"{g}{i:02d}": f"{g}00" for g in "xy" for i in range(30)}
+    assert sizes[0] < 400
