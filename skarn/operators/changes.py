@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,11 +45,14 @@ def invalidations(history: DataFrame, evidence: DataFrame) -> DataFrame:
     of the blocks of the version before; of each requirement its latest impact counts, and it is open
     if that is anything but unaffected and its assessment uses the version. Null items are left out.
     """
-    runs = history.select(*PAIR, F.lit("run").alias("kind"), F.col("run").alias("item"))
-    blocks = history.select(*PAIR, F.explode("blocks").alias("item")).where("item is not null").distinct()
-    claims = blocks.select(*PAIR, F.col("item").alias("block")).join(evidence.select("claim", F.col("version").alias("before"), "block"), ["before", "block"]).select(*PAIR, F.lit("claim").alias("kind"), F.col("claim").alias("item"))
-    open_ = latest_impacts(history).where((F.col("impact") != "unaffected") & F.col("uses")).select(*PAIR, F.lit("requirement").alias("kind"), F.col("requirement").alias("item"))
-    return runs.unionByName(blocks.select(*PAIR, F.lit("block").alias("kind"), "item")).unionByName(claims).unionByName(open_).where("item is not null").distinct()
+    # Each kind is made distinct once, on its own
+    found = lambda rows, kind, item: rows.select(*PAIR, F.lit(kind).alias("kind"), F.col(item).alias("item"))
+    once = lambda rows, item: rows.where(F.col(item).isNotNull()).select(*PAIR, item).distinct()
+    blocks = once(history.select(*PAIR, F.explode("blocks").alias("block")), "block")
+    claims = blocks.join(evidence.select("claim", F.col("version").alias("before"), "block"), ["before", "block"])
+    open_ = latest_impacts(history).where((F.col("impact") != "unaffected") & F.col("uses") & F.col("requirement").isNotNull())
+    parts = [found(once(history, "run"), "run", "run"), found(blocks, "block", "block"), found(once(claims, "claim"), "claim", "claim"), found(open_, "requirement", "requirement")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 IMPACT = "before string, after string, requirement string, impact string, uses boolean, recorded timestamp"

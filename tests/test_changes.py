@@ -179,3 +179,10 @@ def test_listing_filters_only_by_given_values(spark):
     df = spark.createDataFrame([(1, "a", ["x"], 0.5), (2, "a", ["x", "y"], 0.9), (3, "b", None, 0.7)], "k int, status string, members array<string>, c double")
     ids = lambda **kw: [r.k for r in R.listed(df, ["c"], **kw).collect()]
     assert ids() == [2, 3, 1] and ids(equal={"status": "a"}, holding={"members": None}) == [2, 1] and ids(equal={"status": ""}, holding={"members": "y"}) == [2] and ids(holding={"members": "z"}) == []
+
+
+def test_blocks_are_made_distinct_once(spark):
+    """A history's blocks go straight from their own grouping to the result; no grouping over all kinds follows."""
+    out = H.invalidations(spark.createDataFrame([], HISTORY), spark.createDataFrame([], "claim string, version string, block string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("Union")
