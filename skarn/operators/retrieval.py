@@ -24,13 +24,25 @@ POSTINGS, MET = 250_000, 2_000_000
 
 
 def postings(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
-    """term, docid, dl, tf of the wanted terms, and one row for each document under ITSELF, written once.
+    """docid, dl, t, tf of the wanted terms (term, t), and one posting for each document under ITSELF, written once.
 
     A text's terms are counted inside its row, so neither tokens nor counts are shuffled while the
-    wanted terms, if they are few, go to every task; many are joined by a shuffle.
+    wanted terms, if they are few, go to every task; many are joined by a shuffle. Of few terms t is a number,
+    and a document's postings stay in one row with arrays t and tf (in two, if Arrow batches cut it): a row for
+    each posting would make a task that deals out its split hold about eight times the bytes.
     """
-    kept = wanted.select("term").unionByName(wanted.sparkSession.createDataFrame([(ITSELF,)], "term string")).distinct()
-    return saved(term_counts(docs, "docid", "text", ITSELF).join(F.broadcast(kept) if few else kept, "term"))
+    held = term_counts(docs, "docid", "text", ITSELF).join(F.broadcast(wanted) if few else wanted, "term").select("docid", "dl", "t", "tf")
+
+    def pack(batches):
+        for b in batches:
+            if b.num_rows:
+                ids, sizes = b.column(0).to_numpy(), b.column(1).to_numpy()
+                starts = np.concatenate([[0], np.flatnonzero((np.diff(ids) != 0) | (np.diff(sizes) != 0)) + 1])
+                ends = pa.array(np.append(starts, b.num_rows), pa.int32())
+                cols = [pa.array(ids[starts]), pa.array(sizes[starts]), *(pa.ListArray.from_arrays(ends, b.column(i)) for i in (2, 3))]
+                yield pa.RecordBatch.from_arrays(cols, names=["docid", "dl", "t", "tf"])
+
+    return saved(held.mapInArrow(pack, "docid long, dl int, t array<int>, tf array<int>") if few else held)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -40,21 +52,26 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> D
     """
     terms = saved(term_counts(queries, "qid", "text").groupBy("qid", "term").agg(F.sum("tf").alias("qtf")))
     few = terms.count() <= BROADCAST_TERMS
-    posted = postings(docs, terms, few)
+    wanted = terms.select("term").unionByName(terms.sparkSession.createDataFrame([(ITSELF,)], "term string")).distinct()
+    # Few are numbered from 0 by one task, which sees at most BROADCAST_TERMS rows
+    wanted = saved(wanted.withColumn("t", F.row_number().over(Window.orderBy(F.col("term") != ITSELF, "term")) - 1)) if few else wanted.withColumn("t", F.col("term"))
+    itself = 0 if few else ITSELF
+    posted = postings(docs, wanted, few)
+    unpacked = lambda rows: rows.select("docid", "dl", F.inline(F.arrays_zip("t", "tf"))) if few else rows
     # One row of totals, so its broadcast has a fixed size
-    stats = posted.where(F.col("term") == ITSELF).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = posted.where(F.col("term") != ITSELF)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    stats = unpacked(posted).where(F.col("t") == itself).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    df = unpacked(posted).where(F.col("t") != itself).groupBy("t").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weighed = saved(terms.join(df, "term").join(F.broadcast(stats)).select("qid", "term", (idf * F.col("qtf")).alias("w"), "avgdl", "df"))
+    weighed = saved(terms.join(wanted, "term").join(df, "t").join(F.broadcast(stats)).select("qid", "t", (idf * F.col("qtf")).alias("w"), "avgdl", "df"))
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     # Few query terms meet the postings where a document's lie together: the sums need no further shuffle.
     # A task's sums are those of its documents, so the number of tasks grows with the postings and what they meet
     if few:
-        tasks = max(12, -(-tf.count() // POSTINGS), -(-(weighed.agg(F.sum("df")).first()[0] or 0) // MET))
-        met = tf.repartition(tasks, "docid").join(F.broadcast(weighed.drop("df")), "term")
+        held, meets = weighed.select("t", "df").distinct().agg(F.sum("df")).first()[0] or 0, weighed.agg(F.sum("df")).first()[0] or 0
+        tasks = max(12, -(-held // POSTINGS), -(-meets // MET))
+        met = unpacked(posted.repartition(tasks, "docid")).join(F.broadcast(weighed.drop("df")), "t")
     else:
-        met = tf.join(weighed.drop("df"), "term")
+        met = posted.where(F.col("t") != itself).join(weighed.drop("df"), "t")
     return met.groupBy("qid", "docid").agg(F.sum(part).alias("score"))
 
 

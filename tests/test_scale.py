@@ -71,6 +71,30 @@ def test_bm25_tasks_grow_with_what_queries_meet(spark, monkeypatch):
     assert sorted(map(tuple, R.bm25_top_k(docs, asked, 5).collect())) == whole and len(whole) == 200
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_bm25_moves_a_row_for_each_text(spark, monkeypatch, few):
+    """A task that deals out its split holds rows of texts, not of postings; scores against a loop."""
+    rng = random.Random(9)
+    texts = [(i, None if i % 17 == 0 else " ".join(rng.choices([f"w{k}" for k in range(30)], k=rng.choice([0, 3, 40])))) for i in range(120)]
+    asked = [(q, " ".join(f"w{k}" for k in rng.choices(range(34), k=12))) for q in range(6)]
+    toks = {i: t.split() for i, t in texts if t is not None}
+    mean = sum(map(len, toks.values())) / len(toks)
+    want = {}
+    for q, words in asked:
+        for w in words.split():
+            df = sum(w in t for t in toks.values())
+            for i, t in toks.items():
+                if tf := t.count(w):
+                    want[q, i] = want.get((q, i), 0) + np.log((len(toks) - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / mean))
+    moved, held = [], R.postings
+    monkeypatch.setattr(R, "postings", lambda *a: moved.append(held(*a)) or moved[-1])
+    if not few:
+        monkeypatch.setattr(R, "BROADCAST_TERMS", 0)
+    got = {(r.qid, r.docid): r.score for r in R.bm25(spark.createDataFrame(texts, "docid long, text string"), spark.createDataFrame(asked, "qid long, text string")).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+    assert not few or moved[0].count() <= len(toks) + 8
+
+
 @pytest.mark.parametrize("extra", [[], [(0, 0), (1, 0), (0, 1), (2, 1), (3, 2), (0, 3), (4, 3), (0, 2)]])
 def test_pagerank_of_few_or_no_edges(spark, tmp_path, extra):
     """Nations that all trade alike have no edge at all; a few that trade more have weights of halves and quarters."""
