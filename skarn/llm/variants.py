@@ -33,6 +33,11 @@ LEAST, TWICE, RATIO = 7, 2, 10
 TILE, ROWS, CELLS, PAIRS = 512, 1 << 15, 1 << 22, 1 << 19
 
 
+def merged(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join by sorted parts on both sides: Spark would size packed words, and what is exploded from them, by the bytes of their files and broadcast them."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id and run: each maximal run of letters of at least so many code points, with A-Z in lower case. Null texts have none."""
     found = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(f"[{LETTERS}]{{{least},}}"), F.lit(0))).alias("run"))
@@ -64,7 +69,7 @@ def tiles(vocab: DataFrame, least: int, tile: int) -> DataFrame:
     """key, i, j, side (whether the row is of block j, not i), part, word, n: rows of groups of two words or more, for each tile that they stand in."""
     rows = keyed(vocab, least)
     blocks = rows.groupBy("key").agg(F.count("*").alias("g")).where("g > 1").select("key", F.ceil(F.col("g") / tile).cast("int").alias("blocks"))
-    met = rows.join(blocks, "key").withColumn("own", F.expr("cast(pmod(xxhash64(word, 3), blocks) as int)"))
+    met = merged(rows, blocks, "key").withColumn("own", F.expr("cast(pmod(xxhash64(word, 3), blocks) as int)"))
     met = met.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     return met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), "part", "word", "n")
 
@@ -181,7 +186,7 @@ def roots(links: DataFrame, most: int, ratio: int = RATIO) -> DataFrame:
     at = links.select("word", F.col("form").alias("root"))
     for _ in range(math.ceil(math.log2(chain))):
         on = at.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        at = common.stage(at.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root")), "roots")
+        at = common.stage(merged(at, on, "root", "left").select("word", F.coalesce("further", "root").alias("root")), "roots")
     return at
 
 
@@ -198,11 +203,11 @@ def group(vocab: DataFrame, least: int = LEAST, ratio: int = RATIO, tile: int =
     vocab = common.stage(vocab.select("word", F.col("n").cast("long").alias("n")), "vocabulary")
     near = near_words(vocab, least, tile)
     fits = F.col("form_n") >= ratio * F.col("n")
-    full = vocab.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(fits, F.col("form")).alias("form"), F.when(fits, F.col("form_n")).alias("form_n"))
+    full = merged(vocab, near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(fits, F.col("form")).alias("form"), F.when(fits, F.col("form_n")).alias("form_n"))
     full = common.stage(full, "forms")
     most = vocab.agg(F.max("n")).first()[0] or 1
     ends = roots(full.where("form is not null").select("word", "form"), most, ratio)
-    return full.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return merged(full, ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

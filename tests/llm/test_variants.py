@@ -72,6 +72,18 @@ def test_chains_have_one_root(spark):
     assert {r.root for r in variants.group(vocab).collect()} == {"aaaaaaa" + "b" * 8}
 
 
+def test_nothing_that_grows_is_broadcast(spark, monkeypatch):
+    """Packed words look small to Spark, at its own threshold too."""
+    counts = words(4, 300, "abcd", 7, 9)
+    plans, stage = [], variants.common.stage
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(variants.common, "stage", lambda df, label: stage(plan(df), label))
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
+    got = plan(variants.group(spark.createDataFrame(list(counts.items()), "word string, n long")))
+    assert {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in got.collect()} == expected(counts)
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not [p for p in plans if "Broadcast" in p]
+
+
 def plain(rows):
     """Counts of the query's words: runs by hand, one code point out of each 31st."""
     letter = lambda c: "A" <= c <= "Z" or "a" <= c <= "z" or "À" <= c <= "ÿ"
