@@ -7,6 +7,7 @@ from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from skarn.operators import lexicon as L
 from skarn.operators import numbers as N
 from skarn.operators import scoring as S
 from skarn.operators import terms as T
+from skarn.plans import graph_queries
 
 
 def dense_walk(edges, seeds, nodes, damping=0.9):
@@ -65,6 +67,31 @@ def test_passages_without_selected_edges_keep_their_scores(spark):
     assert abs(got[1, 2][0] - want[2]) < 1e-6 and got[1, 9] == (0.0, 3)
 
 
+def test_what_is_asked_is_read_and_joined_once(spark, monkeypatch):
+    """The joins of all lines run once, not once for each use of the few rows that come of them; a walk gives only what is wanted."""
+    path, reads, joins = "/root/testdata/sf0.001", [], []
+    monkeypatch.setattr(graph_queries, "read", lambda s, d, name: reads.append(name) or s.read.parquet(f"{d}/{name}.parquet"))
+    edges, selected, passages = graph_queries._graph(spark, path)
+    for df in (edges, selected, passages):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString())
+    assert "lineitem" in reads and not any("l_shipdate" in p or "l_discount" in p or "l_suppkey" in p for p in joins)
+
+
+def test_a_walk_gives_what_is_wanted(spark):
+    lines = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 1, 1.0), (3, 4, 1.0)], "head long, tail long, weight double")
+    seeds = spark.createDataFrame([(1, 1, 1.0), (2, 2, 1.0)], "qid long, node long, p double")
+    some = spark.createDataFrame([(1, 4), (1, 9), (2, 4), (2, 4)], "qid long, node long")
+    walk, only = (sorted(map(tuple, G.pagerank_many(lines, seeds, 0.2, 0.01, only=o).collect())) for o in (None, some))
+    assert only == [r for r in walk if r[1] == 4] and len(only) == 2 and len(walk) == 8
+
+
+def test_blocks_are_packed_by_what_is_in_them():
+    for x in (np.zeros(64), np.eye(64)[3] * 0.5, np.arange(64.0)):
+        raw = pa.array([G._packed(x)], pa.binary())[0]
+        assert len(raw.as_py()) <= min(512, 12 * np.count_nonzero(x))
+        assert (G._add(np.ones(64), raw, 2.0) == 1 + 2 * x).all()
+
+
 def plain_cover(ranked, bundles, limit):
     chosen, deferred, given, out = [], [], [], {}
     for cid in ranked:
