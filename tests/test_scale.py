@@ -174,6 +174,28 @@ def test_candidates_leave_their_block_only_if_they_may_score(spark, monkeypatch)
     assert seen[0].count() < every.count() / 4
 
 
+def test_blocks_of_records_are_split_by_requests_and_entities(monkeypatch):
+    """The parts of two blocks hold all pairs that may score, in fewer products; records without a request are like no other."""
+    rng = random.Random(12)
+    n = 300
+    asked = [rng.choice(["q1", "q2", "q3", "q4", None]) for _ in range(n)]
+    named = [[f"k{rng.randrange(20)}", *([q] if q else [])] if rng.random() < 0.9 else [] for q in asked]
+    bits = lambda rows: pa.array([[hash(x) % U.BITS for x in r] for r in rows], pa.list_(pa.int64()))
+    cols = {"key": pa.array(["n"] * n), "id": pa.array(range(n)), "_t": pa.array([rng.randrange(9000) for _ in range(n)]), "_b": pa.array([0] * n), "request": pa.array(asked, pa.string()), "entities": pa.array(named, pa.list_(pa.string())),
+            "_q": bits([[q] if q else [] for q in asked]), "_e": bits(named), "_u": bits([[f"u{i % 3}"] if i % 4 else [] for i in range(n)]), "v": pa.array([[rng.gauss(0.5, 1) for _ in range(6 if i % 9 else 5)] if i % 11 else None for i in range(n)], pa.list_(pa.float64()))}
+    block = pa.RecordBatch.from_pydict(cols)
+    pairs = lambda: sorted((int(i), int(j), round(float(c), 9)) for x, y, cos in U._pairs(block, block, 5000, 0.6) for i, j, c in zip(x, y, cos))
+    whole = pairs()
+    monkeypatch.setattr(U, "SPLIT", 1)
+    need = 0.6 - U.SLACK - 0.2 * 0.25 - 0.1
+    jac = lambda x, y: len(set(x) & set(y)) / max(1, len(set(x) | set(y)))
+    sure = {(i, j) for i, j, c in whole if 0.3 * c + 0.15 * jac(named[i], named[j]) + 0.15 * (asked[i] is not None and asked[i] == asked[j]) + 0.1 >= need}
+    split = pairs()
+    assert sum(len(i) * len(j) for i, j, _ in U._split(block, block, need)) < n * n / 2
+    assert len(sure) > 500 and sure <= {(i, j) for i, j, _ in split} <= {(i, j) for i, j, _ in whole}
+    assert U._split(block, block, 0.3)[0][0].size == n
+
+
 def test_walks_move_blocks_not_edges(spark, monkeypatch):
     """Nodes in several blocks, cells in several parts, queries in several groups, against a dense solve."""
     monkeypatch.setattr(G, "NODES", 8)
